@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clausemill.llm import packing, simhash, token_count
+from clausemill.llm import language, licenses, media, mixing, packing, pii, secrets, simhash, token_count, vectors
 from clausemill.session import table
 
 
@@ -14,6 +15,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").cast("bigint").alias("n_tokens"), F.round("__probability", 9).alias("probability"), F.col("__sampled").alias("sampled"))
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"))
 
@@ -22,9 +36,62 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("bound_gap")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(table(spark, sf_dir, "documents"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op5_token_counts, op6_packing)}
+    every = (op1_simhash, op2_secrets, op3_mixing, op4_licenses, op5_token_counts, op6_packing, op7_pii, op8_media, op9_top_k, op10_language)
+    return {f.__name__: f for f in every}
+
+
+def _mixing_sql() -> str:
+    """The sweeps unrolled; shares, sums and draws as in ``mixing``."""
+    steps, now = [], "cells"
+    for i in range(mixing.SWEEPS):
+        for name in mixing.POWERS:
+            nxt = f"w{i}_{name}"
+            steps.append(f"{nxt} AS (SELECT c.source, c.lang, c.topic, c.tokens, c.weight * a.target / sum(c.weight) OVER (PARTITION BY c.{name}) AS weight FROM {now} c JOIN aim_{name} a USING ({name}))")
+            now = nxt
+    aims = [f"aim_{n} AS (SELECT {n}, pow(have, {p}) / sum(pow(have, {p})) OVER () AS target FROM (SELECT {n}, sum(tokens) AS have FROM cells GROUP BY {n}))" for n, p in mixing.POWERS.items()]
+    without = "t"
+    for mark in ("###", "$$$", "%%%", "&&&", "***"):
+        without = f"replace({without}, '{mark}', '')"
+    return f"""
+WITH docs AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, coalesce(source, '') AS s, coalesce(lang, '') AS l FROM documents),
+marked AS (SELECT doc_id, source, lang, s, l, len(regexp_extract_all(t, '[^\\x09-\\x0D\\x20]+'))::DOUBLE AS tokens,
+  CASE WHEN (length(t) - length(replace(t, ' | ', '  '))) * 40 > greatest(length(t), 1) THEN 'table'
+       WHEN (greatest(length(t), 1) - length({without})) * 10 > greatest(length(t), 1) THEN 'noise'
+       WHEN t = upper(t) AND t <> lower(t) THEN 'shout' ELSE 'prose' END AS topic FROM docs),
+cells AS MATERIALIZED (SELECT s AS source, l AS lang, topic, sum(tokens) AS tokens, sum(tokens) AS weight FROM marked GROUP BY ALL HAVING sum(tokens) > 0),
+{', '.join(a.replace(' AS (', ' AS MATERIALIZED (', 1) for a in aims)},
+{', '.join(x.replace(' AS (', ' AS MATERIALIZED (', 1) for x in steps)},
+rates AS (SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS p FROM {now}),
+chances AS (SELECT m.*, CASE WHEN m.tokens > 0 THEN coalesce(r.p, 0.0) ELSE 0.0 END AS p FROM marked m LEFT JOIN rates r ON m.s = r.source AND m.l = r.lang AND m.topic = r.topic)
+SELECT doc_id, source, lang, topic, tokens::BIGINT AS n_tokens, round(p, 9) AS probability,
+  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < p AS sampled FROM chances"""
+
+
+_TOP_K_SQL = f"""
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id) WHERE rank <= 20"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": _mixing_sql(), "op9_top_k": _TOP_K_SQL}
