@@ -19,9 +19,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.rows import per_text
+from clausemill.llm.rows import per_text, slices
 
 WIDTH, HEIGHT, RATE = 64, 64, 25
+#: Characters of text, or bytes of media, that a task codes at once.
+AT_ONCE = 1_000_000
 #: A cut: histogram difference (0 to 2) over mean + DEVIATIONS standard deviations, and over FLOOR.
 DEVIATIONS, FLOOR = 1.5, 0.25
 
@@ -43,7 +45,7 @@ def _codes(counts, symbols) -> list[tuple[int, int, int]]:
 
 def _encoder() -> tuple[np.ndarray, np.ndarray]:
     """Bits and their number for each difference -255..255, at index difference + 255."""
-    bits, length = np.zeros(511, np.uint64), np.zeros(511, np.int64)
+    bits, length = np.zeros(511, np.uint32), np.zeros(511, np.uint8)
     table = {s: (c, n) for s, c, n in _codes(_COUNTS, _SYMBOLS)}
     for d in range(-255, 256):
         size = abs(d).bit_length()
@@ -58,15 +60,16 @@ _BITS, _LENGTH = _encoder()
 
 def _scan(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entropy-coded bytes of every row, before stuffing: ``[rows, bytes]`` and the byte count of each row."""
-    diff = np.empty(rows.shape, np.int64)
-    diff[:, 0] = rows[:, 0].astype(np.int64) - 128
-    diff[:, 1:] = rows[:, 1:].astype(np.int64) - rows[:, :-1]
-    bits, length = _BITS[diff + 255].T.copy(), _LENGTH[diff + 255].T.copy()
-    n, most = len(rows), int(length.sum(axis=0).max()) // 8 + 16
+    place = np.empty(rows.shape[::-1], np.int16)  # difference + 255, sample by sample
+    columns = rows.T.astype(np.int16)
+    place[0] = columns[0] + (255 - 128)
+    place[1:] = columns[1:] - columns[:-1] + 255
+    bits, length = _BITS[place], _LENGTH[place]
+    n, most = len(rows), int(length.sum(axis=0, dtype=np.int64).max()) // 8 + 16
     out = np.full((n, most // 4 + 1), 0xFFFFFFFF, ">u4")
     held, count, at = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for b, k in zip(bits, length):
-        held = held << k.astype(np.uint64) | b
+        held = held << k.astype(np.uint64) | b.astype(np.uint64)
         count += k
         full = np.flatnonzero(count >= 32)
         if len(full):
@@ -259,7 +262,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def of(texts: list[str]) -> dict:
         return {"n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts], "media": encode([payload(t) for t in texts])}
 
-    return per_text(docs, of, "n_bytes bigint,media binary", id_col, text_col)
+    return per_text(docs, of, "n_bytes bigint,media binary", id_col, text_col, AT_ONCE)
 
 
 CLIPS = "array<struct<clip:int,first_frame:int,frames:int,start_ms:bigint,end_ms:bigint>>"
@@ -274,16 +277,18 @@ def read(stored: DataFrame) -> DataFrame:
 
         target = to_arrow_schema(schema)
         for batch in batches:
-            media = batch.column(2).to_pylist()
-            per_file = [frames_of(m) for m in media]
-            decoded, at, rows = decode([f for fs in per_file for f in fs]), 0, []
-            for m, fs in zip(media, per_file):
-                frames, at = decoded[at : at + len(fs)], at + len(fs)
-                data = b"".join(f.tobytes() for f in frames)
-                clips = [{"clip": i, "first_frame": a, "frames": b - a, "start_ms": a * 1000 // RATE, "end_ms": b * 1000 // RATE} for i, (a, b) in enumerate(shots(frames))]
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(m), hashlib.sha256(m).hexdigest(), clips))
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, target.field(i + 2).type) for i, c in enumerate(columns))], schema=target)
+            every = batch.column(2).to_pylist()
+            for start, end in slices(every, AT_ONCE):
+                media = every[start:end]
+                per_file = [frames_of(m) for m in media]
+                decoded, at, rows = decode([f for fs in per_file for f in fs]), 0, []
+                for m, fs in zip(media, per_file):
+                    frames, at = decoded[at : at + len(fs)], at + len(fs)
+                    data = b"".join(f.tobytes() for f in frames)
+                    clips = [{"clip": i, "first_frame": a, "frames": b - a, "start_ms": a * 1000 // RATE, "end_ms": b * 1000 // RATE} for i, (a, b) in enumerate(shots(frames))]
+                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(m), hashlib.sha256(m).hexdigest(), clips))
+                columns = [pa.array(c, target.field(i + 2).type) for i, c in enumerate(zip(*rows))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), batch.column(1).slice(start, end - start), *columns], schema=target)
 
     kind = stored.schema["doc_id"].dataType.simpleString()
     schema = stored.sparkSession.createDataFrame([], f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, clips {CLIPS}").schema

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 ROWS, CHARS = 2_000, 4_000_000
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Cut a list of texts into runs of at most ROWS rows and about CHARS characters."""
+def slices(texts: list[str] | list[bytes], most: int = CHARS) -> Iterator[tuple[int, int]]:
+    """Cut a list of texts into runs of at most ROWS rows and about ``most`` characters."""
     start = chars = 0
     for i, text in enumerate(texts):
-        if i > start and (i - start >= ROWS or chars + len(text) > CHARS):
+        if i > start and (i - start >= ROWS or chars + len(text) > most):
             yield start, i
             start, chars = i, 0
         chars += len(text)
@@ -24,8 +24,8 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def per_text(df: DataFrame, fn: Callable[[list[str]], dict[str, Iterable]], schema: str, id_col: str, text_col: str) -> DataFrame:
-    """One row ``(id, *columns of fn)`` per row of ``df``; ``fn`` gets the texts of a slice, null as empty.
+def per_text(df: DataFrame, fn: Callable[[list[str]], dict[str, Iterable]], schema: str, id_col: str, text_col: str, most: int = CHARS) -> DataFrame:
+    """One row ``(id, *columns of fn)`` per row of ``df``; ``fn`` gets the texts of a slice of about ``most`` characters, null as empty.
 
     ``schema`` names the columns of ``fn`` with their types.
     """
@@ -40,7 +40,7 @@ def per_text(df: DataFrame, fn: Callable[[list[str]], dict[str, Iterable]], sche
         types = to_arrow_schema(arrow)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, most):
                 columns = fn(texts[a:b])
                 arrays = [ids.slice(a, b - a), *(x if isinstance(x, pa.Array) else pa.array(x, types.field(n).type) for n, x in columns.items())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *columns])
