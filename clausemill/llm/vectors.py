@@ -4,8 +4,8 @@ Each vector's distances to a fixed number of pivots are computed once and
 written.  For a query and a candidate, every pivot gives a lower bound on their
 distance (triangle inequality); the largest one gives an upper bound on their
 inner product.  A unit of work is one block of candidates and one block of
-queries; candidates are scored in bound order, and a query stops at the first
-bound under its k-th best score.  Blocks, not all vectors, meet in one task.
+queries; candidates are scored in batches by bound, and a query stops once no
+bound left reaches its k-th best score.  Blocks, not all vectors, meet in one task.
 """
 
 from __future__ import annotations
@@ -62,22 +62,27 @@ def _search_block(k: int):
             width = max(*map(len, q["v"]), *map(len, c["v"]), 0)
             qx, cx = _matrix(q["v"], width), _matrix(c["v"], width)
             qd, cd = _matrix(q["d"]), _matrix(c["d"])
-            ids, cn = c["vec_id"].to_numpy(), (cx**2).sum(axis=1)
+            ids, half, cd = c["vec_id"].to_numpy(), (cx**2).sum(axis=1) / 2, np.ascontiguousarray(cd.T)
+            first_batch = 8 * k
             for i in range(len(q)):
-                qid = q["vec_id"].iat[i]
-                near = np.abs(cd - qd[i]).max(axis=1, initial=0.0)
-                bound = ((qx[i] ** 2).sum() + cn - near**2) / 2 + 0.5  # scores are whole numbers
+                qid, vector = q["vec_id"].iat[i], qx[i]
+                near = np.abs(cd - qd[i][:, None]).max(axis=0, initial=0.0)
+                bound = half + ((vector @ vector) / 2 + 0.5) - near * near / 2  # scores are whole numbers
                 bound[ids == qid] = -np.inf
-                order = np.argsort(-bound)
-                n = int((bound > -np.inf).sum())
-                best_s, best_i = np.empty(0), np.empty(0, np.int64)
-                at, step = 0, 8 * k
-                while at < n and (len(best_s) < k or bound[order[at]] >= best_s[-1]):
-                    take = order[at : min(n, at + step)]
-                    s, v = np.r_[best_s, cx[take] @ qx[i]], np.r_[best_i, ids[take]]
-                    top = np.lexsort((v, -s))[:k]
-                    best_s, best_i = s[top], v[top]
-                    at, step = at + step, step * 4
+                # Batches in bound order: the highest bounds first, then all that can still reach the k-th best score.
+                take = np.argpartition(-bound, first_batch)[:first_batch] if len(ids) > first_batch else np.arange(len(ids))
+                take = take[bound[take] > -np.inf]
+                best_s, best_i = cx[take] @ vector, ids[take]
+                if len(take) >= k:
+                    least = np.partition(best_s, len(best_s) - k)[-k]
+                    bound[take] = -np.inf
+                    rest = np.flatnonzero(bound >= least)
+                    if len(rest):
+                        scores = (cx @ vector)[rest] if 2 * len(rest) > len(ids) else cx[rest] @ vector
+                        good = scores >= least
+                        best_s, best_i = np.r_[best_s, scores[good]], np.r_[best_i, ids[rest[good]]]
+                top = np.lexsort((best_i, -best_s))[:k]
+                best_s, best_i = best_s[top], best_i[top]
                 out["query_id"].append(np.full(len(best_s), qid))
                 out["query_key"].append(np.full(len(best_s), q["query_key"].iat[i]))
                 out["vec_id"].append(best_i)
