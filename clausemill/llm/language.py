@@ -10,19 +10,21 @@ model's size does not depend on the corpus.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.rows import per_text
+from clausemill.llm.rows import per_text, slices
 
 #: Bounds of the model: labelled rows in the sample (expected), words and n-grams (of each length) per language.
 ROWS, WORDS, GRAMS = 4_000, 20_000, 10_000
 LONGEST = 5
 #: Vectors of unseen words that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Share of the log-likelihood that enters the score; words of a text are far from independent.
 EVIDENCE = 0.3
 UNDETERMINED = "und"
@@ -35,34 +37,42 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _packed(table: dict[str, np.ndarray], width: int) -> tuple[dict[str, int], np.ndarray]:
+    """Keys with their rows in one matrix, which takes far less memory than an array per key."""
+    rows = np.stack(list(table.values())).astype(np.float32) if table else np.zeros((0, width), np.float32)
+    return {k: i for i, k in enumerate(table)}, rows
+
+
 class Model:
     """Per-language log frequencies of words and character n-grams."""
 
     def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: list[dict[str, np.ndarray]]):
-        self.languages, self.words, self.grams = languages, words, grams
+        self.languages = languages
+        self.words = _packed(words, len(languages))
+        self.grams = [_packed(g, len(languages)) for g in grams]
         self._fresh()
 
     def _fresh(self) -> None:
-        self.row = {w: i for i, w in enumerate(self.words)}
+        self.row = dict(self.words[0])
         self.used = len(self.row)
         self.table = np.zeros((self.used + REMEMBERED, max(1, len(self.languages))), np.float32)
-        if self.words:
-            self.table[: self.used] = np.stack(list(self.words.values()))
+        self.table[: self.used, : len(self.languages)] = self.words[1]
 
     def __getstate__(self):
         return self.languages, self.words, self.grams
 
     def __setstate__(self, state):
-        self.__init__(*state)
+        self.languages, self.words, self.grams = state
+        self._fresh()
 
     def back_off(self, word: str) -> np.ndarray:
         """The mean log frequencies of the longest known n-grams of a word; zeros if none is known."""
         padded = f" {word} "
         for n in range(min(LONGEST, len(padded)), 0, -1):
-            known = self.grams[n - 1]
-            found = [v for i in range(len(padded) - n + 1) if (v := known.get(padded[i : i + n])) is not None]
+            known, rows = self.grams[n - 1]
+            found = [r for i in range(len(padded) - n + 1) if (r := known.get(padded[i : i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return rows[found].mean(axis=0)
         return np.zeros(len(self.languages), np.float32)
 
     def score(self, text: str) -> tuple[str, float]:
@@ -108,19 +118,20 @@ def train(docs: DataFrame, rows: int = ROWS, words: int = WORDS, grams: int = GR
     seen = drawn.select(F.col(lang_col).alias("lang"), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\p{L}+"), F.lit(0))).alias("key"))
     counted = seen.groupBy("lang", "key").agg(F.count("*").alias("n")).cache()
 
-    def most(df: DataFrame, by: list[str], limit: int) -> tuple[list, dict]:
+    def most(df: DataFrame, by: list[str], limit: int) -> tuple[list[tuple], dict]:
         totals = {tuple(r[:-1]): r[-1] for r in df.groupBy("lang", *by).agg(F.sum("n")).collect()}
         rank = F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("n"), "key"))
-        return df.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank").collect(), totals
+        top = df.withColumn("rank", rank).where(F.col("rank") <= limit).select("lang", "key", "n", *by).toArrow()
+        return list(zip(*(c.to_pylist() for c in top.columns))), totals
 
     top, totals = most(counted.where("length(key) <= 64"), [], words)
     languages = sorted({lang for (lang,) in totals})
-    known = _log_frequencies(((r["lang"], r["key"], r["n"]) for r in top), languages, {k[0]: v for k, v in totals.items()})
+    known = _log_frequencies(top, languages, {k[0]: v for k, v in totals.items()})
     padded = counted.where("length(key) <= 64").select("lang", F.concat(F.lit(" "), "key", F.lit(" ")).alias("w"), "n")
     cut = padded.select("lang", "w", "n", F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("size")).where("length(w) >= size")
     cut = cut.select("lang", "size", "n", F.explode(F.expr("transform(sequence(1, length(w) - size + 1), i -> substr(w, i, size))")).alias("key"))
     top, totals = most(cut.groupBy("lang", "size", "key").agg(F.sum("n").alias("n")).where("key <> ' '"), ["size"], grams)
-    by_size = [_log_frequencies(((r["lang"], r["key"], r["n"]) for r in top if r["size"] == s), languages, {k[0]: v for k, v in totals.items() if k[1] == s}) for s in range(1, LONGEST + 1)]
+    by_size = [_log_frequencies((r[:3] for r in top if r[3] == s), languages, {k[0]: v for k, v in totals.items() if k[1] == s}) for s in range(1, LONGEST + 1)]
     counted.unpersist()
     return Model(languages, known, by_size)
 
@@ -149,12 +160,15 @@ def keep_identified(docs: DataFrame, least: float = 0.3, **training) -> DataFram
     model = train(docs, **training)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def predict(texts):
-        import pandas as pd
+    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
-        return pd.DataFrame([shared.value.score(t or "") for t in texts], columns=["lang", "score"])
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_at).to_pylist()]
+            for a, b in slices(texts):
+                part = batch.slice(a, b - a)
+                found = [shared.value.score(t) for t in texts[a:b]]
+                filled = pc.coalesce(part.column(lang_at), pa.array([f[0] for f in found], part.schema.field(lang_at).type))
+                yield part.set_column(lang_at, part.schema.field(lang_at), filled).filter(pa.array([f[0] != UNDETERMINED and f[1] >= least for f in found]))
 
-    found = docs.withColumn("__found", predict("text")).where((F.col("__found.lang") != UNDETERMINED) & (F.col("__found.score") >= least))
-    filled = F.coalesce("lang", "__found.lang")
-    return found.select(*[filled.alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    return docs.mapInArrow(keep, docs.schema)

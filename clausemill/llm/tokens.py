@@ -17,6 +17,9 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
 
 #: Pre-tokens remembered beside the whole tokens; over this the table starts anew.
 REMEMBERED = 300_000
@@ -69,56 +72,60 @@ def whole_tokens(path: str) -> dict[str, int]:
     return {s: e.ids[0] for s, e in zip(strings, encoded) if len(e.ids) == 1}
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Table:
-    """Pre-token -> value; whole tokens are there from the start, the rest is merged on first sight."""
+    """Pre-token -> its ids as bytes, or their number; whole tokens are there from the start, the rest is merged on first sight."""
 
-    def __init__(self, path: str, value):
-        self.tok, self.value = tokenizer(path), value
-        self.last = frozenset(i for s, i in self.tok.get_vocab(with_added_tokens=False).items() if s.endswith("</w>"))
-        self.whole = {s: value([i]) for s, i in whole_tokens(path).items()}
-        self.known = dict(self.whole)
+    def __init__(self, path: str, packed: bool):
+        self.tok, self.packed = tokenizer(path), packed
+        vocabulary = self.tok.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids with the word-end mark
+        self.last[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
+        self.known = {s: _pack([i]) if packed else 1 for s, i in whole_tokens(path).items()}
+        self.kept = len(self.known) + REMEMBERED // 2
 
     def of(self, text: str) -> Iterator:
         """The values of all pre-tokens of ``text``; those not known yet are merged in one call."""
         words = _PRE_TOKEN.findall(text.lower())
-        if new := list(set(words).difference(self.known)):
-            if len(self.known) + len(new) > len(self.whole) + REMEMBERED:
-                self.known.clear()
-                self.known.update(self.whole)
-                new = list(set(words).difference(self.known))
-            at, ids = 0, self.tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids
-            for word in new:  # the last token of a word has the word-end mark
-                end = at + 1
-                while ids[end - 1] not in self.last:
-                    end += 1
-                self.known[word] = self.value(ids[at:end])
-                at = end
+        if new := set(words).difference(self.known):
+            if len(self.known) + len(new) > self.kept + REMEMBERED // 2:  # those seen first, mostly the common ones, stay
+                self.known = dict(islice(self.known.items(), self.kept))
+                new = set(words).difference(self.known)
+            self.learn(list(new))
         return map(self.known.__getitem__, words)
 
-
-def _pack(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    def learn(self, new: list[str]) -> None:
+        ids = np.array(self.tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1  # the last token of a word has the word-end mark
+        if self.packed:
+            data, at = ids.tobytes(), (4 * ends).tolist()
+            self.known.update(zip(new, map(data.__getitem__, map(slice, [0, *at[:-1]], at))))
+        else:
+            self.known.update(zip(new, np.diff(ends, prepend=0).tolist()))
 
 
 @functools.lru_cache(maxsize=4)
-def _sizes(path: str) -> _Table:
-    return _Table(path, len)
+def _table(path: str, packed: bool) -> _Table:
+    return _Table(path, packed)
 
 
-@functools.lru_cache(maxsize=4)
-def _packed(path: str) -> _Table:
-    return _Table(path, _pack)
+def _beyond(text: str) -> bool:
+    """Whether the library has to encode the whole text."""
+    return "<|" in text if text.isascii() else _BEYOND.search(text) is not None
 
 
 def count_tokens(text: str, path: str) -> int:
     """Number of tokens of ``text`` without special tokens added."""
-    if _BEYOND.search(text):
+    if _beyond(text):
         return len(tokenizer(path).encode(text, add_special_tokens=False).ids)
-    return sum(_sizes(path).of(text))
+    return sum(_table(path, False).of(text))
 
 
 def token_bytes(text: str, path: str) -> bytes:
     """The token ids of ``text`` as little-endian unsigned 32-bit integers."""
-    if _BEYOND.search(text):
+    if _beyond(text):
         return _pack(tokenizer(path).encode(text, add_special_tokens=False).ids)
-    return b"".join(_packed(path).of(text))
+    return b"".join(_table(path, True).of(text))
