@@ -21,11 +21,13 @@ def lexemes(c: Column) -> Column:
 
 
 def stem(word: str) -> str:
-    """A light English stem: plural, -ed, -ing and a final e or y."""
+    """A light English stem: plural, -eed, -ed, -ing and a final e or y."""
     for suffix, repl in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
         if word.endswith(suffix):
             word = word[: len(word) - len(suffix)] + repl
             break
+    if word.endswith("eed"):
+        return word[:-2] if re.search("[aeiouy][^aeiouy]", word[:-3]) else word
     for suffix in ("ing", "ed"):
         base = word[: -len(suffix)]
         if word.endswith(suffix) and re.search("[aeiouy]", base) and len(base) > 2:

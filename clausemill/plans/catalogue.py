@@ -115,7 +115,7 @@ def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUOTES = """SELECT item_id AS quote_id, CASE item_id % 6
-  WHEN 0 THEN text WHEN 1 THEN '"' || replace(text, ' ', '  ') || '"' WHEN 2 THEN upper(text) WHEN 3 THEN '…' || text || '…'
+  WHEN 0 THEN text WHEN 1 THEN '"' || replace(text, ' ', '  ') || '"' WHEN 2 THEN lower(text) WHEN 3 THEN '…' || text || '…'
   WHEN 4 THEN substr(text, 1, 5) ELSE replace(text, 'a', 'o') END AS text FROM {benchmark}"""
 
 
@@ -171,7 +171,7 @@ def clean_quote(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(u.i AS BIGINT) AS place FROM documents, unnest(list_filter(range(0, length(text) - 1), lambda i: substr(text, i + 1, 2) = 'on')) AS u(i) WHERE text IS NOT NULL")
 def occurrences(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.occurrences(F.col("text"), F.lit("on"))).cast("bigint").alias("place"))
+    return long(table(spark, sf_dir, "documents").select("doc_id", F.explode(T.occurrences(F.col("text"), F.lit("on"))).alias("place")), "place")
 
 
 @query()
@@ -787,10 +787,10 @@ def chats_for_doc(spark, sf_dir):
     return rows.join(chats, "chat_id", "left_semi").select("conv_id")
 
 
-_STREAM = f"SELECT conv_id * 100 + turn AS message_id, CASE WHEN turn % 2 = 0 THEN text || '  ' || chr(10) || '{chat.DELIMITER}' || '[{{{{\"n\":1}}}}]' ELSE text || '   ' END AS whole FROM {{conversations}}".replace("{{{{", "<").replace("}}}}", ">")
+_STREAM = f"SELECT conv_id * 100 + turn AS message_id, CASE WHEN turn % 2 = 0 THEN text || '  ' || chr(10) || '{chat.DELIMITER}' || '[<\"n\":1>]' ELSE text || '   ' END AS whole FROM {{conversations}}"
 
 
-@query(f"SELECT message_id, regexp_replace(CASE WHEN at > 0 THEN substr(whole, 1, at - 1) ELSE whole END, '\\s+$', '') AS answer, CASE WHEN at > 0 THEN substr(whole, at + {len(chat.DELIMITER)}) ELSE '' END AS quotes_text, at > 0 AS saw_delimiter FROM (SELECT *, strpos(whole, '{chat.DELIMITER}') AS at FROM ({_STREAM}))")
+@query(f"SELECT message_id, regexp_replace(CASE WHEN mark > 0 THEN substr(whole, 1, mark - 1) ELSE whole END, '\\s+$', '') AS answer, CASE WHEN mark > 0 THEN substr(whole, mark + {len(chat.DELIMITER)}) ELSE '' END AS quotes_text, mark > 0 AS saw_delimiter FROM (SELECT *, strpos(whole, '{chat.DELIMITER}') AS mark FROM ({_STREAM}))")
 def stream_split(spark, sf_dir):
     whole = V.view(spark, sf_dir, _STREAM)
     places = F.sequence(F.lit(0), F.floor(F.length("whole") / 7).cast("int"))
@@ -865,8 +865,14 @@ def locate_edits(spark, sf_dir):
     return long(_located(spark, sf_dir).select("doc_id", "edit_id", "reason", "paragraph", "start"), "start")
 
 
-@query(f"""WITH l AS ({_LOCATED}) SELECT p.doc_id, p.paragraph, CASE WHEN l.start IS NULL THEN p.text ELSE substr(p.text, 1, l.start) || e.replace || substr(p.text, l.start + length(e.find) + 1) END AS accepted
-FROM ({_PARS}) p LEFT JOIN (SELECT * FROM l WHERE reason IS NULL) l ON p.doc_id = l.doc_id AND p.paragraph = l.paragraph LEFT JOIN ({_EDITS}) e ON e.doc_id = l.doc_id AND e.edit_id = l.edit_id""")
+# A paragraph may have several applicable edits: what stands before each, its replacement, then what follows the last one.
+_ACCEPTED = f"""WITH l AS ({_LOCATED}), p AS ({_PARS}),
+x AS (SELECT l.doc_id, l.paragraph, l.start, l.start + length(e.find) AS stop, e.replace, coalesce(lag(l.start + length(e.find)) OVER (PARTITION BY l.doc_id, l.paragraph ORDER BY l.start), 0) AS done FROM l JOIN ({_EDITS}) e ON e.doc_id = l.doc_id AND e.edit_id = l.edit_id WHERE reason IS NULL),
+y AS (SELECT p.doc_id, p.paragraph, string_agg(substr(text, done + 1, start - done) || replace, '' ORDER BY start) || substr(any_value(text), max(stop) + 1) AS t FROM x JOIN p ON p.doc_id = x.doc_id AND p.paragraph = x.paragraph GROUP BY p.doc_id, p.paragraph)
+SELECT p.doc_id, p.paragraph, p.text, coalesce(t, p.text) AS accepted FROM p LEFT JOIN y ON p.doc_id = y.doc_id AND p.paragraph = y.paragraph"""
+
+
+@query(f"SELECT doc_id, paragraph, accepted FROM ({_ACCEPTED})")
 def accepted_text(spark, sf_dir):
     edits = V.view(spark, sf_dir, _EDITS)
     pars = V.view(spark, sf_dir, _PARS)
@@ -889,8 +895,7 @@ def edit_matches(spark, sf_dir):
     return rows.groupBy("doc_id", "edit_id").agg(F.sum(F.size(T.occurrences(F.col("text"), F.col("find")))).alias("n_places"))
 
 
-@query(f"""WITH l AS ({_LOCATED}) SELECT p.doc_id, p.paragraph, p.text AS if_rejected, CASE WHEN l.start IS NULL THEN p.text ELSE substr(p.text, 1, l.start) || e.replace || substr(p.text, l.start + length(e.find) + 1) END AS if_accepted
-FROM ({_PARS}) p LEFT JOIN (SELECT * FROM l WHERE reason IS NULL) l ON p.doc_id = l.doc_id AND p.paragraph = l.paragraph LEFT JOIN ({_EDITS}) e ON e.doc_id = l.doc_id AND e.edit_id = l.edit_id""")
+@query(f"SELECT doc_id, paragraph, text AS if_rejected, accepted AS if_accepted FROM ({_ACCEPTED})")
 def accept_reject(spark, sf_dir):
     edits, pars = V.view(spark, sf_dir, _EDITS), V.view(spark, sf_dir, _PARS)
     diffed = redline.word_diff(redline.accepted_texts(pars, redline.locate(edits, pars), edits))

@@ -54,7 +54,7 @@ DOCS_RE2 = f"WITH clauses AS ({CLAUSES}) SELECT doc_id, version, string_agg({LIN
 
 #: Pages of three clauses each of the base version, with a running header and a numbered footer; each 7th page is empty.
 PAGES = f"""WITH clauses AS ({CLAUSES}), base AS (SELECT doc_id % 500 AS doc_id, row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id, ordinal) AS n, body FROM clauses WHERE version = 'base'),
-numbered AS (SELECT doc_id, CAST((n - 1) / 3 + 1 - ((n - 1) % 3) / 3.0 AS INT) AS page, (n - 1) % 3 AS pos, body FROM base)
+numbered AS (SELECT doc_id, CAST((n - 1 - (n - 1) % 3) / 3 + 1 AS INT) AS page, (n - 1) % 3 AS pos, body FROM base)
 SELECT doc_id, page, pos + 1 AS line, CASE WHEN (doc_id + page) % 7 = 0 THEN '' ELSE body END AS line_text FROM numbered
 UNION ALL SELECT doc_id, page, 0, CASE WHEN (doc_id + page) % 7 = 0 THEN '' ELSE 'CONFIDENTIAL -  Draft' END FROM numbered GROUP BY doc_id, page
 UNION ALL SELECT doc_id, page, 9, CASE WHEN (doc_id + page) % 7 = 0 THEN '' ELSE 'Page ' || CAST(page AS STRING) || ' of 99' END FROM numbered GROUP BY doc_id, page"""
