@@ -152,9 +152,10 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3, **training) -> DataFrame:
-    """The rows of ``docs`` whose language could be told with a score of at least ``least``; all columns stay.
+def keep_identified(docs: DataFrame, least: float = 0.0, **training) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with a score of at least ``least``; all columns stay.
 
+    By default only texts without a letter go: a short text scores low, but that is no reason to lose it.
     A missing language label is filled with the prediction.
     """
     model = train(docs, **training)
