@@ -28,3 +28,54 @@ def test_run_equals_its_stages(spark, data):
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     rows = lambda df: sorted(tuple(r) for r in df.select(*names).collect())
     assert rows(corpus_pipeline.run(spark, data)) == rows(packing.pack(at))
+
+
+def test_near_dedup_equals_brute_force(spark, data, monkeypatch):
+    """Copies at many degrees of similarity, some linked only through others, against all pairs compared."""
+    import random
+
+    from clausemill.llm import overlap
+
+    rng = random.Random(5)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    for i, (_, text) in enumerate(rows[:60]):
+        for j in range(4):
+            words = (text or "").split()[:400]
+            for _ in range(max(1, len(words) * j // 100)):
+                words[rng.randrange(len(words))] = f"w{rng.random()}"
+            rows.append((10_000 + 4 * i + j, " ".join(words)))
+    rows += [(20_000, ""), (20_001, None), (20_002, "one"), (20_003, " ONE\n")]
+    sets = []
+    for i, text in rows:
+        words = (text or "").lower().split()
+        sets.append((i, {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()))
+    sets.sort(key=lambda s: s[0])
+    label = list(range(len(sets)))
+    near = 0
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            x, y = sets[a][1], sets[b][1]
+            if min(len(x), len(y)) * 5 >= max(len(x), len(y)) * 4 and len(x & y) * 5 >= len(x | y) * 4:
+                near += 0 < len(x & y) < len(x | y)
+                p, q = sorted((root(a), root(b)))
+                label[q] = p
+    want = [sets[i][0] for i in range(len(sets)) if root(i) == i]
+    assert near > 50 and len(want) < len(sets)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert sorted(r[0] for r in corpus_pipeline.near_dedup(spark, df, data).select("doc_id").collect()) == want
+    monkeypatch.setattr(overlap, "BLOCK", 2)  # every block is dealt into chunks
+    assert sorted(r[0] for r in corpus_pipeline.near_dedup(spark, df, data).select("doc_id").collect()) == want
+
+
+def test_near_dedup_odd_rows(odd_docs, no_docs):
+    from clausemill.llm import overlap
+
+    kept = overlap.keep_first(odd_docs)
+    assert kept.columns == odd_docs.columns and overlap.keep_first(no_docs).count() == 0
+    assert sorted((r[0] for r in kept.select("doc_id").collect()), key=str) == sorted([0, 2, 5, 6, 7, 8, 10, 11, None], key=str)
