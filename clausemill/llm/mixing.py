@@ -3,8 +3,9 @@
 Tokens are summed into cells (source, language, topic).  Each sweep scales the
 cell weights to the target marginal of one dimension after the other.  A
 document's sampling probability is its cell's weight per token, scaled so that
-the most wanted cell keeps everything; a hash of the id decides, so a rerun
-draws the same documents.  All of it is built-in functions; cells are joined to
+the most wanted cell keeps everything (as in the SQL of the query) or so that a
+stated share of all tokens stays, where wanted cells saturate at 1; a hash of
+the id decides, so a rerun draws the same documents.  All of it is built-in functions; cells are joined to
 documents, whatever their number.
 """
 
@@ -18,6 +19,8 @@ from clausemill.storage import settle
 SWEEPS = 10
 #: Without explicit targets a dimension aims at shares proportional to tokens ** power.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+#: Share of all tokens that :func:`keep_sampled` expects to keep.
+KEEP = 0.75
 _DRAWS = 2**32
 
 
@@ -72,23 +75,45 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, p
     return now
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] | None = None, sweeps: int = SWEEPS, seed: str = "mix") -> DataFrame:
+def scale_for(rates: DataFrame, keep: float) -> float:
+    """The ``c`` at which ``min(1, c * rate)`` over ``rates (tokens, weight, rate)`` keeps the share ``keep`` of all tokens.
+
+    Cells that would pass 1 are held at 1 and the rest is scaled anew, until no more cells pass.  If the cells that
+    have a rate hold less than that share, all of them stay whole.
+    """
+    total = rates.agg(F.sum("tokens")).first()[0] or 0.0
+    c, full = 0.0, -1
+    while True:
+        held = F.col("rate") * c >= 1.0
+        n, tokens, weight = rates.agg(F.count(F.when(held, 1)), F.sum(F.when(held, F.col("tokens")).otherwise(0.0)), F.sum(F.when(held, 0.0).otherwise(F.col("weight")))).first()
+        if n == full or not weight or tokens >= keep * total:
+            break
+        c, full = max(c, (keep * total - tokens) / weight), n
+    least = rates.where("rate > 0").agg(F.min("rate")).first()[0]
+    return c if c or not least else 1.0 / least
+
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] | None = None, sweeps: int = SWEEPS, seed: str = "mix", keep: float | None = None) -> DataFrame:
     """Every row of ``docs`` with ``probability`` and ``sampled`` as extra columns ``__probability`` and ``__sampled``.
 
     Rows without a word belong to no cell and are not sampled.  A null source or language is a group of its own.
     Rows that repeat an id are drawn alike; a null id draws as the empty string.  An empty table gives no rows.
+    ``keep`` is the share of all tokens that is expected to stay; without it the cell with the highest rate stays whole.
     """
     rows = weighed(docs)
     cells = rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens"))
     rates = rake(cells, targets, powers, sweeps).withColumn("rate", F.col("weight") / F.col("tokens"))
-    most = rates.agg(F.max("rate")).first()[0] or 1.0
-    rates = settle(rates.select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), (F.col("rate") / most).alias("__probability")), "rates")
+    if keep is None:
+        chance = F.col("rate") / (rates.agg(F.max("rate")).first()[0] or 1.0)
+    else:
+        chance = F.least(F.lit(1.0), F.col("rate") * scale_for(rates, keep))
+    rates = settle(rates.select(F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"), chance.alias("__probability")), "rates")
     joined = rows.join(rates, (F.col("__source") == F.col("__s")) & (F.col("__lang") == F.col("__l")) & (F.col("__topic") == F.col("__t")), "left")
     chance = F.when(F.col("__tokens") > 0, F.coalesce("__probability", F.lit(0.0))).otherwise(0.0)
     draw = F.conv(F.substr(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), F.lit(1), F.lit(8)), 16, 10).cast("double") / _DRAWS
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__source", "__lang", "__topic", "__tokens", chance.alias("__probability"), (draw < chance).alias("__sampled"))
 
 
-def keep_sampled(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of ``docs``; all columns stay."""
-    return mix(docs, **options).where("__sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_sampled(docs: DataFrame, keep: float = KEEP, **options) -> DataFrame:
+    """The sampled rows of ``docs``, about the share ``keep`` of all tokens; all columns stay."""
+    return mix(docs, keep=keep, **options).where("__sampled").select(*[F.col(f"`{c}`") for c in docs.columns])

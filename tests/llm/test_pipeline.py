@@ -79,3 +79,20 @@ def test_near_dedup_odd_rows(odd_docs, no_docs):
     kept = overlap.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns and overlap.keep_first(no_docs).count() == 0
     assert sorted((r[0] for r in kept.select("doc_id").collect()), key=str) == sorted([0, 2, 5, 6, 7, 8, 10, 11, None], key=str)
+
+
+def test_source_mix_keeps_its_share_beside_a_tiny_source(spark, data):
+    """One document of a new source must not change what others keep."""
+    from pyspark.sql import functions as F
+
+    from clausemill.llm import mixing
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    tiny = docs.limit(1).withColumns({"doc_id": F.lit(10**9).cast(docs.schema["doc_id"].dataType), "text": F.lit("five words of new source"), "source": F.lit("tiny")})
+    tokens = F.size(F.split(F.trim("text"), r"\s+"))
+    total, kept = (df.agg(F.sum(tokens)).first()[0] for df in (docs, corpus_pipeline.source_mix(spark, docs.unionByName(tiny), data)))
+    assert abs(kept / total - mixing.KEEP) < 0.12
+    cells = spark.createDataFrame([(10.0, 1.0), (100.0, 1.0), (1000.0, 1.0)], "tokens double, weight double").withColumn("rate", F.col("weight") / F.col("tokens"))
+    for keep in (0.05, 0.4, 0.9, 1.0):
+        c = mixing.scale_for(cells, keep)
+        assert abs(sum(t * min(1.0, c / t) for t in (10.0, 100.0, 1000.0)) - keep * 1110) < 1e-6
