@@ -75,6 +75,15 @@ class Model:
                 return rows[found].mean(axis=0)
         return np.zeros(len(self.languages), np.float32)
 
+    def knows(self, text: str) -> bool:
+        """Whether any word of a text, or any n-gram of one, is known."""
+        for word in set(_WORD.findall(text.lower())):
+            if word in self.words[0] or any(c in self.grams[0][0] for c in word):  # a longer known n-gram has known letters, unless the bound cut them
+                return True
+            if any(f" {word} "[i : i + n] in self.grams[n - 1][0] for n in range(2, LONGEST + 1) for i in range(len(word) + 3 - n)):
+                return True
+        return False
+
     def score(self, text: str) -> tuple[str, float]:
         """Most likely language and its share of the evidence; undetermined without a letter."""
         words = _WORD.findall(text.lower())
@@ -155,8 +164,9 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 def keep_identified(docs: DataFrame, least: float = 0.0, **training) -> DataFrame:
     """The rows of ``docs`` whose language can be told, with a score of at least ``least``; all columns stay.
 
-    By default only texts without a letter go: a short text scores low, but that is no reason to lose it.
-    A missing language label is filled with the prediction.
+    Texts without a letter go.  So do unlabelled ones of which the model knows no word and no n-gram; a short text
+    scores low, but that is no reason to lose it.  If no row can teach, nothing is known about any language, and only
+    texts without a letter go.  A missing language label is filled with the prediction, if there is a model.
     """
     model = train(docs, **training)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -168,8 +178,13 @@ def keep_identified(docs: DataFrame, least: float = 0.0, **training) -> DataFram
             texts = [t or "" for t in batch.column(text_at).to_pylist()]
             for a, b in slices(texts):
                 part = batch.slice(a, b - a)
-                found = [shared.value.score(t) for t in texts[a:b]]
-                filled = pc.coalesce(part.column(lang_at), pa.array([f[0] for f in found], part.schema.field(lang_at).type))
-                yield part.set_column(lang_at, part.schema.field(lang_at), filled).filter(pa.array([f[0] != UNDETERMINED and f[1] >= least for f in found]))
+                labels, model = part.column(lang_at), shared.value
+                if model.languages:
+                    found = [model.score(t) for t in texts[a:b]]
+                    told = [f[0] != UNDETERMINED and f[1] >= least and (has or model.knows(t)) for f, has, t in zip(found, labels.is_valid().to_pylist(), texts[a:b])]
+                    labels = pc.coalesce(labels, pa.array([f[0] for f in found], labels.type))
+                else:
+                    told = [bool(_WORD.search(t)) for t in texts[a:b]]
+                yield part.set_column(lang_at, part.schema.field(lang_at), labels).filter(pa.array(told, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -96,3 +96,20 @@ def test_source_mix_keeps_its_share_beside_a_tiny_source(spark, data):
     for keep in (0.05, 0.4, 0.9, 1.0):
         c = mixing.scale_for(cells, keep)
         assert abs(sum(t * min(1.0, c / t) for t in (10.0, 100.0, 1000.0)) - keep * 1110) < 1e-6
+
+
+def test_language_stage_without_labels_and_with_unknown_script(spark, data):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(20)
+    plain = docs.withColumn("lang", F.lit(None).cast("string"))
+    letters = docs.where(r"text rlike '\\p{L}'").count()
+    kept = corpus_pipeline.language_id(spark, plain, data)
+    assert letters > 0 and kept.count() == letters and kept.where("lang is not null").count() == 0
+    nobody = docs.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    assert corpus_pipeline.language_id(spark, nobody, data).count() == letters
+    rows = [(i, "the quick brown fox", "en") for i in range(20)] + [(100, "შემოდგომა", None), (101, "შემოდგომა", "ka"), (102, "fox", None), (103, "12", None)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows[:20] + [r for r in rows[20:] if r[0] != 101], "doc_id bigint, text string, lang string"), data)
+    assert sorted(r[0] for r in kept.where("doc_id >= 100").select("doc_id").collect()) == [102]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), data)
+    assert 101 in {r[0] for r in kept.select("doc_id").collect()}
