@@ -24,8 +24,9 @@ from clausemill.llm.rows import per_text, slices
 WIDTH, HEIGHT, RATE = 64, 64, 25
 #: Characters of text, or bytes of media, that a task codes at once.
 AT_ONCE = 1_000_000
-#: A cut: histogram difference (0 to 2) over mean + DEVIATIONS standard deviations, and over FLOOR.
-DEVIATIONS, FLOOR = 1.5, 0.25
+#: A cut: histogram difference (0 to 2) over FLOOR and, where at least FEW others lie within NEAR of it, over their
+#: median + DEVIATIONS * their median absolute deviation.
+DEVIATIONS, FLOOR, NEAR, FEW = 4.0, 0.25, 8, 4
 
 # Huffman code of the nine difference sizes 0..8 as the number of codes of each length (fixed values of this format).
 _COUNTS = (0, 1, 3, 2, 1, 1, 1)  # lengths 1..7
@@ -242,13 +243,22 @@ def decode(frames: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def _usual(diff: np.ndarray, i: int) -> float:
+    """What the differences around ``diff[i]``, itself left out, reach without a cut; zero if they are too few to tell."""
+    others = np.r_[diff[max(0, i - NEAR) : i], diff[i + 1 : i + 1 + NEAR]]
+    if len(others) < FEW:
+        return 0.0
+    middle = np.median(others)
+    return float(middle + DEVIATIONS * np.median(np.abs(others - middle)))
+
+
 def shots(frames: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Frame ranges of the shots: a cut is where the histogram difference stands out from the clip's own."""
+    """Frame ranges of the shots: a cut is where the histogram difference stands out from those around it."""
     if len(frames) < 2:
         return [(0, len(frames))]
     hists = np.stack([np.bincount(f.ravel() >> 3, minlength=32) / f.size for f in frames])
     diff = np.abs(np.diff(hists, axis=0)).sum(axis=1)
-    cut = np.flatnonzero(diff > max(FLOOR, diff.mean() + DEVIATIONS * diff.std())) + 1
+    cut = np.array([i for i in np.flatnonzero(diff > FLOOR) if diff[i] > _usual(diff, i)], np.int64) + 1
     edges = [0, *cut.tolist(), len(frames)]
     return list(zip(edges, edges[1:]))
 

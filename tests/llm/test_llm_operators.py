@@ -426,3 +426,16 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     rows = [(i, "uno dos tres" if zlib.crc32(str(i).encode()) % 4 == 2 else "one two three", "es" if zlib.crc32(str(i).encode()) % 4 == 2 else "en") for i in range(60)]
     out = language.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert {r["lang_pred"] for r in out.collect()} == {"en"}
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 12, 40])
+def test_one_clear_cut_is_found_in_a_clip_of_any_length(n):
+    dark, light = np.full((64, 64), 10, np.uint8), np.full((64, 64), 200, np.uint8)
+    for at in range(1, n):
+        assert media.shots([dark] * at + [light] * (n - at)) == [(0, at), (at, n)]
+    assert media.shots([dark] * n) == [(0, n)]
+
+
+def test_many_cuts_do_not_hide_one_another():
+    frames = [np.full((64, 64), 10 + 190 * (i // 3 % 2), np.uint8) for i in range(30)]
+    assert media.shots(frames) == [(i, i + 3) for i in range(0, 30, 3)]
