@@ -20,8 +20,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").cast("bigint").alias("n_tokens"), F.round("__probability", 9).alias("probability"), F.col("__sampled").alias("sampled"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=mixing.KEEP, carry=["doc_id", "source", "lang"])
+    rounded = [F.round(f"__{c}", 9).alias(c) for c in ("probability", "residual")]
+    return mixed.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").cast("bigint").alias("n_tokens"), *rounded, F.col("__sampled").alias("sampled"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,29 +59,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _mixing_sql() -> str:
-    """The sweeps unrolled; shares, sums and draws as in ``mixing``."""
-    steps, now = [], "cells"
+    """The sweeps unrolled; shares, sums, the end of the sweeps, the scale and the draws as in ``mixing``.
+
+    The scale holds the k cells of the highest rates at 1, for the smallest k that leaves all others under 1.
+    """
+    steps, now, dims = [], "start", list(mixing.POWERS)
     for i in range(mixing.SWEEPS):
-        for name in mixing.POWERS:
-            nxt = f"w{i}_{name}"
-            steps.append(f"{nxt} AS (SELECT c.source, c.lang, c.topic, c.tokens, c.weight * a.target / sum(c.weight) OVER (PARTITION BY c.{name}) AS weight FROM {now} c JOIN aim_{name} a USING ({name}))")
-            now = nxt
+        steps.append(f"s{i} AS (SELECT source, lang, topic, tokens, weight, 0.0::DOUBLE AS off, done OR max(off) OVER () <= {mixing.TOLERANCE} AS done FROM {now})")
+        now = f"s{i}"
+        for name in dims:
+            steps.append(f"""w{i}_{name} AS (SELECT source, lang, topic, tokens, CASE WHEN done THEN weight ELSE weight * f END AS weight, CASE WHEN done THEN off ELSE greatest(off, abs(f - 1)) END AS off, done
+  FROM (SELECT c.*, a.target / sum(c.weight) OVER (PARTITION BY c.{name}) AS f FROM {now} c JOIN aim_{name} a USING ({name})))""")
+            now = f"w{i}_{name}"
     aims = [f"aim_{n} AS (SELECT {n}, pow(have, {p}) / sum(pow(have, {p})) OVER () AS target FROM (SELECT {n}, sum(tokens) AS have FROM cells GROUP BY {n}))" for n, p in mixing.POWERS.items()]
     without = "t"
-    for mark in ("###", "$$$", "%%%", "&&&", "***"):
+    for mark in mixing.MARKS:
         without = f"replace({without}, '{mark}', '')"
+    plain = f"translate(t, '{mixing._UPPER}', '{mixing._LOWER}')"
+    words = "\n".join(f"       WHEN len(regexp_extract_all({plain}, '{mixing.lexicon(w)}')) * {mixing.DENSITY * 6} > greatest(length(t), 1) THEN '{n}'" for n, w in mixing.TOPICS.items())
+    once = lambda xs: ", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in xs)
+    misses = ", ".join(f"abs(sum(weight) OVER (PARTITION BY {n}) - aim_{n}.target)" for n in dims)
     return f"""
 WITH docs AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, coalesce(source, '') AS s, coalesce(lang, '') AS l FROM documents),
-marked AS (SELECT doc_id, source, lang, s, l, len(regexp_extract_all(t, '[^\\x09-\\x0D\\x20]+'))::DOUBLE AS tokens,
+marked AS MATERIALIZED (SELECT doc_id, source, lang, s, l, len(regexp_extract_all(t, '[^\\x09-\\x0D\\x20]+'))::DOUBLE AS tokens,
   CASE WHEN (length(t) - length(replace(t, ' | ', '  '))) * 40 > greatest(length(t), 1) THEN 'table'
        WHEN (greatest(length(t), 1) - length({without})) * 10 > greatest(length(t), 1) THEN 'noise'
-       WHEN t = upper(t) AND t <> lower(t) THEN 'shout' ELSE 'prose' END AS topic FROM docs),
-cells AS MATERIALIZED (SELECT s AS source, l AS lang, topic, sum(tokens) AS tokens, sum(tokens) AS weight FROM marked GROUP BY ALL HAVING sum(tokens) > 0),
-{', '.join(a.replace(' AS (', ' AS MATERIALIZED (', 1) for a in aims)},
-{', '.join(x.replace(' AS (', ' AS MATERIALIZED (', 1) for x in steps)},
-rates AS (SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS p FROM {now}),
-chances AS (SELECT m.*, CASE WHEN m.tokens > 0 THEN coalesce(r.p, 0.0) ELSE 0.0 END AS p FROM marked m LEFT JOIN rates r ON m.s = r.source AND m.l = r.lang AND m.topic = r.topic)
-SELECT doc_id, source, lang, topic, tokens::BIGINT AS n_tokens, round(p, 9) AS probability,
+       WHEN t = upper(t) AND t <> lower(t) THEN 'shout'
+{words} ELSE 'prose' END AS topic FROM docs),
+cells AS MATERIALIZED (SELECT s AS source, l AS lang, topic, sum(tokens) AS tokens FROM marked GROUP BY ALL HAVING sum(tokens) > 0),
+{once(aims)},
+start AS (SELECT source, lang, topic, tokens, tokens AS weight, 1.0::DOUBLE AS off, false AS done FROM cells),
+{once(steps)},
+raked AS MATERIALIZED (SELECT source, lang, topic, tokens, weight, weight / tokens AS rate, greatest({misses}) AS residual FROM {now} {' '.join(f'JOIN aim_{n} USING ({n})' for n in dims)}),
+scales AS (SELECT rate, k, ({mixing.KEEP} * (SELECT sum(tokens) FROM cells) - held) / rest AS c FROM (
+  SELECT rate, row_number() OVER w AS k, sum(tokens) OVER w - tokens AS held, (SELECT sum(weight) FROM raked) - sum(weight) OVER w + weight AS rest FROM raked
+  WINDOW w AS (ORDER BY rate DESC, source, lang, topic ROWS UNBOUNDED PRECEDING))),
+scale AS (SELECT arg_min(c, k) AS c FROM scales WHERE rate * c < 1),
+chances AS (SELECT m.*, residual, CASE WHEN m.tokens > 0 THEN coalesce(least(1.0, r.rate * (SELECT c FROM scale)), 0.0) ELSE 0.0 END AS p FROM marked m LEFT JOIN raked r ON m.s = r.source AND m.l = r.lang AND m.topic = r.topic)
+SELECT doc_id, source, lang, topic, tokens::BIGINT AS n_tokens, round(p, 9) AS probability, round(residual, 9) AS residual,
   ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < p AS sampled FROM chances"""
 
 
