@@ -75,8 +75,8 @@ def _mixing_sql() -> str:
     without = "t"
     for mark in mixing.MARKS:
         without = f"replace({without}, '{mark}', '')"
-    plain = f"translate(t, '{mixing._UPPER}', '{mixing._LOWER}')"
-    words = "\n".join(f"       WHEN len(regexp_extract_all({plain}, '{mixing.lexicon(w)}')) * {mixing.DENSITY * 6} > greatest(length(t), 1) THEN '{n}'" for n, w in mixing.TOPICS.items())
+    times = lambda strings: " + ".join(f"(length(t) - length(replace(t, '{x}', ''))) / {len(x)}" for x in strings)
+    words = "\n".join(f"       WHEN ({times(x)}) * {mixing.DENSITY * 6} > greatest(length(t), 1) THEN '{n}'" for n, x in mixing.TOPICS.items())
     once = lambda xs: ", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in xs)
     misses = ", ".join(f"abs(sum(weight) OVER (PARTITION BY {n}) - aim_{n}.target)" for n in dims)
     return f"""
