@@ -13,14 +13,23 @@ from pyspark.sql import functions as F
 from clausemill.storage import discard, settle
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """``(u, m)``: the smallest ``v`` of every ``u``.
+
+    The exchange of its own keeps the grouping out of the stage of the join that follows, so that adaptive execution
+    can split the rows of a node with very many edges over several tasks.
+    """
+    return edges.groupBy("u").agg(F.min("v").alias("m")).repartition("u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _least(both).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = _least(edges)
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -3,8 +3,8 @@
 Plan
 ----
 1. One fingerprint per document (map only), written to the shared folder.
-2. Equal fingerprints collapse to one row with the smallest doc_id.  All later
-   work is on different fingerprints, so a huge group of copies is one row.
+2. Equal fingerprints collapse to one row.  All later work is on different
+   fingerprints, so a huge group of copies is one row.
 3. Candidate blocks: the 64 bits are cut into ``radius + 2`` fields; two
    fingerprints within the radius agree on at least two whole fields, so
    every link lies in a block keyed by one pair of fields.  Blocks of one row
@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.llm.components import components
+from clausemill.llm.keep import keep_one, keyed
 from clausemill.llm.rows import per_text
-from clausemill.storage import settle
+from clausemill.storage import discard, settle
 
 #: Rows of a candidate block that are compared in one unit.
 BLOCK = 2048
@@ -219,27 +220,30 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     component_id is the smallest doc_id reachable over links of at most ``radius`` differing bits, itself included.
 
     * Null or blank text: fingerprint zero, linked like any other.
-    * Null doc_id: the row gets its component's id; it is null only if no row of its fingerprint has an id
-      (such fingerprints link nothing).
-    * Repeated rows: each gives its row.  Empty table: no rows.  Other columns of ``docs`` are not read.
+    * Null doc_id: the row gets its component's id, which is null only if no row of the component has one.
+    * Repeated rows: each gives its row.  Rows that share an id but not a text are linked by their texts only.
+    * Empty table: no rows.  Other columns of ``docs`` are not read.
     """
     marks = settle(fingerprints(docs, id_col, text_col, shingle, seed).select(F.col("doc_id").cast("bigint"), "fp"), "fingerprints")
-    distinct = settle(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    roots = components(links(distinct.where("rep is not null"), radius))
-    classes = settle(distinct.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("of"), F.coalesce("root", "rep").alias("component_id")), "classes")
+    distinct = settle(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(distinct.select(F.col("fp").alias("rep"), "fp"), radius))
+    named = settle(distinct.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), "root", "least"), "named")
+    least = named.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("least").alias("all"))
+    classes = settle(named.join(least, F.col("root") == F.col("r"), "left").select("of", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("all")).alias("component_id")), "classes")
+    discard(distinct, named)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return marks.join(classes, F.col("fp") == F.col("of"), "left").select("doc_id", hexed, "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are first (smallest doc_id) of their near-duplicate group; all columns stay.
+def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row of ``docs`` (smallest doc_id, nulls last) of every component of fingerprints; all columns stay, whatever their names.
 
-    Rows without a doc_id stay, since they cannot be told apart.  If a kept doc_id occurs on several rows, one of them stays.
+    Rows that share an id are judged each by its own text; of rows equal in id and text one stays.  An empty table gives no rows.
     """
-    id_col = options.get("id_col", "doc_id")
-    found = settle(near_duplicates(docs, **options).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).where("c = doc_id"), "kept")
-    first = found.select(F.col("doc_id").alias("__first"))
-    kept = docs.join(first, docs[id_col] == first["__first"], "left_semi")
-    if found.where("n > 1").head(1):
-        kept = kept.dropDuplicates([id_col])
-    return kept.unionByName(docs.where(docs[id_col].isNull()))
+    marks = settle(fingerprints(keyed(docs, id_col, text_col), "key", "text", shingle, seed).select(F.col("doc_id").alias("key"), F.col("fp").alias("same")), "fingerprints")
+    distinct = settle(marks.select("same").distinct(), "distinct")
+    roots = components(links(distinct.select(F.col("same").alias("rep"), F.col("same").alias("fp")), radius))
+    classes = distinct.join(roots, F.col("same") == F.col("node"), "left").select(F.col("same").alias("of"), F.coalesce("root", "same").alias("root"))
+    kept = keep_one(docs, marks, classes, id_col, text_col)
+    discard(marks, distinct)
+    return kept

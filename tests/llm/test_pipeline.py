@@ -113,3 +113,16 @@ def test_language_stage_without_labels_and_with_unknown_script(spark, data):
     assert sorted(r[0] for r in kept.where("doc_id >= 100").select("doc_id").collect()) == [102]
     kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), data)
     assert 101 in {r[0] for r in kept.select("doc_id").collect()}
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    """Ids 3 and 5 with equal texts, a second row 5 with a text of its own, null ids, and equal rows."""
+    from clausemill.llm import overlap, simhash
+
+    same, own, other = "one text that two documents share word for word", "a text that no other row here has at all", "the third text stands only on rows without an id"
+    rows = [(3, same, 1), (5, same, 2), (5, own, 3), (None, same, 4), (None, other, 5), (None, other, 5), (7, None, 6), (7, None, 7), (8, " \n", 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __first int").selectExpr("*", "'x' AS key", "'y' AS doc", "map('a', 1) AS same").repartition(4)
+    for keep in (overlap.keep_first, simhash.keep_first):
+        kept = keep(df)
+        assert kept.columns == df.columns
+        assert sorted((r["__first"] for r in kept.collect())) == [1, 3, 5, 6]
