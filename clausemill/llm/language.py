@@ -10,6 +10,7 @@ model's size does not depend on the corpus.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,7 +30,21 @@ REMEMBERED = 100_000
 EVIDENCE = 0.3
 UNDETERMINED = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+
+def _ranges(characters: Iterable[str]) -> str:
+    """Characters in rising order as the inside of a character class."""
+    out: list[list[str]] = []
+    for c in characters:
+        if out and ord(c) == ord(out[-1][1]) + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(a if a == b else f"{a}-{b}" for a, b in out)
+
+
+# Word characters but for the underline and all kinds of digits and numerals: ``str.isalpha``.
+_NUMERALS = _ranges(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def held_out(id_col: str) -> Column:
@@ -116,21 +131,28 @@ def _log_frequencies(counts: Iterable[tuple[str, str, int]], languages: list[str
 
 
 def train(docs: DataFrame, rows: int = ROWS, words: int = WORDS, grams: int = GRAMS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on about ``rows`` labelled rows that are not held out, drawn by a hash of the id.
+    """Fit on about ``rows`` labelled rows that are not held out: an equal number of each language, or all of a rarer one.
 
-    The driver gets at most ``words`` words and ``LONGEST * grams`` n-grams per language.  Rows without id, text or
-    label are not used; without any usable row the model knows no language.
+    A hash of the id draws them.  The driver gets the number of labels per language, and at most ``words`` words and
+    ``LONGEST * grams`` n-grams of each.  Of entries that are equally frequent all are kept or, over the limit, none.
+    Rows without id, text or label are not used; without any usable row the model knows no language.
     """
-    usable = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
-    share = min(1.0, rows / max(1, usable.select(lang_col).count()))
-    drawn = usable.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) < share * 1_000_003)
-    seen = drawn.select(F.col(lang_col).alias("lang"), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\p{L}+"), F.lit(0))).alias("key"))
+    usable = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
+    usable = usable.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
+    labels = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not labels:
+        return Model([], {}, [{} for _ in range(LONGEST)])
+    most_of = F.create_map(*[F.lit(x) for lang, n in labels.items() for x in (lang, min(1.0, rows / len(labels) / n) * 1_000_003)])
+    drawn = usable.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_003)) < most_of[F.col("lang")])
+    seen = drawn.select("lang", F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"\p{L}+"), F.lit(0))).alias("key"))
     counted = seen.groupBy("lang", "key").agg(F.count("*").alias("n")).cache()
 
     def most(df: DataFrame, by: list[str], limit: int) -> tuple[list[tuple], dict]:
         totals = {tuple(r[:-1]): r[-1] for r in df.groupBy("lang", *by).agg(F.sum("n")).collect()}
-        rank = F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("n"), "key"))
-        top = df.withColumn("rank", rank).where(F.col("rank") <= limit).select("lang", "key", "n", *by).toArrow()
+        levels = df.groupBy("lang", *by, "n").agg(F.count("*").alias("entries"))  # few: as many as there are different counts
+        upto = F.sum("entries").over(Window.partitionBy("lang", *by).orderBy(F.desc("n")))
+        least = levels.withColumn("upto", upto).where(F.col("upto") <= limit).groupBy("lang", *by).agg(F.min("n").alias("least"))
+        top = df.join(F.broadcast(least), ["lang", *by]).where("n >= least").select("lang", "key", "n", *by).toArrow()
         return list(zip(*(c.to_pylist() for c in top.columns))), totals
 
     top, totals = most(counted.where("length(key) <= 64"), [], words)
@@ -161,17 +183,18 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0, **training) -> DataFrame:
-    """The rows of ``docs`` whose language can be told, with a score of at least ``least``; all columns stay.
+def keep_identified(docs: DataFrame, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **training) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with a score of at least ``least``; all columns stay, whatever their names.
 
-    Texts without a letter go.  So do unlabelled ones of which the model knows no word and no n-gram; a short text
-    scores low, but that is no reason to lose it.  If no row can teach, nothing is known about any language, and only
-    texts without a letter go.  A missing language label is filled with the prediction, if there is a model.
+    Texts without a letter go, null and empty ones among them.  So do unlabelled ones of which the model knows no word
+    and no n-gram; a short text scores low, but that is no reason to lose it.  If no row can teach, nothing is known
+    about any language, and only texts without a letter go.  A missing language label is filled with the prediction, if
+    there is a model.  Repeated rows and ids are judged alike and all stay; an empty table gives no rows.
     """
-    model = train(docs, **training)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **training)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the model's parameters
 
-    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

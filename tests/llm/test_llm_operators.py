@@ -4,6 +4,7 @@ import hashlib
 import re
 import struct
 import zlib
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -439,3 +440,73 @@ def test_one_clear_cut_is_found_in_a_clip_of_any_length(n):
 def test_many_cuts_do_not_hide_one_another():
     frames = [np.full((64, 64), 10 + 190 * (i // 3 % 2), np.uint8) for i in range(30)]
     assert media.shots(frames) == [(i, i + 3) for i in range(0, 30, 3)]
+
+
+def plain_language(rows, texts):
+    """Word-first backoff with dictionaries only: ``rows (id, text, lang)`` teach, each of ``texts`` gets (language, score)."""
+    import zlib
+
+    def letters(text):
+        out, word = [], ""
+        for c in (text or "").lower() + " ":
+            if c.isalpha():
+                word += c
+            elif word:
+                out.append(word)
+                word = ""
+        return out
+
+    words, grams = defaultdict(Counter), [defaultdict(Counter) for _ in range(language.LONGEST)]
+    for i, text, lang in rows:
+        if lang is not None and text is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            words[lang].update(w for w in letters(text) if len(w) <= 64)
+    languages = sorted(words)
+    for lang in languages:
+        for w, n in words[lang].items():
+            padded = f" {w} "
+            for size in range(1, language.LONGEST + 1):
+                for at in range(len(padded) - size + 1):
+                    if padded[at : at + size] != " ":
+                        grams[size - 1][lang][padded[at : at + size]] += n
+
+    def table(counts):
+        keys = {k for c in counts.values() for k in c}
+        return {k: [math.log((counts[x][k] + 0.5) / (sum(counts[x].values()) + 0.5 * len(keys))) for x in languages] for k in keys}
+
+    known, by_size = table(words), [table(g) for g in grams]
+    out = []
+    for text in texts:
+        found = letters(text)
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        total = [0.0] * len(languages)
+        for w in found:
+            rows_of = [known[w]] if w in known else []
+            for size in range(language.LONGEST, 0, -1):
+                if not rows_of:
+                    padded = f" {w} "
+                    rows_of = [by_size[size - 1][g] for at in range(len(padded) - size + 1) if (g := padded[at : at + size]) in by_size[size - 1]]
+            for j in range(len(languages)):
+                total[j] += language.EVIDENCE * (sum(r[j] for r in rows_of) / len(rows_of) if rows_of else 0.0)
+        best = max(range(len(languages)), key=lambda j: total[j])
+        out.append((languages[best], 1 / sum(math.exp(t - total[best]) for t in total)))
+    return out
+
+
+def test_language_equals_plain_backoff(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    odd = [(10**6, "²½Ⅷ", None), (10**6 + 1, "Ⅷ x²", "en"), (10**6 + 2, None, "en"), (10**6 + 3, "", None), (None, "le la les", "fr"), (10**6 + 4, "एक ½ دو", None), (0, rows[0][1], rows[0][2])]
+    df = spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string").repartition(5)
+    got = {(r["doc_id"], r["lang_pred"], round(r["score"], 4)) for r in language.identify(df, rows=10**9, words=10**9, grams=10**9).collect()}
+    want = plain_language(rows + odd, [r[1] for r in rows + odd])
+    for (i, *_), (lang, score) in zip(rows + odd, want):
+        assert any(g[0] == i and g[1] == lang and abs(g[2] - score) < 2e-3 for g in got), (i, lang, score)
+
+
+def test_a_rare_language_is_always_drawn(spark):
+    rows = [(i, f"common words of the large language {i % 7}", "en") for i in range(4000)] + [(10_000 + i, "harvinaisen kielen sanoja", "fi") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(df, rows=60)
+    assert model.languages == ["en", "fi"] and model.score("harvinaisen kielen")[0] == "fi"
