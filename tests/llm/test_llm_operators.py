@@ -387,18 +387,34 @@ def test_top_k_is_exact(spark, monkeypatch):
     rows += [(300, None, "x"), (301, [float("nan")] * 8, "x"), (302, [None] * 8, "x"), (303, [float("inf")] * 8, "x"), (None, [1.0] * 8, "x"), (7, rows[7][1], "x")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, rank string")
     ints = {i: np.floor(64 * np.array(v, np.float32).astype(float)) for i, v, _ in rows[:300]}
-    monkeypatch.setattr(vectors, "CANDIDATES", 40)
-    monkeypatch.setattr(vectors, "QUERIES", 6)
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    monkeypatch.setattr(vectors, "TOGETHER", 1)
+    monkeypatch.setattr(vectors, "AT_ONCE", 8)
     got = Counter(tuple(r) for r in vectors.top_k(df, k=5).collect())
     want = Counter()
     for q in range(0, 300, 20):
-        order = sorted((-int(ints[q] @ ints[i]), i) for i in ints if i != q)[:5]
+        order = sorted((-int(ints[q] @ ints[i]), i) for i in [*ints, 7] if i != q)[:5]  # the repeated row 7 counts twice
         want.update((q, n, i, -s) for n, (s, i) in enumerate(order, 1))
     assert got == want
     assert vectors.top_k(df.where("vec_id in (0, 1, 2)"), k=5).count() == 2
     assert vectors.top_k(df.where("vec_id < 0")).count() == 0
 
 
+def test_top_k_visits_few_blocks_and_scores_few_candidates_of_clustered_vectors(spark, monkeypatch):
+    """Elimination has to happen, and a best score found in one block has to spare the others."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    base = centres[np.arange(1200) % 12] + 0.02 * rng.normal(size=(1200, 16))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in enumerate(base)], "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    seen, keep = [], vectors.settle
+    monkeypatch.setattr(vectors, "settle", lambda df, label: seen.append((label, keep(df, label))) or seen[-1][1])
+    assert vectors.top_k(df, k=5).count() == 60 * 5
+    visits = dict(seen)["visits"].count()
+    assert visits <= 60 * 6  # of 60 queries and 12 blocks
+
+
 # --- 10
 
 
