@@ -149,6 +149,28 @@ def test_sliding_entropy_is_that_of_each_window(spark):
         assert (r["h"]["first"], r["h"]["last"]) == ((hot[0], hot[-1] + 20) if hot else (None, None))
 
 
+def test_entropy_finds_random_keys_of_every_class_and_leaves_words_alone(spark):
+    import random
+    import string
+
+    rng = random.Random(11)
+    classes = {"hex": "0123456789ABCDEF", "lower": string.ascii_lowercase + string.digits, "upper": string.ascii_uppercase + "234567", "mixed": string.ascii_letters + string.digits, "letters": string.ascii_letters, "wide": string.ascii_letters + string.digits + "+/"}
+    rows = [(f"{name} {n}", "".join(rng.choice(chars) for _ in range(n))) for name, chars in classes.items() for n in (20, 24, 32, 40) for _ in range(150)]
+    texts = [(i, name, f"see com/samples/ {key} end") for i, (name, key) in enumerate(rows)]
+    found = secrets.secret_report(spark.createDataFrame(texts, "doc_id bigint, name string, text string").repartition(8))
+    hit = {r["doc_id"] for r in found.where("spans <> ''").select("doc_id").collect()}
+    caught = Counter(name for i, name, _ in texts if i in hit)
+    assert all(caught[f"{name} {n}"] >= 0.9 * 150 for name in classes for n in (20, 24, 32, 40)), caught
+    clean = [
+        "internationalization counterrevolutionaries Donaudampfschifffahrtsgesellschaft", "path/to/some/module_with_long_name/and-more-of-it", "TheQuickBrownFoxJumpsOverTheLazyDog", "2024-01-20/2024-02-20/2025-12-31",
+        "123e4567-e89b-12d3-a456-426614174000", "EXAMPLE0KEY1EXAMPLE2KEY3", "--------------------------------", "https://host/a-very-long-page-name-of-plain-words/index", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAAA", "abcdefghijklmnopqrstuvwxyz0123456789",
+    ]
+    out = secrets.secret_report(spark.createDataFrame(list(enumerate(clean)), "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["spans"] for r in out.collect()} == dict.fromkeys(range(len(clean)), "")
+    mixed = f"token={'a1' * 8} then kP9vQ2mZx7Lw4Rt8Yb3Nc6Hd1Jf5"
+    assert "entropy" in collected(secrets.secret_report(spark.createDataFrame([(1, mixed)], "doc_id bigint, text string")))[0]["spans"]
+
+
 def test_redaction_removes_every_secret(spark):
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate([*SECRETS, None, "clean text"])], "doc_id bigint, text string, n_chars bigint")
     out = collected(secrets.redact_secrets(docs).orderBy("doc_id"))
