@@ -47,9 +47,11 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None,
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """The most bins that the dual-feasible functions used here prove necessary."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
+
+
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same bound from the number of items of each length 0..capacity."""
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     upto, tokens = np.cumsum(count), np.cumsum(count * size)
@@ -106,14 +108,19 @@ def _pack(capacity: int, last: bool):
 
 
 def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every piece with its place: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, bound_gap``.
+    """Every piece with its place: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, bound_gap, corpus_bound``.
 
-    bound_gap is how many bins its partition has above the proven bound (0: certified optimal).
+    bound_gap is how many bins its partition has above the proven bound (0: certified optimal); corpus_bound is the
+    number of sequences that no packing of all pieces can do without.
 
     Null text counts as empty: one piece that holds only ``end_id``.  Null and repeated ids are packed like any
     others.  An empty table gives no rows.  Other columns of ``docs`` are not read.
     """
     pool = settle(pieces(docs, capacity, vocabulary, end_id, id_col, text_col), "pieces")
+    count = np.zeros(capacity + 1, np.int64)
+    for r in pool.groupBy("length").count().collect():  # at most ``capacity`` rows
+        count[r["length"]] = r["count"]
+    bound = F.lit(bound_of_counts(count, capacity)).cast("bigint").alias("corpus_bound")
     done, turn, before = None, 0, None
     while True:
         tokens = pool.agg(F.sum("length")).first()[0] or 0
@@ -121,11 +128,11 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, e
         if before is not None and parts >= before:
             parts = max(1, before // 2)
         before, last = parts, parts == 1
-        dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32", "start"), F.lit(parts)).cast("bigint"))
+        dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), F.monotonically_increasing_id()), F.lit(parts)).cast("bigint"))  # by place in the written table: repeated rows part
         packed = dealt.groupBy("part").applyInPandas(_pack(capacity, last), f"{PIECE}, part bigint, bin bigint, offset bigint, released boolean, bound_gap bigint")
         packed = settle(packed, f"packed{turn}")
         number = F.lit(turn * 2**56) + F.col("part") * 2**24 + F.col("bin")
-        kept = packed.where("not released").select(*[c.split()[0] for c in PIECE.split(", ")], number.alias("sequence_id"), "offset", "bound_gap")
+        kept = packed.where("not released").select(*[c.split()[0] for c in PIECE.split(", ")], number.alias("sequence_id"), "offset", "bound_gap", bound)
         done = kept if done is None else done.unionByName(kept)
         if last:
             return done

@@ -28,7 +28,7 @@ EXAMPLES, PRECISION = 4_000, 0.97
 BASE_KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]++(?:\.[0-9]+){3}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")  # a match never starts inside a run of digits: what fails at its start fails there too
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -198,7 +198,7 @@ def _place(spans: list[tuple[int, int]], start: int) -> int:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_email, n_ip, n_card, n_phone, base, spans)`` per row of ``docs``; base and spans list ``kind:start:end``.
+    """``(doc_id, n_email, n_ip, n_card, n_phone, base, n_spans, spans)`` per row of ``docs``; base and spans list ``kind:start:end``.
 
     Null text counts as empty and has no spans.  Ids may be null or repeat.  An empty table gives no rows.  Other columns are not read.
     """
@@ -211,16 +211,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         out: dict[str, list] = {f"n_{k}": [sum(s[1] == i for s in b) for b in base] for i, k in enumerate(BASE_KINDS)}
         out["base"] = [",".join(f"{BASE_KINDS[k]}:{s}:{e}" for s, k, e in b) for b in base]
         every = [sorted([*b, *((s, n + k, e) for s, k, e in m)]) for b, m in zip(base, more)]
+        out["n_spans"] = [len(spans) for spans in every]
         out["spans"] = [",".join(f"{(*BASE_KINDS, *KINDS)[k]}:{s}:{e}" for s, k, e in spans) for spans in every]
         return out
 
-    return per_text(docs, of, "n_email bigint,n_ip bigint,n_card bigint,n_phone bigint,base string,spans string", id_col, text_col)
+    return per_text(docs, of, "n_email bigint,n_ip bigint,n_card bigint,n_phone bigint,base string,n_spans bigint,spans string", id_col, text_col)
 
 
 def pii_report(docs: DataFrame, **options) -> DataFrame:
     """:func:`find_pii` with the base list hashed."""
     found = find_pii(docs, **options)
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "n_spans", "spans")
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:

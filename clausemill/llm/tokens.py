@@ -100,6 +100,8 @@ class _Table:
     def learn(self, new: list[str]) -> None:
         ids = np.array(self.tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1  # the last token of a word has the word-end mark
+        if len(ends) != len(new):
+            raise ValueError(f"{len(new)} words came back as {len(ends)}: this vocabulary does not mark word ends as expected")
         if self.packed:
             data, at = ids.tobytes(), (4 * ends).tolist()
             self.known.update(zip(new, map(data.__getitem__, map(slice, [0, *at[:-1]], at))))

@@ -239,6 +239,15 @@ def test_licenses(spark, odd_docs, no_docs):
 # --- 5, 6
 
 
+def test_license_texts_with_inserted_missing_and_changed_words(spark):
+    mit = licenses.TEMPLATES[13][0]
+    words = mit.split()
+    texts = [mit, " ".join([*words[:20], "quite", *words[20:]]), " ".join([*words[:30], *words[31:]]), " ".join([*words[:40], "changed", *words[41:]]), " ".join(words[:30]), "of the software and of the rights to use it", f"intro words here {mit} and more {mit}"]
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [out[i]["labels"] for i in range(7)] == ["mit", "mit", "mit", "mit", "mit", "", "mit"]  # the first 30 words hold the short statement whole
+    assert out[0]["score"] == 1.0 and 0.85 <= out[2]["score"] and out[5]["score"] == 0.0 and {r["n_base"] for r in out.values()} == {0}
+
+
 @pytest.fixture(scope="module")
 def library():
     return tokens.tokenizer(tokens.default_vocabulary())
@@ -294,6 +303,7 @@ def test_packing(odd_docs, no_docs, library, monkeypatch):
         assert at <= capacity
     total = sum(r["length"] for r in rows)
     assert len(bins) <= -(-total // capacity) + 1
+    assert {r["corpus_bound"] for r in rows} == {packing.lower_bound(np.array([r["length"] for r in rows]), capacity)} and len(bins) >= rows[0]["corpus_bound"]
     assert packing.pack(no_docs).count() == 0
 
 
@@ -354,6 +364,30 @@ def test_pii_report(odd_docs, no_docs):
     assert pii.pii_report(no_docs).count() == 0
 
 
+PRIVATE = [
+    "Please ring our front desk on (212) 555-0147 after lunch.", "My mobile: 415-555-0199, leave a message", "You can phone 020 7946 0958 between nine and five", "Fax 303.555.0142 for the records office", "her cell is 617 555 0123 if urgent",
+    "write to jane.doe at example dot org about this", "contact: sales [at] example [dot] com", "mail me: bob(at)example(dot)net", "His social security number is 219-09-9999, keep it safe.", "SSN 078-05-1120 was on the form", "national id 123-45-6789",
+    "Transfer the rent to IBAN DE89370400440532013000 by Friday", "bank account GB29NWBK60161331926819 in London", "iban: FR1420041010050500013M02606", "Wire it to account 12345678 at the bank", "my bank account number is 000123456789",
+]
+HARMLESS = [
+    "Invoice 20240117 was paid late", "order 4471829930 shipped on Monday", "Released as version 120.334.5567 last week", "the part 555-013-4452 is out of stock", "page rows total 12345678 score", "look at the dot in the middle", "we met at noon dot by dot",
+    "ticket 90210777 is closed", "ISBN 9780306406", "The serial is AB12 3456 7890 1234 on the lid", "item 000-12-3456 in the catalogue", "about 10000000 people live there", "build 20260117 passed", "the year 1999 2004 2008 were wet", "see part 950-11-2222",
+]
+
+
+def test_pii_method_on_sentences_that_no_generator_wrote():
+    found = [bool(pii.method_spans([t], [pii.base_spans(t)], pii.model())[0]) for t in PRIVATE + HARMLESS]
+    assert sum(found[: len(PRIVATE)]) >= 0.9 * len(PRIVATE) and not any(found[len(PRIVATE) :])
+
+
+def test_address_search_is_linear_in_digits():
+    import time
+
+    start = time.perf_counter()
+    assert pii.base_spans("1" * 200_000 + "." + "2" * 200_000) == []
+    assert time.perf_counter() - start < 2
+
+
 def test_pii_method_on_examples_kept_apart(spark):
     trees, thresholds = pii.model()
     rows = list(pii._examples(1000, seed=99))
