@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.rows import per_text, slices
+from clausemill.llm.rows import per_text, text_slices
 
 #: Bounds of the model: labelled rows in the sample (expected), words and n-grams (of each length) per language.
 ROWS, WORDS, GRAMS = 4_000, 20_000, 10_000
@@ -198,16 +198,15 @@ def keep_identified(docs: DataFrame, least: float = 0.0, id_col: str = "doc_id",
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_at).to_pylist()]
-            for a, b in slices(texts):
+            for a, b, texts in text_slices(batch.column(text_at)):
                 part = batch.slice(a, b - a)
                 labels, model = part.column(lang_at), shared.value
                 if model.languages:
-                    found = [model.score(t) for t in texts[a:b]]
-                    told = [f[0] != UNDETERMINED and f[1] >= least and (has or model.knows(t)) for f, has, t in zip(found, labels.is_valid().to_pylist(), texts[a:b])]
+                    found = [model.score(t) for t in texts]
+                    told = [f[0] != UNDETERMINED and f[1] >= least and (has or model.knows(t)) for f, has, t in zip(found, labels.is_valid().to_pylist(), texts)]
                     labels = pc.coalesce(labels, pa.array([f[0] for f in found], labels.type))
                 else:
-                    told = [bool(_WORD.search(t)) for t in texts[a:b]]
+                    told = [bool(_WORD.search(t)) for t in texts]
                 yield part.set_column(lang_at, part.schema.field(lang_at), labels).filter(pa.array(told, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
