@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,11 +23,50 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(trim(c), f"{WS}+", " ")
 
 
+QUOTES, DASHES = ("‘’‚‛′", "“”„‟″"), "‐‑‒–—―−"
+
+
+@functools.lru_cache(maxsize=1)
+def compatibility() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters that NFKC replaces, by the form it gives them: one character, or several.  Quotes and dashes have their own plain forms."""
+    own, one, many = set("".join(QUOTES) + DASHES), {}, {}
+    for i in (*range(0xA0, 0xD800), *range(0xE000, 0x110000)):
+        c = chr(i)
+        if (n := unicodedata.normalize("NFKC", c)) != c and c not in own:
+            (one if len(n) == 1 else many)[c] = n
+    return one, many
+
+
+#: Outside of these, NFKC changes nothing.
+_MAY_CHANGE = r"[\u00A0-\u00BF\u0132-\uFFFF\x{10000}-\x{10FFFF}]"
+
+
+def nfkc(c: Column) -> Column:
+    """Every character by its NFKC form; sequences are not composed.  Text of plain Latin letters passes through untouched."""
+    one, many = compatibility()
+    single = F.translate(c, "".join(one), "".join(one.values()))
+    forms = F.map_from_arrays(F.lit(list(many)), F.lit(list(many.values())))
+    every = F.lit("".join(many))
+    several = F.array_join(F.transform(F.split(single, ""), lambda x: F.when(F.contains(every, x) & (x != ""), F.element_at(forms, x)).otherwise(x)), "")
+    ranges = "".join(a if a == b else f"{a}-{b}" for a, b in _ranges(many))
+    return F.when(c.rlike(_MAY_CHANGE), F.when(single.rlike(f"[{ranges}]"), several).otherwise(single)).otherwise(c)
+
+
+def _ranges(characters: dict[str, str]) -> list[list[str]]:
+    out: list[list[str]] = []
+    for c in characters:
+        if out and ord(c) == ord(out[-1][1]) + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return out
+
+
 def normalize(c: Column) -> Column:
-    """The form in which quotations are compared: invisible characters out, spaces, quotes and dashes plain."""
+    """The form in which quotations are compared: invisible characters out, spaces, quotes and dashes plain, all others by their NFKC form."""
     invisible = F.regexp_replace(c, "[\u00ad\u200b\u200c\u200d\ufeff]", "")
-    plain = F.translate(invisible, "‘’‚‛′“”„‟″‐‑‒–—―−", "'''''\"\"\"\"\"-------")
-    return fold(plain)
+    plain = F.translate(fold(invisible), "".join(QUOTES) + DASHES, "'" * 5 + '"' * 5 + "-" * 7)
+    return nfkc(plain)
 
 
 def strip_spaces(norm: Column) -> Column:
@@ -204,11 +245,38 @@ def out_of_scope(c: Column) -> Column:
     return F.when(new, P.OUT_OF_SCOPE_NEW).when(layout, P.OUT_OF_SCOPE_FORMAT)
 
 
+def offsets(lengths: Column, gap: int = 0, run: int = 256) -> Column:
+    """Offsets of the pieces of a text from their lengths, ``gap`` characters between neighbours; gathered in runs, since adding to an array copies it."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("run"), F.array().cast("array<array<int>>").alias("done"))
+
+    def step(acc: Column, n: Column) -> Column:
+        full = F.size(acc["run"]) >= run
+        return F.struct(
+            (acc["at"] + n + gap).alias("at"),
+            F.when(full, F.array(acc["at"])).otherwise(F.concat(acc["run"], F.array(acc["at"]))).alias("run"),
+            F.when(full, F.concat(acc["done"], F.array(acc["run"]))).otherwise(acc["done"]).alias("done"),
+        )
+
+    return F.aggregate(lengths, zero, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["run"]))
+
+
+def _cut_before(hay: Column, needle: Column) -> Column:
+    """The pieces of ``hay`` when it is cut before every place of ``needle``, overlapping ones included."""
+    literal = F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.split(hay, F.concat(F.lit("(?=\\Q"), literal, F.lit("\\E)")), -1)
+
+
 def occurrences(hay: Column, needle: Column) -> Column:
-    """0-based places of ``needle`` in ``hay``, overlapping ones included."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(hay) - F.length(needle) + 1, F.lit(1)))
-    found = F.filter(places, lambda i: F.substr(hay, i, F.length(needle)) == needle)
-    return F.when((F.length(needle) > 0) & (F.instr(hay, needle) > 0), F.transform(found, lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+    """0-based places of ``needle`` in ``hay``, overlapping ones included; one pass over ``hay``."""
+    starts = offsets(F.transform(_cut_before(hay, needle), lambda x: F.length(x)))
+    found = F.filter(starts, lambda at, i: (i > 0) | F.startswith(hay, needle))
+    return F.when((F.length(needle) > 0) & F.contains(hay, needle), found).otherwise(F.array().cast("array<int>"))
+
+
+def count_occurrences(hay: Column, needle: Column) -> Column:
+    """The number of places of ``needle`` in ``hay``, overlapping ones included."""
+    n = F.size(_cut_before(hay, needle)) - 1 + F.startswith(hay, needle).cast("int")
+    return F.when((F.length(needle) > 0) & F.contains(hay, needle), n).otherwise(0)
 
 
 def straight_quotes(c: Column) -> Column:

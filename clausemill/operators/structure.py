@@ -19,27 +19,12 @@ def lines(docs: DataFrame, keys: list[str], text_col: str = "text", keep_empty:
     """
     rows = docs.select(*keys, F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("ls"))
     lengths = F.transform("ls", lambda x: F.length(x))
-    rows = rows.select(*keys, "ls", _running(lengths).alias("starts"))
+    rows = rows.select(*keys, "ls", T.offsets(lengths, 1).alias("starts"))
     rows = rows.select(*keys, F.posexplode(F.arrays_zip("ls", "starts")).alias("line", "x"))
     out = rows.select(*keys, "line", F.col("x.starts").alias("line_start"), (F.col("x.starts") + F.length("x.ls")).alias("line_end"), F.col("x.ls").alias("line_text"))
     return out if keep_empty else out.where("line_end > line_start")
 
 
-def _running(lengths: Column, run: int = 256) -> Column:
-    """Offsets of the pieces of a text from their lengths, one separator between neighbours; gathered in runs, since adding to an array copies it."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("run"), F.array().cast("array<array<int>>").alias("done"))
-
-    def step(acc: Column, n: Column) -> Column:
-        full = F.size(acc["run"]) >= run
-        return F.struct(
-            (acc["at"] + n + 1).alias("at"),
-            F.when(full, F.array(acc["at"])).otherwise(F.concat(acc["run"], F.array(acc["at"]))).alias("run"),
-            F.when(full, F.concat(acc["done"], F.array(acc["run"]))).otherwise(acc["done"]).alias("done"),
-        )
-
-    return F.aggregate(lengths, zero, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["run"]))
-
-
 def segment_clauses(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """``(keys, ordinal, ref, heading, depth, start, end, body)``: one row per clause.
 

@@ -2,26 +2,30 @@
 
 Passes, first hit wins: EXACT_WS on normalised text, HYPHEN_BREAK with line-break
 hyphens joined, WS_INSENSITIVE without spaces (quotes of 8 characters or more),
-CASE_INSENSITIVE.  Quotes are the small side of a substring join; their size is
-checked before they are broadcast, beyond that they are joined in blocks.
+CASE_INSENSITIVE.  To find quotes anywhere, the first characters of each are
+looked for in all documents at once, in one pass over a text whatever their
+number; what is found is joined to the quotes by those characters and verified.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
+from clausemill.functions.patterns import WS
 
 SHORTEST, LONGEST = 8, 1500
-#: Quotes that one broadcast holds; more go in blocks of this many.
-QUOTES = 20_000
+#: Quotes, and bytes of quotes, that one broadcast holds; more go in blocks.  Characters of a quote that are looked for.
+QUOTES, BYTES, KEY = 50_000, 32_000_000, 24
 
-_QUOTES = dict.fromkeys("‘’‚‛′", "'") | dict.fromkeys("“”„‟″", '"')
-_DASHES = dict.fromkeys("‐‑‒–—―−", "-")
+_PLAIN = dict.fromkeys(T.QUOTES[0], "'") | dict.fromkeys(T.QUOTES[1], '"') | dict.fromkeys(T.DASHES, "-")
 _DROPPED = frozenset("­​‌‍﻿")
 
 
@@ -60,28 +64,51 @@ def match_kind() -> tuple[Column, Column]:
     )
     kind = count = None
     for test, name, hay, needle in passes:
-        n = F.size(T.occurrences(hay, needle))
+        n = T.count_occurrences(hay, needle)
         kind = F.when(test, name) if kind is None else kind.when(test, name)
         count = F.when(test, n) if count is None else count.when(test, n)
     return kind, count
 
 
+def _bare(c: Column) -> Column:
+    """All four forms of a text agree once spaces and case are gone."""
+    return F.lower(T.strip_spaces(c))
+
+
+def _search(keys: Broadcast):
+    """Which of the keys are in a text or in its other form."""
+
+    @F.pandas_udf("array<string>")
+    def seen(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for key in keys.value:
+            found.add_word(key, key)
+        found.make_automaton()
+        for texts, others in batches:
+            yield pd.Series([list({key for text in pair if text and len(found) for _, key in found.iter(text)}) for pair in zip(texts, others)], dtype=object)
+
+    return seen
+
+
 def find_quotes(docs: DataFrame, quotes: DataFrame, **names: str) -> DataFrame:
     """``(quote_id, doc_id, match_kind, n_matches)`` for every quote found in a document.
 
-    Every document is read once for each block of quotes; a block is broadcast.
+    Every document is read once for each block of at most QUOTES quotes and BYTES bytes of them.
     """
+    spark = docs.sparkSession
     prepared = prepare(docs, **names)
-    asked = prepare_quotes(quotes).where("reason is null").drop("reason")
-    n = asked.count()
-    blocks = max(1, -(-n // QUOTES))
+    asked = prepare_quotes(quotes).where("reason is null").drop("reason").withColumn("key", F.substring(_bare(F.col("q")), 1, KEY))
+    n, size = asked.agg(F.count("*"), F.sum(F.octet_length("q"))).first()
+    blocks = max(1, -(-n // QUOTES), -(-(size or 0) // BYTES))
     out = None
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("quote_id"), F.lit(blocks)) == b) if blocks > 1 else asked
+        keys = [r["key"] for r in block.select("key").distinct().collect()]
         kind, count = match_kind()
-        # All four forms agree once spaces and case are gone, so one substring test finds the candidates.
-        near = F.contains(F.lower("stripped"), F.lower("q_stripped")) | F.contains(F.col("hyphen_norm"), F.col("q"))
-        found = prepared.join(F.broadcast(block), near).select("quote_id", "doc_id", kind.alias("match_kind"), count.alias("n_matches")).where("match_kind is not null")
+        near = prepared.withColumn("key", F.explode(_search(spark.sparkContext.broadcast(keys))(_bare(F.col("norm")), _bare(F.col("hyphen_norm")))))
+        found = near.join(F.broadcast(block), "key").select("quote_id", "doc_id", kind.alias("match_kind"), count.alias("n_matches")).where("match_kind is not null")
         out = found if out is None else out.unionAll(found)
     return out
 
@@ -115,34 +142,57 @@ def normalize_with_map(text: str) -> tuple[str, list[int]]:
             out.append(" ")
             places.append(gap)
         gap = None
-        for d in _QUOTES.get(c) or _DASHES.get(c) or unicodedata.normalize("NFKC", c):
+        for d in _PLAIN.get(c) or unicodedata.normalize("NFKC", c):
             out.append(d)
             places.append(i)
     return "".join(out), places
 
 
+_SPACES = re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), WS)
+_BREAK = re.compile(rf"(?<=[^\W\d_])-{_SPACES}*[\r\n]{_SPACES}*(?=[^\W\d_])")
+
+
+def _forms(text: str) -> Iterator[tuple[str, list[int], Callable[[str], str]]]:
+    """The forms that the passes search, in their order: form, the place in ``text`` of each of its characters, and the form of a quote."""
+    norm, places = normalize_with_map(text)
+    yield norm, places, lambda q: q
+    kept, at = [], 0
+    for m in _BREAK.finditer(text):
+        kept += range(at, m.start())
+        at = m.end()
+    if kept:
+        kept += range(at, len(text))
+        joined, inner = normalize_with_map("".join(map(text.__getitem__, kept)))
+        yield joined, [kept[i] for i in inner], lambda q: q
+    solid = [(c, p) for c, p in zip(norm, places) if c != " "]
+    yield "".join(c for c, _ in solid), [p for _, p in solid], lambda q: q.replace(" ", "") if len(q.replace(" ", "")) >= SHORTEST else ""
+    lowered = [(d, p) for c, p in zip(norm, places) for d in c.lower()]
+    yield "".join(c for c, _ in lowered), [p for _, p in lowered], str.lower
+
+
+def places_of(text: str, quote: str) -> list[tuple[int, int]]:
+    """``(start, end)`` in ``text`` of every match of the first pass that has one; end exclusive, never inside a character."""
+    needle = normalize_with_map(quote)[0]
+    for form, places, of in _forms(text):
+        key, found = of(needle), []
+        at = form.find(key) if key else -1
+        while at >= 0:
+            found.append((places[at], places[at + len(key) - 1] + 1))
+            at = form.find(key, at + 1)
+        if found:
+            return found
+    return []
+
+
 def quote_offsets(pairs: DataFrame) -> DataFrame:
     """``(quote_id, doc_id, start, end)`` in original text for every match of ``pairs (quote_id, doc_id, text, quote)``; end exclusive.
 
-    The exact pass is tried first, then the one without regard to case.
+    The passes of :func:`find_quotes` are tried in their order; null text or quote has no match.
     """
 
     @F.pandas_udf("array<struct<start:int,end:int>>")
     def locate(texts: pd.Series, quotes: pd.Series) -> pd.Series:
-        out = []
-        for t, q in zip(texts, quotes):
-            norm, places = normalize_with_map(t or "")
-            needle = normalize_with_map(q or "")[0]
-            found = []
-            for hay, key in ((norm, needle), (norm.lower(), needle.lower())):
-                at = hay.find(key) if key and len(hay) == len(norm) else -1
-                while at >= 0:
-                    found.append({"start": places[at], "end": places[at + len(key) - 1] + 1})
-                    at = hay.find(key, at + 1)
-                if found:
-                    break
-            out.append(found)
-        return pd.Series(out)
+        return pd.Series([[{"start": a, "end": b} for a, b in places_of(t or "", q or "")] for t, q in zip(texts, quotes)])
 
     return pairs.select("quote_id", "doc_id", F.inline(locate("text", "quote")))
 

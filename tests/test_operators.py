@@ -1,5 +1,6 @@
 """Operators on literal rows: one small case for each rule."""
 
+import re
 import io
 import zipfile
 
@@ -284,3 +285,41 @@ def test_server_events(spark):
 @pytest.mark.parametrize("n, want", [(0, "0 B"), (1023, "1023 B"), (1536, "1.5 KB"), (20_480, "20 KB"), (5 << 20, "5.0 MB"), (3 << 40, "3072 GB")])
 def test_format_bytes(spark, n, want):
     assert spark.range(1).select(format_bytes(F.lit(n)).alias("v")).first()["v"] == want
+
+
+def test_normalize_column_equals_the_map_form_over_all_of_unicode(spark):
+    points = [i for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(f"x{chr(i)}y" for i in points[a : a + 500]) for a in range(0, len(points), 500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    got = {r["i"]: r["n"] for r in rows.select("i", T.normalize(F.col("t")).alias("n")).collect()}
+    spaces = re.compile("[\x1c-\x1f\x85]")  # white space to one library only
+    wrong = [hex(points[500 * i + j]) for i, t in enumerate(texts) if got[i] != verify.normalize_with_map(t)[0] for j in range(500) if 500 * i + j < len(points) and not spaces.match(c := chr(points[500 * i + j])) and verify.normalize_with_map(f"x{c}y")[0] not in got[i]]
+    assert not wrong
+
+
+def test_occurrences_overlap_and_are_literal(spark):
+    rows = [("aaaa", "aa"), ("a.b.c", "."), ("x\\Ey\\Ez", "\\E"), ("abc", ""), ("", "a"), ("abab", "ab"), ("😀a😀a", "a"), ("abc", "abcd"), (None, "a")]
+    got = spark.createDataFrame(rows, "h string, n string").select("h", "n", T.occurrences(F.col("h"), F.col("n")).alias("at"), T.count_occurrences(F.col("h"), F.col("n")).alias("c")).collect()
+    for r in got:
+        want = [i for i in range(len(r["h"])) if r["n"] and r["h"].startswith(r["n"], i)] if r["h"] else []
+        assert (r["at"], r["c"]) == (want, len(want)), r
+
+
+def test_offsets_of_every_pass():
+    text = "Intro. The ﬁnal  finding of ＡＢＣ holds; com-\n  pany law “applies” here."
+    for quote, part in (
+        ("the final finding of ABC holds", "The ﬁnal  finding of ＡＢＣ holds"), ("company law", "com-\n  pany law"), ("findingofABCholds", "finding of ＡＢＣ holds"), ('"applies" here', "“applies” here"), ("FINAL FINDING", "ﬁnal  finding"), ("no such words", None),
+    ):
+        found = verify.places_of(text, quote)
+        assert ([text[a:b] for a, b in found] == [part]) if part else found == []
+    assert verify.places_of("", "quote") == [] == verify.places_of("text", "")
+    assert verify.places_of("ﬁ ﬁ", "fi fi") == [(0, 3)] and verify.places_of("aﬁ", "af") == [(0, 2)]
+
+
+def test_quotes_are_found_through_ligatures_and_without_a_nested_loop(spark):
+    docs = spark.createDataFrame([(1, "It says: the ﬁnal finding of ＡＢＣ holds."), (2, "nothing of the kind"), (3, None), (4, "com-\n pany meetings com- pany")], "doc_id int, text string")
+    quotes = spark.createDataFrame([(10, "the final finding of ABC holds"), (11, "company meetings"), (12, "THE FINAL FINDING"), (13, "short"), (14, None)], "quote_id int, text string")
+    found = verify.find_quotes(docs, quotes)
+    assert sorted(tuple(r) for r in found.collect()) == [(10, 1, "EXACT_WS", 1), (11, 4, "HYPHEN_BREAK", 1), (12, 1, "CASE_INSENSITIVE", 1)]
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    assert verify.find_quotes(docs, quotes.where("quote_id = 13")).count() == 0
