@@ -84,3 +84,17 @@ def render_excerpts(rows: DataFrame, key: str) -> DataFrame:
     label = F.when(name != "", name).otherwise(F.concat(F.lit("Excerpt "), F.row_number().over(Window.partitionBy(key).orderBy("n")).cast("string")))
     piece = F.concat(F.lit("### "), label, F.lit("\n"), F.col("text"))
     return rows.withColumn("x", piece).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda c: c["x"]), "\n\n").alias("prompt"))
+
+
+LONGEST_QUESTION, MOST_DOCUMENTS = 2000, 5
+
+
+def question_error(question: Column, n_documents: Column) -> Column:
+    """Why a question can't be asked, else null: blank, over 2,000 characters, about no document or about too many."""
+    asked = T.trim(F.coalesce(question, F.lit("")))
+    return (
+        F.when(asked == "", "EMPTY")
+        .when(F.length(asked) > LONGEST_QUESTION, "TOO_LONG")
+        .when(n_documents == 0, "NO_DOCUMENT")
+        .when(n_documents > MOST_DOCUMENTS, "TOO_MANY_DOCUMENTS")
+    )

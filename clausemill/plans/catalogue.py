@@ -145,7 +145,7 @@ def verify_quotes(spark, sf_dir):
     return long(verify.find_quotes(table(spark, sf_dir, "documents"), _quotes(spark, sf_dir)), "n_matches")
 
 
-_CITED = """SELECT item_id AS quote_id, CASE WHEN item_id % 7 = 6 THEN -1 ELSE item_id % 100 END AS doc_id, CASE item_id % 4 WHEN 0 THEN 'short' WHEN 1 THEN text || ' ... ' || text WHEN 2 THEN repeat('long quote ', 150) ELSE text END AS text FROM {benchmark}"""
+_CITED = """SELECT item_id AS quote_id, CASE WHEN item_id % 7 = 6 THEN -1 ELSE item_id END AS doc_id, CASE item_id % 4 WHEN 0 THEN 'short' WHEN 1 THEN text || ' ... ' || text WHEN 2 THEN repeat('long quote ', 150) ELSE text END AS text FROM {benchmark}"""
 
 
 @query(f"""
@@ -192,9 +192,9 @@ def quote_offsets(spark, sf_dir):
     return verify.quote_offsets(pairs)
 
 
-@query(f"SELECT quote_id, doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower({s_fold('text')}) ORDER BY n, quote_id) AS r FROM (SELECT conv_id * 1000 + turn AS quote_id, conv_id % 20 AS doc_id, turn AS n, substr(text, 1, 12) AS text FROM conversations)) WHERE r = 1")
+@query(f"SELECT quote_id, doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower({s_fold('text')}) ORDER BY n, quote_id) AS r FROM (SELECT conv_id * 1000 + turn AS quote_id, conv_id AS doc_id, turn AS n, text FROM conversations)) WHERE r = 1")
 def quote_dedupe(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("quote_id"), (F.col("conv_id") % 20).alias("doc_id"), F.col("turn").alias("n"), F.substring("text", 1, 12).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("quote_id"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("n"), "text")
     return verify.quote_dedupe(rows).select("quote_id", "doc_id", "text")
 
 
@@ -215,7 +215,7 @@ _H = s_heading("x")
 _HEADING_LINES = f"""SELECT doc_id, version, line, line_start, {_H['ref']} AS ref, {_H['heading']} AS heading, {_H['depth']} AS depth FROM (
   SELECT doc_id, version, line, line_text, {s_trim('line_text')} AS x, coalesce(sum(length(line_text) + 1) OVER (PARTITION BY doc_id, version ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_start
   FROM (SELECT doc_id, version, unnest(range(0, len(ls))) AS line, unnest(ls) AS line_text FROM (SELECT doc_id, version, string_split(full_text, chr(10)) AS ls FROM docs)))"""
-_SHAPES = """SELECT l_orderkey AS doc_id, 'base' AS version, CASE l_partkey % 7 WHEN 0 THEN 'ARTICLE IV - Payment' WHEN 1 THEN 'Section 5.2: Fees and costs' WHEN 2 THEN '(iv) each party shall pay' WHEN 3 THEN 'LIMITATION OF LIABILITY' WHEN 4 THEN 'see clause 4 below' WHEN 5 THEN '4.2.1 Exclusions' ELSE 'THE END.' END AS full_text FROM {lineitem} WHERE l_linenumber = 1"""
+_SHAPES = """SELECT l_orderkey * 10 + l_linenumber AS doc_id, 'base' AS version, CASE l_partkey % 7 WHEN 0 THEN 'ARTICLE IV - Payment' WHEN 1 THEN 'Section 5.2: Fees and costs' WHEN 2 THEN '(iv) each party shall pay' WHEN 3 THEN 'LIMITATION OF LIABILITY' WHEN 4 THEN 'see clause 4 below' WHEN 5 THEN '4.2.1 Exclusions' ELSE 'THE END.' END AS full_text FROM {lineitem}"""
 
 
 @query(f"WITH docs AS ({_SHAPES}) SELECT doc_id, ref, heading, CAST(depth AS BIGINT) AS depth FROM ({_HEADING_LINES}) WHERE depth IS NOT NULL")
@@ -324,16 +324,27 @@ def clause_body(spark, sf_dir):
 # --- ranges
 
 
-_SPANS = """SELECT doc_id, CAST(n AS BIGINT) AS span_id, CAST((doc_id * 37 + n * 91) % 900 AS INT) AS start, CAST((doc_id * 37 + n * 91) % 900 + 40 + (doc_id * n) % 150 AS INT) AS "end" FROM {documents}, (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k"""
-_SPAN_PAGES = """SELECT doc_id, CAST(n AS INT) AS page, CAST(n * 250 - 250 AS INT) AS r_start, CAST(n * 250 AS INT) AS r_end, (doc_id + n) % 5 = 0 AS is_scanned FROM {documents}, (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) k"""
+# Pages of 250 characters and a span for each 600 (four at least), over the whole of every text.
+_SPANS = """SELECT doc_id, CAST(n AS BIGINT) AS span_id, CAST(n_total AS BIGINT) AS n_total, CAST(n * 600 - 600 + (doc_id * 37 + n * 91) % 500 AS INT) AS start, CAST(n * 600 - 560 + (doc_id * 37 + n * 91) % 500 + (doc_id * n) % 150 AS INT) AS "end"
+  FROM (SELECT doc_id, n_total, unnest(range(1, n_total + 1)) AS n FROM (SELECT doc_id, greatest(4, CAST(ceil(length(coalesce(text, '')) / 600.0) AS BIGINT)) AS n_total FROM documents))"""
+_SPAN_PAGES = """SELECT doc_id, CAST(n AS INT) AS page, CAST(n * 250 - 250 AS INT) AS r_start, CAST(n * 250 AS INT) AS r_end, (doc_id + n) % 5 = 0 AS is_scanned
+  FROM (SELECT doc_id, unnest(range(1, greatest(1, CAST(ceil(length(coalesce(text, '')) / 250.0) AS BIGINT)) + 1)) AS n FROM documents)"""
+
+
+def _pieces(spark, sf_dir, size: int, least: int) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    total = F.greatest(F.lit(least), F.ceil(F.length(F.coalesce("text", F.lit(""))) / size))
+    return docs.select("doc_id", total.cast("bigint").alias("n_total")).select("doc_id", "n_total", F.explode(F.sequence(F.lit(1).cast("bigint"), "n_total")).alias("n"))
 
 
 def _spans(spark, sf_dir):
-    return V.view(spark, sf_dir, _SPANS.replace('"end"', "`end`"))
+    start = F.col("n") * 600 - 600 + (F.col("doc_id") * 37 + F.col("n") * 91) % 500
+    return _pieces(spark, sf_dir, 600, 4).select("doc_id", F.col("n").alias("span_id"), "n_total", start.cast("int").alias("start"), (start + 40 + (F.col("doc_id") * F.col("n")) % 150).cast("int").alias("end"))
 
 
 def _span_pages(spark, sf_dir):
-    return V.view(spark, sf_dir, _SPAN_PAGES)
+    n = F.col("n")
+    return _pieces(spark, sf_dir, 250, 1).select("doc_id", n.cast("int").alias("page"), (n * 250 - 250).cast("int").alias("r_start"), (n * 250).cast("int").alias("r_end"), ((F.col("doc_id") + n) % 5 == 0).alias("is_scanned"))
 
 
 _ON = 's.doc_id = p.doc_id AND s.start < p.r_end AND p.r_start < s."end"'
@@ -368,7 +379,9 @@ _ITEMS = """SELECT doc_id, r_start, r_end, CAST(50 + page * 3 AS DOUBLE) AS x, C
 @query(f"""SELECT s.doc_id, span_id, p.r_start, round((x + width * (greatest(s.start, r_start) - r_start) / (r_end - r_start)) * 1.5, 6) AS "left", round((842 - y - height) * 1.5, 6) AS top,
   round(greatest(width * (least(s."end", r_end) - greatest(s.start, r_start)) / (r_end - r_start) * 1.5, 2), 6) AS rect_width, 15.0::DOUBLE AS rect_height FROM ({_SPANS}) s JOIN ({_ITEMS}) p ON {_ON}""")
 def highlight_rects(spark, sf_dir):
-    out = ranges.highlight_rects(_spans(spark, sf_dir), V.view(spark, sf_dir, _ITEMS), scale=1.5)
+    at = {"x": 50 + F.col("page") * 3, "y": 700 - F.col("page") * 12, "width": F.lit(400), "height": F.lit(10)}
+    items = _span_pages(spark, sf_dir).select("doc_id", "r_start", "r_end", *[c.cast("double").alias(n) for n, c in at.items()])
+    out = ranges.highlight_rects(_spans(spark, sf_dir), items, scale=1.5)
     return out.select("doc_id", "span_id", "r_start", *[F.round(c, 6).alias(c) for c in ("left", "top", "rect_width", "rect_height")])
 
 
@@ -389,7 +402,7 @@ def block_highlight(spark, sf_dir):
 # --- comparison
 
 
-_SIDE = f"SELECT * FROM ({V.CLAUSES})"
+_SIDE = f"SELECT * FROM ({V.CLAUSES})"  # read as a CTE that both sides share
 _PAIRED = f"""SELECT coalesce(b.doc_id, r.doc_id) AS doc_id, coalesce(b.title, r.title) AS title, b.ordinal AS base_ordinal, r.ordinal AS revised_ordinal, b.title AS base_title, r.title AS revised_title, b.body AS base_body, r.body AS revised_body
   FROM (SELECT * FROM c WHERE version = 'base') b FULL JOIN (SELECT * FROM c WHERE version = 'revised') r ON b.doc_id = r.doc_id AND b.title = r.title"""
 
@@ -410,22 +423,22 @@ def _paired(spark, sf_dir) -> DataFrame:
     return rows.withColumn("type", compare.change_type(F.col("base_body"), F.col("revised_body")))
 
 
-@query(f"WITH c AS ({_SIDE}) SELECT doc_id, title, type FROM ({_TYPED})")
+@query(f"WITH c AS MATERIALIZED ({_SIDE}) SELECT doc_id, title, type FROM ({_TYPED})")
 def clause_changes_by_title(spark, sf_dir):
     return _paired(spark, sf_dir).select("doc_id", "title", "type")
 
 
 def _detector(pattern: str, name: str) -> str:
     a, b = s_pick_matches("base_body", pattern), s_pick_matches("revised_body", pattern)
-    return f"""WITH c AS ({_SIDE}), p AS (SELECT doc_id, title, base_body, {a} AS a, {b} AS b FROM ({_PAIRED}) WHERE base_body IS NOT NULL AND revised_body IS NOT NULL)
+    return f"""WITH c AS MATERIALIZED ({_SIDE}), p AS (SELECT doc_id, title, base_body, {a} AS a, {b} AS b FROM ({_PAIRED}) WHERE base_body IS NOT NULL AND revised_body IS NOT NULL)
 SELECT doc_id, title, array_to_string(a, ', ') AS "from", array_to_string(b, ', ') AS "to", {"'MEDIUM'" if name == 'DURATION' else f"CASE WHEN {s_critical('title', 'base_body')} THEN 'HIGH' ELSE 'MEDIUM' END"} AS severity
 FROM p WHERE len(a) > 0 AND len(b) > 0 AND array_to_string(a, ';') <> array_to_string(b, ';')"""
 
 
 def _found(spark, sf_dir, name: str) -> DataFrame:
     rows = _paired(spark, sf_dir).where("base_body is not null and revised_body is not null")
-    rows = rows.select("doc_id", "title", F.explode(compare.findings(F.col("title"), F.col("base_body"), F.col("revised_body"))).alias("f"))
-    return rows.where(F.col("f.detector") == name).select("doc_id", "title", "f.from", "f.to", "f.severity")
+    rows = rows.select("doc_id", "title", F.explode(compare.findings(F.col("title"), F.col("base_body"), F.col("revised_body"), name)).alias("f"))
+    return rows.select("doc_id", "title", "f.from", "f.to", "f.severity")
 
 
 @query(_detector(P.MONEY_RE2, "MONEY"))
@@ -447,7 +460,7 @@ _MUST, _MAY = (lambda x: s_any(x, (P.MANDATORY,))), (lambda x: s_any(x, (P.OPTIO
 _FLIP_FROM = f"CASE WHEN {_MUST('base_body')} THEN 'mandatory (shall/must)' ELSE 'optional (may)' END"
 
 
-@query(f"""WITH c AS ({_SIDE}) SELECT doc_id, title, {_FLIP_FROM} AS "from", {_FLIP_FROM.replace('base_body', 'revised_body')} AS "to", 'HIGH' AS severity FROM ({_PAIRED})
+@query(f"""WITH c AS MATERIALIZED ({_SIDE}) SELECT doc_id, title, {_FLIP_FROM} AS "from", {_FLIP_FROM.replace('base_body', 'revised_body')} AS "to", 'HIGH' AS severity FROM ({_PAIRED})
 WHERE ({_MUST('base_body')} AND NOT {_MAY('base_body')} AND {_MAY('revised_body')} AND NOT {_MUST('revised_body')}) OR ({_MAY('base_body')} AND NOT {_MUST('base_body')} AND {_MUST('revised_body')} AND NOT {_MAY('revised_body')})""")
 def detect_modal(spark, sf_dir):
     return _found(spark, sf_dir, "OBLIGATION_FLIP")
@@ -457,12 +470,12 @@ def s_law(x: str) -> str:
     return f"array_to_string(list_sort(list_distinct(regexp_extract_all({x}, {_q(re2(P.LAW))}, 1))), ', ')"
 
 
-@query(f"""WITH c AS ({_SIDE}) SELECT doc_id, title, {s_law('base_body')} AS "from", {s_law('revised_body')} AS "to", 'HIGH' AS severity FROM ({_PAIRED}) WHERE {s_law('base_body')} <> '' AND {s_law('revised_body')} <> '' AND {s_law('base_body')} <> {s_law('revised_body')}""")
+@query(f"""WITH c AS MATERIALIZED ({_SIDE}) SELECT doc_id, title, {s_law('base_body')} AS "from", {s_law('revised_body')} AS "to", 'HIGH' AS severity FROM ({_PAIRED}) WHERE {s_law('base_body')} <> '' AND {s_law('revised_body')} <> '' AND {s_law('base_body')} <> {s_law('revised_body')}""")
 def detect_law(spark, sf_dir):
     return _found(spark, sf_dir, "GOVERNING_LAW")
 
 
-@query(f"WITH c AS ({_SIDE}) SELECT doc_id, version, ordinal, {s_critical('title', 'body')} AS critical FROM c")
+@query(f"WITH c AS MATERIALIZED ({_SIDE}) SELECT doc_id, version, ordinal, {s_critical('title', 'body')} AS critical FROM c")
 def critical_clauses(spark, sf_dir):
     return V.clauses(spark, sf_dir).select("doc_id", "version", "ordinal", T.is_critical(F.col("title"), F.col("body")).alias("critical"))
 
@@ -478,7 +491,7 @@ def _severity_sql() -> str:
     reasons = f"array_to_string({row('m', 'Amount changed')} || {row('p', 'Percentage changed')} || {flip_row} || {law_row} || {row('d', 'Duration changed')}, '; ')"
     crit = s_critical("title", "coalesce(base_body, revised_body)")
     columns = ", ".join(f"{a} AS {n}a, {b} AS {n}b" for n, (a, b) in lists.items())
-    return f"""WITH c AS ({_SIDE}), t AS (SELECT *, {columns} FROM ({_TYPED}) WHERE type <> 'UNCHANGED')
+    return f"""WITH c AS MATERIALIZED ({_SIDE}), t AS (SELECT *, {columns} FROM ({_TYPED}) WHERE type <> 'UNCHANGED')
 SELECT doc_id, title, type, CASE WHEN type IN ('ADDED', 'REMOVED') THEN CASE WHEN {crit} THEN 'HIGH' ELSE 'MEDIUM' END WHEN type = 'COSMETIC' THEN 'LOW'
   WHEN {flip} OR {law} OR ({crit} AND ({differ('m')} OR {differ('p')})) THEN 'HIGH' WHEN {differ('m')} OR {differ('p')} OR {differ('d')} THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   CASE type WHEN 'ADDED' THEN 'Clause added' WHEN 'REMOVED' THEN 'Clause removed' WHEN 'COSMETIC' THEN 'Cosmetic punctuation / formatting adjustment' ELSE coalesce(nullif({reasons}, ''), 'Wording revised.') END AS reasons FROM t"""
@@ -504,19 +517,16 @@ def s_words(x: str) -> str:
     return f"list_distinct(list_filter(string_split(lower({s_fold(x)}), ' '), lambda w: length(w) > 1))"
 
 
-_A, _B = s_words("b.body"), s_words("r.body")
-_JACCARD = f"(len(list_intersect({_A}, {_B})) / len(list_distinct({_A} || {_B})))"
+_JACCARD = "(len(list_intersect(b.w, r.w)) / (len(b.w) + len(r.w) - len(list_intersect(b.w, r.w))))"
 
 
-@query(f"""WITH c AS ({_SIDE}) SELECT b.doc_id, b.ordinal AS base_ordinal, r.ordinal AS revised_ordinal, round(CASE WHEN {s_fold('b.body')} = {s_fold('r.body')} THEN 1.0
+@query(f"""WITH c AS MATERIALIZED (SELECT doc_id, version, ordinal, title, {s_fold('body')} AS f, {s_words('body')} AS w FROM ({V.CLAUSES})) SELECT b.doc_id, b.ordinal AS base_ordinal, r.ordinal AS revised_ordinal, round(CASE WHEN b.f = r.f THEN 1.0
   WHEN b.title <> r.title AND NOT contains(lower(b.title), lower(r.title)) AND NOT contains(lower(r.title), lower(b.title)) THEN 0.05 WHEN b.title = r.title THEN least(1.0, 0.4 + 0.6 * {_JACCARD}) ELSE {_JACCARD} END, 9) AS similarity
 FROM (SELECT * FROM c WHERE version = 'base') b JOIN (SELECT * FROM c WHERE version = 'revised') r ON b.doc_id = r.doc_id""")
 def clause_similarity(spark, sf_dir):
     both = V.clauses(spark, sf_dir)
-    side = lambda v, p: both.where(F.col("version") == v).select("doc_id", F.col("ordinal").alias(f"{p}_ordinal"), F.col("title").alias(f"{p}_title"), F.col("body").alias(f"{p}_body"))
-    rows = side("base", "base").join(side("revised", "revised"), "doc_id")
-    s = compare.similarity(F.col("base_title"), F.col("base_body"), F.col("revised_title"), F.col("revised_body"))
-    return rows.select("doc_id", "base_ordinal", "revised_ordinal", F.round(s, 9).alias("similarity"))
+    rows = compare.side(both, "base", "base").join(compare.side(both, "revised", "revised"), "doc_id")
+    return rows.select("doc_id", "base_ordinal", "revised_ordinal", F.round(compare.side_similarity(), 9).alias("similarity"))
 
 
 @query()
@@ -524,14 +534,14 @@ def align_clauses(spark, sf_dir):
     return compare.align(V.clauses(spark, sf_dir))
 
 
-@query(f"""WITH c AS ({_SIDE}), t AS (SELECT doc_id, count(*) FILTER (type IN ('ADDED', 'REMOVED')) AS lost FROM ({_TYPED}) GROUP BY doc_id),
+@query(f"""WITH c AS MATERIALIZED ({_SIDE}), t AS (SELECT doc_id, count(*) FILTER (type IN ('ADDED', 'REMOVED')) AS lost FROM ({_TYPED}) GROUP BY doc_id),
 s AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, version, count(*) AS n FROM c GROUP BY doc_id, version) GROUP BY doc_id)
 SELECT doc_id, round(lost / most, 9) AS unmatched_ratio, lost / most > 0.7 AS different FROM t JOIN s USING (doc_id)""")
 def contract_distance(spark, sf_dir):
     return compare.distance(_paired(spark, sf_dir), V.clauses(spark, sf_dir)).withColumn("unmatched_ratio", F.round("unmatched_ratio", 9))
 
 
-@query(f"""WITH c AS ({_SIDE}), t AS (SELECT doc_id, base_ordinal AS b, revised_ordinal AS r FROM ({_PAIRED}) WHERE base_ordinal <> revised_ordinal)
+@query(f"""WITH c AS MATERIALIZED ({_SIDE}), t AS (SELECT doc_id, base_ordinal AS b, revised_ordinal AS r FROM ({_PAIRED}) WHERE base_ordinal <> revised_ordinal)
 SELECT doc_id, 'Clauses ' || arg_min(b, b) || '–' || arg_max(b, b) || ' were renumbered to ' || arg_min(r, b) || '–' || arg_max(r, b) || '.' AS note FROM t GROUP BY doc_id""")
 def renumber_note(spark, sf_dir):
     rows = _paired(spark, sf_dir).where("base_ordinal <> revised_ordinal")
@@ -657,19 +667,20 @@ def budget(spark, sf_dir):
     return long(rows.select("doc_id", "chunk", "excerpt_tokens", "exhausted", share.alias("per_document"), (share >= 500).alias("feasible")), "excerpt_tokens", "per_document")
 
 
-_COVERAGE = f"""WITH read AS (SELECT * FROM ({_SPANS}) WHERE span_id <= CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 2 END), pages AS ({_SPAN_PAGES}),
+_COVERAGE = f"""WITH read AS (SELECT * FROM ({_SPANS}) WHERE span_id <= CASE WHEN doc_id % 3 = 0 THEN n_total ELSE 2 END), pages AS ({_SPAN_PAGES}),
 touched AS (SELECT DISTINCT s.doc_id, page FROM read s JOIN pages p ON {_ON}),
 runs AS (SELECT doc_id, min(page) AS a, max(page) AS z FROM (SELECT doc_id, page, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM touched) GROUP BY doc_id, i),
 covered AS (SELECT doc_id, string_agg(CASE WHEN a = z THEN CAST(a AS VARCHAR) ELSE a || '–' || z END, ', ' ORDER BY a) AS pages_covered FROM runs GROUP BY doc_id),
-n AS (SELECT doc_id, count(*) AS chunks_read FROM read GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS chunks_read, any_value(n_total) AS chunks_total FROM read GROUP BY doc_id),
 skipped AS (SELECT doc_id, string_agg(CAST(page AS VARCHAR), ', ' ORDER BY page) AS skipped_pages FROM pages WHERE is_scanned AND doc_id % 2 = 0 GROUP BY doc_id)
-SELECT n.doc_id, chunks_read, 4::BIGINT AS chunks_total, coalesce(pages_covered, '') AS pages_covered, coalesce(skipped_pages, '') AS skipped_pages, chunks_read >= 4 AND skipped_pages IS NULL AS complete FROM n LEFT JOIN covered USING (doc_id) LEFT JOIN skipped USING (doc_id)"""
+SELECT n.doc_id, chunks_read, chunks_total, coalesce(pages_covered, '') AS pages_covered, coalesce(skipped_pages, '') AS skipped_pages, chunks_read >= chunks_total AND skipped_pages IS NULL AS complete FROM n LEFT JOIN covered USING (doc_id) LEFT JOIN skipped USING (doc_id)"""
 
 
 def _coverage(spark, sf_dir):
-    read = _spans(spark, sf_dir).where("span_id <= CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 2 END")
+    spans = _spans(spark, sf_dir)
+    read = spans.where("span_id <= CASE WHEN doc_id % 3 = 0 THEN n_total ELSE 2 END").drop("n_total")
     pages = _span_pages(spark, sf_dir).withColumn("is_scanned", F.col("is_scanned") & (F.col("doc_id") % 2 == 0))
-    total = table(spark, sf_dir, "documents").select("doc_id", F.lit(4).cast("bigint").alias("n"))
+    total = spans.where("span_id = 1").select("doc_id", F.col("n_total").alias("n"))
     return retrieve.coverage(read, total, pages)
 
 
@@ -771,7 +782,7 @@ def quote_flags(spark, sf_dir):
     return V.view(spark, sf_dir, _CHAT_QUOTES).select("quote_id", (verified & (F.col("seq") > 1)).alias("clickable"), (verified & (F.col("seq") == 5)).alias("case_difference"))
 
 
-_ALIASES = "SELECT chat_id, 'D' || row_number() OVER (PARTITION BY chat_id ORDER BY doc_id) AS alias, doc_id FROM (SELECT DISTINCT doc_id % 97 AS chat_id, doc_id FROM {documents}) d"
+_ALIASES = "SELECT chat_id, 'D' || row_number() OVER (PARTITION BY chat_id ORDER BY doc_id) AS alias, doc_id FROM (SELECT DISTINCT CAST(floor(doc_id / 20) AS BIGINT) AS chat_id, doc_id FROM {documents}) d"
 
 
 @query(_ALIASES)
@@ -779,10 +790,10 @@ def chat_aliases(spark, sf_dir):
     return V.view(spark, sf_dir, _ALIASES.replace("'D' || row_number", "'D' || CAST(row_number").replace("ORDER BY doc_id) AS alias", "ORDER BY doc_id) AS STRING) AS alias"))
 
 
-@query(f"""WITH a AS ({_ALIASES}), q AS (SELECT conv_id * 100 + turn AS quote_id, conv_id % 97 AS chat_id, CASE turn % 3 WHEN 0 THEN ' d1 ' WHEN 1 THEN 'D2' ELSE 'D99' END AS alias FROM conversations)
+@query(f"""WITH a AS ({_ALIASES}), q AS (SELECT conv_id * 100 + turn AS quote_id, CAST(floor(conv_id / 4) AS BIGINT) AS chat_id, CASE turn % 3 WHEN 0 THEN ' d1 ' WHEN 1 THEN 'D2' ELSE 'D99' END AS alias FROM conversations)
 SELECT quote_id, a.doc_id, CASE WHEN a.doc_id IS NULL THEN 'UNVERIFIED' ELSE 'PENDING' END AS status FROM q LEFT JOIN a ON a.chat_id = q.chat_id AND a.alias = upper(trim(q.alias))""")
 def quote_alias(spark, sf_dir):
-    quotes = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("quote_id"), (F.col("conv_id") % 97).alias("chat_id"), F.when(F.col("turn") % 3 == 0, " d1 ").when(F.col("turn") % 3 == 1, "D2").otherwise("D99").alias("alias"))
+    quotes = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("quote_id"), F.floor(F.col("conv_id") / 4).alias("chat_id"), F.when(F.col("turn") % 3 == 0, " d1 ").when(F.col("turn") % 3 == 1, "D2").otherwise("D99").alias("alias"))
     return chat.attribute(quotes, chat_aliases(spark, sf_dir)).select("quote_id", "doc_id", "status")
 
 
@@ -791,10 +802,10 @@ def chat_summary(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.count_if(F.col("role") == "user").alias("n_questions"), F.max("turn").alias("last_turn"))
 
 
-@query(f"SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 97 IN (SELECT chat_id FROM ({_ALIASES}) WHERE doc_id = 5)")
+@query(f"SELECT DISTINCT conv_id FROM conversations WHERE CAST(floor(conv_id / 4) AS BIGINT) IN (SELECT chat_id FROM ({_ALIASES}) WHERE doc_id = 5)")
 def chats_for_doc(spark, sf_dir):
     chats = chat_aliases(spark, sf_dir).where("doc_id = 5").select("chat_id")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", (F.col("conv_id") % 97).alias("chat_id")).distinct()
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.floor(F.col("conv_id") / 4).alias("chat_id")).distinct()
     return rows.join(chats, "chat_id", "left_semi").select("conv_id")
 
 
@@ -838,10 +849,12 @@ def no_context(spark, sf_dir):
     return _coverage(spark, sf_dir).select("doc_id", answer.alias("answer"), F.lit("NOT_FOUND").alias("answer_status"))
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN {s_trim('question')} = '' THEN 'EMPTY' WHEN length({s_trim('question')}) > 60 THEN 'TOO_LONG' END AS reason FROM ({V.QUESTIONS})")
+_ASKED = "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN repeat(text || ' ', 6) WHEN 1 THEN '  ' ELSE text END AS question, CAST((conv_id + turn) % 7 AS INT) AS n_documents FROM {conversations}"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {s_trim('question')} = '' THEN 'EMPTY' WHEN length({s_trim('question')}) > 2000 THEN 'TOO_LONG' WHEN n_documents = 0 THEN 'NO_DOCUMENT' WHEN n_documents > 5 THEN 'TOO_MANY_DOCUMENTS' END AS reason FROM ({_ASKED})")
 def validate_questions(spark, sf_dir):
-    t = T.trim(F.col("question"))
-    return V.view(spark, sf_dir, V.QUESTIONS).select("conv_id", "turn", F.when(t == "", "EMPTY").when(F.length(t) > 60, "TOO_LONG").alias("reason"))
+    return V.view(spark, sf_dir, _ASKED).select("conv_id", "turn", chat.question_error(F.col("question"), F.col("n_documents")).alias("reason"))
 
 
 # --- redline
@@ -1052,11 +1065,16 @@ def safe_name(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
 
 
-@query("SELECT doc_id, CASE WHEN v < 10 THEN v * 100 || ' B' ELSE '' END AS size FROM (SELECT doc_id, n_chars % 10 AS v FROM documents)")
+_UNITS = " ".join(f"""WHEN n < {1024.0 ** (i + 1)} THEN CASE WHEN n / {1024.0**i} < 10 THEN CAST(CAST(floor(n / {1024.0**i} * 10 + 0.5) AS BIGINT) // 10 AS VARCHAR) || '.' || CAST(CAST(floor(n / {1024.0**i} * 10 + 0.5) AS BIGINT) % 10 AS VARCHAR)
+  ELSE CAST(CAST(floor(n / {1024.0**i} + 0.5) AS BIGINT) AS VARCHAR) END || ' {unit}'""" for i, unit in enumerate(("KB", "MB", "GB"), 1))
+
+
+@query(f"SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' {_UNITS} END AS size FROM (SELECT doc_id, CAST(n_chars AS BIGINT) * CASE doc_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 37 WHEN 2 THEN 40009 ELSE 7000003 END AS n FROM documents)")
 def format_bytes(spark, sf_dir):
     from clausemill.functions.format import format_bytes as fmt
 
-    return table(spark, sf_dir, "documents").select("doc_id", fmt(F.col("n_chars") % 10 * 100).alias("size"))
+    times = F.when(F.col("doc_id") % 4 == 0, 1).when(F.col("doc_id") % 4 == 1, 37).when(F.col("doc_id") % 4 == 2, 40009).otherwise(7000003)
+    return table(spark, sf_dir, "documents").select("doc_id", fmt(F.col("n_chars").cast("bigint") * times).alias("size"))
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents WHERE text IS NOT NULL ORDER BY doc_id DESC LIMIT 50")

@@ -52,8 +52,10 @@ SELECT doc_id, 'revised' AS version, CAST(row_number() OVER (PARTITION BY doc_id
 LINE = "ref || '. ' || title || chr(10) || body"
 DOCS_RE2 = f"WITH clauses AS ({CLAUSES}) SELECT doc_id, version, string_agg({LINE}, chr(10) || chr(10) ORDER BY ordinal) AS full_text FROM clauses GROUP BY doc_id, version"
 
+#: Up to 32 neighbouring contracts make a document, so documents grow in number, not in size.
+_BUNDLE = "CAST(floor(doc_id / 32) AS BIGINT)"
 #: Pages of three clauses each of the base version, with a running header and a numbered footer; each 7th page is empty.
-PAGES = f"""WITH clauses AS ({CLAUSES}), base AS (SELECT doc_id % 500 AS doc_id, row_number() OVER (PARTITION BY doc_id % 500 ORDER BY doc_id, ordinal) AS n, body FROM clauses WHERE version = 'base'),
+PAGES = f"""WITH clauses AS ({CLAUSES}), base AS (SELECT {_BUNDLE} AS doc_id, row_number() OVER (PARTITION BY {_BUNDLE} ORDER BY doc_id, ordinal) AS n, body FROM clauses WHERE version = 'base'),
 numbered AS (SELECT doc_id, CAST((n - 1 - (n - 1) % 3) / 3 + 1 AS INT) AS page, (n - 1) % 3 AS pos, body FROM base)
 SELECT doc_id, page, pos + 1 AS line, CASE WHEN (doc_id + page) % 7 = 0 THEN '' ELSE body END AS line_text FROM numbered
 UNION ALL SELECT doc_id, page, 0, CASE WHEN (doc_id + page) % 7 = 0 THEN '' ELSE 'CONFIDENTIAL -  Draft' END FROM numbered GROUP BY doc_id, page
