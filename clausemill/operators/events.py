@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,16 +27,22 @@ def failure_streaks(outcomes: DataFrame, key: str, order: str, failed: Column, s
     return rows.withColumn("stopped", F.max((F.col("streak") >= stop).cast("int")).over(upto) == 1).drop("island")
 
 
+SHORTEST_WAIT = 25
+
+
 def grant(costs: list[float], at: list[float], per_minute: float) -> list[float]:
-    """Times (ms) at which a token bucket that starts full and refills evenly grants each cost, in order; costs over the bucket count as a full one."""
+    """Times (ms) at which a token bucket that starts full and refills evenly grants each cost, in order.
+
+    Costs over the bucket count as a full one.  A wait is of whole milliseconds, SHORTEST_WAIT at least.
+    """
     room, seen, out = per_minute, None, []
     for cost, t in zip(costs, at):
         t = t if seen is None else max(t, seen)
         room = per_minute if seen is None else min(per_minute, room + (t - seen) / 60_000 * per_minute)
         need = min(max(cost, 0), per_minute)
         if need > room:
-            t += (need - room) / per_minute * 60_000
-            room = need
+            wait = max(SHORTEST_WAIT, math.ceil((need - room) / per_minute * 60_000))
+            t, room = t + wait, max(need, min(per_minute, room + wait / 60_000 * per_minute))
         room, seen = room - need, t
         out.append(t)
     return out

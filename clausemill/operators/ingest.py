@@ -87,13 +87,17 @@ DROPPED_TAGS = frozenset("script style textarea option noscript".split())
 
 
 class _Cleaner(html.parser.HTMLParser):
-    """Keeps allowed tags (with colspan and rowspan) and text; gathers the text of blocks that hold no other block."""
+    """Keeps allowed tags (with colspan and rowspan) and text; gathers the text of blocks that hold no other block.
+
+    A list inside a list item counts as standing after it, so the item keeps its own text.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.blocks: list[list] = []
         self.open: list[list] = []
+        self.lists: list[bool] = []  # of each open list: whether it stands right inside a list item
         self.hidden = 0
 
     def handle_starttag(self, tag, attrs):
@@ -102,8 +106,10 @@ class _Cleaner(html.parser.HTMLParser):
         elif not self.hidden and tag in KEPT_TAGS:
             kept = "".join(f' {k}="{html.escape(v or "")}"' for k, v in attrs if tag in ("td", "th") and k in ("colspan", "rowspan"))
             self.out.append(f"<{tag}{kept}{' /' if tag == 'br' else ''}>")
+            if tag in ("ul", "ol"):
+                self.lists.append(bool(self.open) and self.open[-1][0] == "li")
             if tag in BLOCK_TAGS:
-                if self.open:
+                if self.open and not (tag == "li" and self.lists and self.lists[-1]):
                     self.open[-1][2] = False
                 block = [tag, [], True]
                 self.open.append(block)
@@ -116,6 +122,8 @@ class _Cleaner(html.parser.HTMLParser):
             self.hidden = max(0, self.hidden - 1)
         elif not self.hidden and tag in KEPT_TAGS and tag != "br":
             self.out.append(f"</{tag}>")
+            if tag in ("ul", "ol") and self.lists:
+                self.lists.pop()
             if tag in BLOCK_TAGS and any(b[0] == tag for b in self.open):
                 while self.open.pop()[0] != tag:
                     pass

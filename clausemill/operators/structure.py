@@ -106,29 +106,36 @@ def block_offsets(blocks: DataFrame, by: str = "doc_id", order: str = "n", text_
 TARGET, MOST, LEAST, OVERLAP, BOILERPLATE = 1000, 1200, 150, 0.1, 0.6
 
 
+def _cut_point(text: str, start: int, ideal: int) -> int:
+    """Where to cut at or shortly before ``ideal``: after a paragraph, a line, a sentence or a word, whichever comes first in this list."""
+    low = max(start + 1, ideal - int((ideal - start) * 0.3))
+    for mark in ("\n\n", "\n"):
+        if (at := text.rfind(mark, low, ideal + len(mark))) >= 0:
+            return at + len(mark)
+    ends = [text.rfind(mark, low + 1, ideal + 2) for mark in (". ", ".\n", "; ", ";\n")]
+    if ideal == len(text) - 1 and text[ideal] in ".;":
+        ends.append(ideal)
+    if max(ends) >= 0:
+        return max(ends) + 1
+    at = text.rfind(" ", low, ideal + 1)
+    return at + 1 if at >= 0 else ideal
+
+
 def split_range(text: str, start: int, end: int, target: int = TARGET, overlap: float = OVERLAP) -> list[tuple[int, int]]:
-    """Cut ``text[start:end]`` into ranges of about ``target`` tokens that overlap, at paragraph, line, sentence or word ends where one is near."""
+    """Cut ``text[start:end]`` into ranges of about ``target`` tokens that overlap."""
     size = max(200, int(target * 3.5))
-    back, step = int(size * 0.3), int(size * overlap)
     out, at = [], start
     while at < end:
-        stop = min(end, at + size)
-        if stop < end:
-            low = stop - back
-            for mark, keep in (("\n\n", 2), ("\n", 1), (". ", 1), ("; ", 1), (" ", 1)):
-                found = text.rfind(mark, low, stop)
-                if found > at:
-                    stop = found + keep
-                    break
+        stop = end if at + size >= end else _cut_point(text, at, at + size)
         out.append((at, stop))
         if stop >= end:
             break
-        at = max(at + 1, stop - step)
+        at = max(at + 1, stop - int(size * overlap))
     return out
 
 
 def chunk_segments(text: str, segments: list[tuple], target: int = TARGET, most: int = MOST, least: int = LEAST) -> Iterator[tuple]:
-    """``(start, end, ref, heading, tokens)`` chunks of ``segments (start, end, ref, heading)``: long ones split, short neighbours merged."""
+    """``(start, end, ref, heading, tokens)`` chunks of ``segments (start, end, ref, heading)``: long ones split, short neighbours merged under the first one's name."""
     tokens = lambda n: -(-2 * n // 7)
     pieces = []
     for start, end, ref, heading in segments:
@@ -139,7 +146,7 @@ def chunk_segments(text: str, segments: list[tuple], target: int = TARGET, most:
         if held is not None:
             joined, short = tokens(b - held[0]), min(tokens(held[1] - held[0]), tokens(b - a)) < least
             if joined <= target and short:
-                held = (held[0], b, held[2], held[3] if held[3] is not None else heading)
+                held = (held[0], b, *held[2:])
                 continue
             yield (*held, tokens(held[1] - held[0]))
         held = (a, b, ref, heading)
@@ -147,18 +154,39 @@ def chunk_segments(text: str, segments: list[tuple], target: int = TARGET, most:
         yield (*held, tokens(held[1] - held[0]))
 
 
-def chunks(docs: DataFrame, keys: list[str], text_col: str = "text", target: int = TARGET) -> DataFrame:
-    """``(keys, chunk, start, end, ref, heading, tokens)``: token-budgeted chunks along clause borders.
+def covered(start: int, end: int, ranges: list[tuple[int, int]]) -> float:
+    """The share of ``start..end`` that sorted ``ranges``, which may overlap, cover."""
+    total, at = 0, start
+    for a, b in ranges:
+        a, b = max(a, at), min(b, end)
+        if a < b:
+            total, at = total + b - a, b
+    return total / (end - start) if end > start else 0.0
+
 
-    Works on each document's own clauses, inside a task, Arrow batch by Arrow batch.
+def chunks(docs: DataFrame, keys: list[str], text_col: str = "text", target: int = TARGET, boilerplate_ranges: DataFrame | None = None) -> DataFrame:
+    """``(keys, chunk, start, end, ref, heading, tokens, is_boilerplate)``: token-budgeted chunks along clause borders.
+
+    A chunk is boilerplate if ``boilerplate_ranges (keys, start, end)`` cover the share BOILERPLATE of it.  Works on each
+    document's own clauses, inside a task, Arrow batch by Arrow batch.
     """
     clause = F.struct("ordinal", F.col("start").alias("s"), F.col("end").alias("e"), "ref", "heading")
     found = segment_clauses(docs, keys, text_col).groupBy(*keys).agg(F.array_sort(F.collect_list(clause)).alias("clauses"))
     rows = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("full")).join(found, keys)
-
-    @F.pandas_udf("array<struct<start:int,end:int,ref:string,heading:string,tokens:int>>")
-    def cut(texts: pd.Series, clause_lists: pd.Series) -> pd.Series:
-        names = ("start", "end", "ref", "heading", "tokens")
-        return pd.Series([[dict(zip(names, c)) for c in chunk_segments(t, [(x["s"], x["e"], x["ref"], x["heading"]) for x in cs], target)] for t, cs in zip(texts, clause_lists)])
-
-    return rows.select(*keys, F.posexplode(cut("full", "clauses")).alias("chunk", "c")).select(*keys, "chunk", "c.*")
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    if boilerplate_ranges is None:
+        rows = rows.withColumn("ranges", none)
+    else:
+        ranges = boilerplate_ranges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e")))).alias("ranges"))
+        rows = rows.join(ranges, keys, "left").withColumn("ranges", F.coalesce("ranges", none))
+
+    @F.pandas_udf("array<struct<start:int,end:int,ref:string,heading:string,tokens:int,is_boilerplate:boolean>>")
+    def cut(texts: pd.Series, clause_lists: pd.Series, range_lists: pd.Series) -> pd.Series:
+        names, out = ("start", "end", "ref", "heading", "tokens"), []
+        for text, clauses, ranges in zip(texts, clause_lists, range_lists):
+            ranges = [(r["s"], r["e"]) for r in ranges]
+            every = chunk_segments(text, [(x["s"], x["e"], x["ref"], x["heading"]) for x in clauses], target)
+            out.append([dict(zip(names, c)) | {"is_boilerplate": covered(c[0], c[1], ranges) >= BOILERPLATE} for c in every])
+        return pd.Series(out)
+
+    return rows.select(*keys, F.posexplode(cut("full", "clauses", "ranges")).alias("chunk", "c")).select(*keys, "chunk", "c.*")

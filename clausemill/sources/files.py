@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausemill.operators import ingest
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -24,9 +26,12 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def docx_paragraphs_of(content: bytes) -> list[dict]:
-    """Paragraph texts of a DOCX package; deleted text and field codes are left out; tracked changes are flagged."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        root = ET.fromstring(z.read("word/document.xml"))
+    """Paragraph texts of a DOCX package; deleted text and field codes are left out; tracked changes are flagged.  A broken package has none."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            root = ET.fromstring(z.read("word/document.xml"))
+    except (zipfile.BadZipFile, zlib.error, KeyError, EOFError, ET.ParseError):
+        return []
     out = []
     for n, p in enumerate(root.iter(f"{W}p")):
         parts, revised = [], False
@@ -99,6 +104,17 @@ _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
 _OPERATORS = re.compile(rb"(-?[\d.]+) (-?[\d.]+) Td|(?:-?[\d.]+ ){4}(-?[\d.]+) (-?[\d.]+) Tm|/\w+ ([\d.]+) Tf|\(((?:\\.|[^\\()])*)\)\s*Tj|(BT)")
 
 
+def _inflated(data: bytes) -> bytes:
+    """Inflated bytes, as far as a damaged stream goes, so that its page keeps its number and its beginning."""
+    out, unpack = [], zlib.decompressobj()
+    for at in range(0, len(data), 4096):
+        try:
+            out.append(unpack.decompress(data[at : at + 4096]))
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
 def pdf_items_of(content: bytes) -> list[dict]:
     """Positioned text items of a PDF with plain or Flate streams and simple fonts; widths are half the font size a character.
 
@@ -107,11 +123,8 @@ def pdf_items_of(content: bytes) -> list[dict]:
     out, page = [], 0
     for m in _STREAM.finditer(content):
         data = m[1]
-        if b"FlateDecode" in content[max(0, m.start() - 300) : m.start()]:
-            try:
-                data = zlib.decompress(data)
-            except zlib.error:
-                continue
+        if b"FlateDecode" in content[max(0, content.rfind(b" obj", 0, m.start())) : m.start()]:
+            data = _inflated(data)
         if b"BT" not in data:
             continue
         page += 1
@@ -143,6 +156,19 @@ def pdf_items(files: DataFrame) -> DataFrame:
     return files.select("path", F.inline(read("content")))
 
 
+def pdf_texts(files: DataFrame) -> DataFrame:
+    """``(path, page, text)`` of PDF ``files (path, content)``: items of a page with what separates them."""
+    items = pdf_items(files).withColumn("page", F.struct("path", "page"))
+    parts = F.array_sort(F.collect_list(F.struct("item", F.concat("separator", "str").alias("x"))))
+    return ingest.separators(items).groupBy("page").agg(F.array_join(F.transform(parts, lambda p: p["x"]), "").alias("text")).select("page.path", "page.page", "text")
+
+
+def docx_texts(files: DataFrame) -> DataFrame:
+    """``(path, text)`` of DOCX ``files (path, content)``: paragraphs joined by line feeds."""
+    parts = F.array_sort(F.collect_list(F.struct("paragraph", "text")))
+    return docx_paragraphs(files).groupBy("path").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
+
+
 def server_events(body: Column) -> Column:
     """Data payloads of a server-sent event stream, in order; events are divided by blank lines."""
     parts = F.transform(F.split(body, "\r?\n\r?\n"), lambda e: F.array_join(F.transform(F.filter(F.split(e, "\r?\n"), lambda x: x.startswith("data:")), lambda x: F.regexp_replace(x, "^data: ?", "")), "\n"))

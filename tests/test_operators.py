@@ -184,22 +184,43 @@ def test_streamed_answers(spark, tmp_path):
 
 
 def test_files_are_processed_as_they_arrive(spark, tmp_path):
+    """Final states of every kind of file; a micro-batch that runs again replaces its rows."""
+    import zlib as z
+
     from clausemill.streaming import jobs
 
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.txt").write_text("1. TERM\nTwo years.\n2. FEES\nAED 5.")
-    (tmp_path / "in" / "b.pdf").write_bytes(b"%PDF-1.7 x")
-    out = tmp_path / "out"
-    q = jobs.process_files(spark, str(tmp_path / "in"), str(out), str(tmp_path / "cp")).start()
+    inside, out = tmp_path / "in", tmp_path / "out"
+    inside.mkdir()
+    (inside / "a.txt").write_text("1. TERM\nTwo years.")
+    (inside / "scan.pdf").write_bytes(b"%PDF-1.7 x")
+    shown = b"".join(b"BT /F1 12 Tf 1 0 0 1 50 %d Tm (%s) Tj ET\n" % (700 - 20 * i, t) for i, t in enumerate((b"1. TERM", b"The agreement lasts for two years.", b"2. FEES", b"AED 5 a month.")))
+    (inside / "text.pdf").write_bytes(b"%PDF-1.7\n1 0 obj << /Filter /FlateDecode " + b"/X 1 " * 100 + b">> stream\n" + z.compress(shown) + b"\nendstream")
+    (inside / "good.docx").write_bytes(docx("<w:p><w:r><w:t>1. SCOPE</w:t></w:r></w:p>", "<w:p><w:r><w:t>All of it.</w:t></w:r></w:p>"))
+    (inside / "empty.docx").write_bytes(docx("<w:p/>"))
+    (inside / "broken.docx").write_bytes(docx("<w:p/>")[:-40])
+    run = jobs.process_files(spark, str(inside), str(out), str(tmp_path / "cp"))
+    q = run.start()
+    q.processAllAvailable()
+    q.stop()
+    read = lambda: {r["path"].rsplit("/", 1)[1]: (r["kind"], r["status"], r["error_code"]) for r in spark.read.parquet(str(out / "documents")).collect()}
+    want = {
+        "a.txt": ("rejected", "FAILED", "UNSUPPORTED_TYPE"), "scan.pdf": ("PDF", "FAILED", "SCANNED_DOCUMENT"), "text.pdf": ("PDF", "READY", None),
+        "good.docx": ("DOCX", "READY", None), "empty.docx": ("DOCX", "FAILED", "EXTRACTION_FAILED"), "broken.docx": ("DOCX", "FAILED", "EXTRACTION_FAILED"),
+    }
+    assert read() == want
+    headings = [(r["heading"], r["body"]) for r in spark.read.parquet(str(out / "clauses")).orderBy("path", "ordinal").collect()]
+    assert sorted(h for h, _ in headings) == ["FEES", "SCOPE", "TERM"]
+    q = jobs.process_files(spark, str(inside), str(out), str(tmp_path / "cp2")).start()  # a fresh checkpoint: the same first epoch again
     q.processAllAvailable()
     q.stop()
-    assert {(r["kind"], r["status"]) for r in spark.read.parquet(str(out / "documents")).collect()} == {("rejected", "READY"), ("PDF", "FAILED")}
-    assert spark.read.parquet(str(out / "clauses")).count() == 2
+    assert read() == want and spark.read.parquet(str(out / "documents")).count() == 6 and spark.read.parquet(str(out / "clauses")).count() == 3
 
 
 def test_token_bucket():
     assert events.grant([60, 30, 30], [0, 0, 0], 60) == [0, 30_000, 60_000]
     assert events.grant([600, 0, -1, 60], [0, 0, 0, 120_000], 60) == [0, 0, 0, 120_000]
+    assert events.grant([7, 1, 1], [0, 0, 0], 7) == [0, 8572, 17_143]  # whole milliseconds; what a longer wait refills is kept
+    assert events.grant([600_000, 1], [0, 0], 600_000) == [0, 25]  # the shortest wait
 
 
 def test_budget_selection_skips_what_does_not_fit(spark):
@@ -323,3 +344,19 @@ def test_quotes_are_found_through_ligatures_and_without_a_nested_loop(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(10, 1, "EXACT_WS", 1), (11, 4, "HYPHEN_BREAK", 1), (12, 1, "CASE_INSENSITIVE", 1)]
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
     assert verify.find_quotes(docs, quotes.where("quote_id = 13")).count() == 0
+
+
+def test_lists_inside_list_items_stand_after_them():
+    html, blocks = ingest.clean_html("<ul><li>outer <ul><li>inner <p>para</p></li><li>two</li></ul> tail</li><li>last</li></ul><table><tr><td>cell<ol><li>x</li></ol></td></tr></table>")
+    assert blocks == [("li", "outer tail"), ("p", "para"), ("li", "two"), ("li", "last"), ("li", "x")]
+
+
+def test_chunks_cut_at_the_later_sentence_mark_and_know_boilerplate(spark):
+    text = "x" * 150 + ". " + "y" * 20 + "; " + "z" * 200
+    assert structure.split_range(text, 0, len(text), 50)[0] == (0, 173)
+    assert structure.split_range("a" * 500, 0, 500, 50)[0] == (0, 200)
+    docs = spark.createDataFrame([(1, "1. TERM\n" + "word " * 40 + "\n2. FEES\n" + "pay " * 400)], "doc_id int, text string")
+    ranges = spark.createDataFrame([(1, 0, 150), (1, 100, 190)], "doc_id int, start int, end int")
+    rows = structure.chunks(docs, ["doc_id"], target=60, boilerplate_ranges=ranges).orderBy("chunk").collect()
+    assert [r["is_boilerplate"] for r in rows][0] and not any(r["is_boilerplate"] for r in rows[1:])
+    assert list(structure.chunk_segments("a" * 40 + "b" * 40, [(0, 40, None, None), (40, 80, "2", "B")]))[0][2:4] == (None, None)
