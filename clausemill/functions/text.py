@@ -37,6 +37,8 @@ def compatibility() -> tuple[dict[str, str], dict[str, str]]:
     return one, many
 
 
+#: The commonest characters that become several; texts that have no others are spared the walk over every character.
+_COMMON = "…ﬀﬁﬂﬃﬄﬅﬆ½¼¾™№"
 #: Outside of these, NFKC changes nothing.
 _MAY_CHANGE = r"[\u00A0-\u00BF\u0132-\uFFFF\x{10000}-\x{10FFFF}]"
 
@@ -44,7 +46,10 @@ _MAY_CHANGE = r"[\u00A0-\u00BF\u0132-\uFFFF\x{10000}-\x{10FFFF}]"
 def nfkc(c: Column) -> Column:
     """Every character by its NFKC form; sequences are not composed.  Text of plain Latin letters passes through untouched."""
     one, many = compatibility()
-    single = F.translate(c, "".join(one), "".join(one.values()))
+    common = c
+    for x in _COMMON:
+        common = F.replace(common, F.lit(x), F.lit(many[x]))
+    single = F.when(common.rlike(_MAY_CHANGE), F.translate(common, "".join(one), "".join(one.values()))).otherwise(common)
     forms = F.map_from_arrays(F.lit(list(many)), F.lit(list(many.values())))
     every = F.lit("".join(many))
     several = F.array_join(F.transform(F.split(single, ""), lambda x: F.when(F.contains(every, x) & (x != ""), F.element_at(forms, x)).otherwise(x)), "")

@@ -437,7 +437,7 @@ FROM p WHERE len(a) > 0 AND len(b) > 0 AND array_to_string(a, ';') <> array_to_s
 
 def _found(spark, sf_dir, name: str) -> DataFrame:
     rows = _paired(spark, sf_dir).where("base_body is not null and revised_body is not null")
-    rows = rows.select("doc_id", "title", F.explode(compare.findings(F.col("title"), F.col("base_body"), F.col("revised_body"), name)).alias("f"))
+    rows = compare.with_findings(rows, F.col("title"), F.col("base_body"), F.col("revised_body"), name).select("doc_id", "title", F.explode("found").alias("f"))
     return rows.select("doc_id", "title", "f.from", "f.to", "f.severity")
 
 

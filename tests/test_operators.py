@@ -109,7 +109,7 @@ def test_detectors(spark):
         ("FEES", "pay AED 100,000, and shall within thirty (30) days", "pay AED 250,000, and may within sixty (60) days"), ("X", "at 1.5% under DIFC law", "at 2 per cent. under ADGM law"), ("X", "pay $500", "pay $600"), ("X", "pay US$500 now", "pay US$600 now"),
     ]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, h string, a string, b string")
-    got = [[tuple(f) for f in r["f"]] for r in df.withColumn("f", compare.findings(F.col("h"), F.col("a"), F.col("b"))).orderBy("i").collect()]
+    got = [[tuple(f) for f in r["f"]] for r in compare.with_findings(df, F.col("h"), F.col("a"), F.col("b")).withColumnRenamed("found", "f").orderBy("i").collect()]
     assert got[0] == [("MONEY", "AED 100,000", "AED 250,000", "HIGH"), ("OBLIGATION_FLIP", "mandatory (shall/must)", "optional (may)", "HIGH"), ("DURATION", "thirty (30) days", "sixty (60) days", "MEDIUM")]
     assert [f[0] for f in got[1]] == ["PERCENTAGE", "GOVERNING_LAW"] and got[2] == [] and got[3][0][1:3] == ("$500", "$600")
 
