@@ -133,8 +133,8 @@ def _log_frequencies(counts: Iterable[tuple[str, str, int]], languages: list[str
 def train(docs: DataFrame, rows: int = ROWS, words: int = WORDS, grams: int = GRAMS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on about ``rows`` labelled rows that are not held out: an equal number of each language, or all of a rarer one.
 
-    A hash of the id draws them.  The driver gets the number of labels per language, and at most ``words`` words and
-    ``LONGEST * grams`` n-grams of each.  Of entries that are equally frequent all are kept or, over the limit, none.
+    A hash of the id draws them.  The driver gets the number of labels per language, and about ``words`` words and
+    ``LONGEST * grams`` n-grams of each; of the equally frequent ones around that limit a hash draws as many as fit on average.
     Rows without id, text or label are not used; without any usable row the model knows no language.
     """
     usable = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
@@ -151,8 +151,10 @@ def train(docs: DataFrame, rows: int = ROWS, words: int = WORDS, grams: int = GR
         totals = {tuple(r[:-1]): r[-1] for r in df.groupBy("lang", *by).agg(F.sum("n")).collect()}
         levels = df.groupBy("lang", *by, "n").agg(F.count("*").alias("entries"))  # few: as many as there are different counts
         upto = F.sum("entries").over(Window.partitionBy("lang", *by).orderBy(F.desc("n")))
-        least = levels.withColumn("upto", upto).where(F.col("upto") <= limit).groupBy("lang", *by).agg(F.min("n").alias("least"))
-        top = df.join(F.broadcast(least), ["lang", *by]).where("n >= least").select("lang", "key", "n", *by).toArrow()
+        over = levels.withColumn("upto", upto).where(F.col("upto") > limit)
+        last = over.groupBy("lang", *by).agg(F.max_by(F.struct("n", ((limit - F.col("upto") + F.col("entries")) / F.col("entries")).alias("share")), "n").alias("last"))
+        drawn_tie = (F.col("n") == F.col("last.n")) & (F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < F.col("last.share") * 1_000_003)
+        top = df.join(F.broadcast(last), ["lang", *by], "left").where(F.col("last").isNull() | (F.col("n") > F.col("last.n")) | drawn_tie).select("lang", "key", "n", *by).toArrow()
         return list(zip(*(c.to_pylist() for c in top.columns))), totals
 
     top, totals = most(counted.where("length(key) <= 64"), [], words)

@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     distinct = settle(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select(F.col("fp").alias("rep"), "fp"), radius))
     named = settle(distinct.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), "root", "least"), "named")
-    least = named.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("least").alias("all"))
+    least = named.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("least").alias("all")).repartition("r")  # an exchange of its own, so that the rows of a large component can be split
     classes = settle(named.join(least, F.col("root") == F.col("r"), "left").select("of", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("all")).alias("component_id")), "classes")
     discard(distinct, named)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
