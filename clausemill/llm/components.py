@@ -7,11 +7,22 @@ is written to the shared folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.storage import discard, settle
 
+SLICES = 64
+
+
+def slice_of(*cols: str) -> Column:
+    """The slice of its class that a row is dealt to, by a hash of ``cols``.
+
+    Rows grouped and joined by class and slice spread a large class over SLICES tasks; what a class as a whole needs is
+    then computed over its at most SLICES groups.
+    """
+    return F.pmod(F.xxhash64(*cols), F.lit(SLICES)).cast("int")
+
 
 def _least(edges: DataFrame) -> DataFrame:
     """``(u, m)``: the smallest ``v`` of every ``u``.

@@ -24,10 +24,10 @@ from itertools import accumulate, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.components import components
+from clausemill.llm.components import components, slice_of
 from clausemill.llm.keep import keep_one, keyed
 from clausemill.llm.rows import per_text
 from clausemill.storage import discard, settle
@@ -228,8 +228,10 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     distinct = settle(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select(F.col("fp").alias("rep"), "fp"), radius))
     named = settle(distinct.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), "root", "least"), "named")
-    least = named.where("root is not null").groupBy(F.col("root").alias("r")).agg(F.min("least").alias("all")).repartition("r")  # an exchange of its own, so that the rows of a large component can be split
-    classes = settle(named.join(least, F.col("root") == F.col("r"), "left").select("of", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("all")).alias("component_id")), "classes")
+    linked = named.where("root is not null").withColumn("slice", slice_of("of"))
+    least = linked.groupBy("root", "slice").agg(F.min("least").alias("least")).select("root", "slice", F.min("least").over(Window.partitionBy("root")).alias("component_id"))
+    alone = named.where("root is null").select("of", F.col("least").alias("component_id"))
+    classes = settle(linked.join(least, ["root", "slice"]).select("of", "component_id").unionAll(alone), "classes")
     discard(distinct, named)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return marks.join(classes, F.col("fp") == F.col("of"), "left").select("doc_id", hexed, "component_id")

@@ -9,8 +9,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from clausemill.llm import language, licenses, media, mixing, packing, pii, secrets, simhash, token_count, tokens, vectors
+from clausemill.llm import keep, language, licenses, media, mixing, packing, pii, secrets, simhash, token_count, tokens, vectors
 from clausemill.llm.components import components
 
 
@@ -582,3 +583,16 @@ def test_a_rare_language_is_always_drawn(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = language.train(df, rows=60)
     assert model.languages == ["en", "fi"] and model.score("harvinaisen kielen")[0] == "fi"
+
+
+def test_a_large_component_in_slices_has_one_id_and_one_first_row(spark, monkeypatch):
+    codes = [(i, i ^ i >> 1) for i in range(300)] + [(1000, -1), (1001, 0x0F0F0F0F0F0F0F0F)]  # a chain of one-bit steps, and two alone
+    marks = spark.createDataFrame(codes, "doc_id bigint, fp bigint")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: marks)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(marks).collect()}
+    assert got == {i: 0 if i < 300 else i for i, _ in codes}
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i, _ in codes] + [(7, "text 7")], "doc_id bigint, text string")
+    same = keep.keyed(docs, "doc_id", "text").select("key", F.col("key.id").alias("same"))
+    classes = spark.range(300).select(F.col("id").alias("of"), F.lit(0).cast("bigint").alias("root")).unionAll(spark.createDataFrame([(1000, 1000), (1001, 1001)], "of bigint, root bigint"))
+    assert sorted(r["doc_id"] for r in keep.keep_one(docs, same, classes, "doc_id", "text").collect()) == [0, 1000, 1001]
