@@ -37,6 +37,46 @@ def content_type(kind: Column) -> Column:
     return F.when(kind == "PDF", "application/pdf").when(kind == "DOCX", "application/vnd.openxmlformats-officedocument.wordprocessingml.document")
 
 
+# The HTTP status of each rejection, and the code of each HTTP status.
+REJECTED = {"EMPTY_FILE": 400, "LEGACY_DOC_FORMAT": 415, "ENCRYPTED_DOCX": 400, "UNSUPPORTED_TYPE": 415}
+CODES = {404: "NOT_FOUND", 400: "BAD_REQUEST", 413: "FILE_TOO_LARGE", 415: "UNSUPPORTED_TYPE", 429: "RATE_LIMITED"}
+
+
+def _looked_up(values: dict, key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[key]
+
+
+def rejection_status(reason: Column) -> Column:
+    """HTTP status of a rejection reason; null for other reasons."""
+    return _looked_up(REJECTED, reason)
+
+
+def code_for_status(status: Column) -> Column:
+    """Error code of an HTTP status; INTERNAL for any other, null included."""
+    return F.coalesce(_looked_up(CODES, status), F.lit("INTERNAL"))
+
+
+def model_code(status: Column, timed_out: Column) -> Column:
+    """Error code of a failed model call: too many or too large requests, then refused ones, then timeouts."""
+    return F.when(status.isin(429, 413), "LLM_RATE_LIMITED").when(status.isin(401, 403), "LLM_UNAVAILABLE").when(timed_out, "LLM_TIMEOUT").otherwise("LLM_UNAVAILABLE")
+
+
+def valid_items(items: Column) -> Column:
+    """The entries of an array of number arrays that hold seven numbers and no null; a null array gives an empty one."""
+    seven = lambda x: x.isNotNull() & (F.size(x) == 7) & F.forall(x, lambda v: v.isNotNull())
+    return F.filter(F.coalesce(items, F.array().cast("array<array<double>>")), seven)
+
+
+def cents(x: Column) -> Column:
+    """``x`` rounded to two decimals, halves upward."""
+    return F.floor(x * 100 + 0.5) / 100
+
+
+def known(ids: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``ids`` with ``found``: whether ``rows`` has the key; a null key is never found."""
+    return ids.join(rows.select(key).distinct().withColumn("found", F.lit(True)), key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def ingest_report(files: DataFrame, known: DataFrame, most: int = 25 * MIB) -> DataFrame:
     """Upload checks of ``files (file_id, content, created_at)``: verdict, hash, and the earlier upload of the same bytes, if any.
 

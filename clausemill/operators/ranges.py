@@ -27,6 +27,11 @@ def range_join(left: DataFrame, right: DataFrame, key: str = "doc_id", how: str
     return left.join(right, on, how).drop(right[key])
 
 
+def valid_window(first: Column, last: Column, most: int = 10) -> Column:
+    """Whether pages ``first`` to ``last`` may be asked for: in order, from 1, and at most ``most`` of them."""
+    return F.coalesce((first >= 1) & (first <= last) & (last - first + 1 <= most), F.lit(False))
+
+
 def split_by(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     """Each range cut at the borders of ``pages (doc_id, page, r_start, r_end)``."""
     out = range_join(ranges, pages)

@@ -167,6 +167,17 @@ def thorough_scan(chunks: DataFrame, questions: DataFrame, limit: int, map_fn=No
     return rows.select("query_id", "doc_id", "batch", mapped("question", "texts").alias("m")).select("query_id", "doc_id", "batch", "m.*")
 
 
+def map_quotes(results: DataFrame, most: int = 5, key: str = "query_id") -> DataFrame:
+    """``(key, n, quote)``: the first ``most`` quotes of every batch, each once per key and numbered in first-seen order.
+
+    ``results (key, batch, quotes)``; blank quotes go, and do not count.
+    """
+    firsts = F.slice(F.filter("quotes", lambda q: F.trim(q) != ""), 1, most)
+    rows = results.select(key, "batch", F.posexplode(firsts).alias("pos", "quote"))
+    seen = rows.groupBy(key, "quote").agg(F.min(F.struct("batch", "pos")).alias("at"))
+    return seen.select(key, F.row_number().over(Window.partitionBy(key).orderBy("at", "quote")).alias("n"), "quote")
+
+
 def keyword_findings(question: str, texts: list[str]) -> tuple[bool, str, list[str]]:
     terms = {w for w in re.findall(r"\w{4,}", (question or "").lower())}
     quotes = [s.strip() for t in texts for s in re.split(r"(?<=[.;])\s+", t) if terms & set(re.findall(r"\w{4,}", s.lower()))]

@@ -513,6 +513,11 @@ def change_filter(spark, sf_dir):
     return compare.report(_paired(spark, sf_dir)).where("severity = 'HIGH' and type = 'MODIFIED'").select("doc_id", "title", "type")
 
 
+@query(f"SELECT doc_id, title, 'change-' || row_number() OVER (PARTITION BY doc_id ORDER BY title) AS change_id FROM ({_severity_sql()})")
+def change_ids(spark, sf_dir):
+    return compare.numbered(compare.report(_paired(spark, sf_dir)), "title").select("doc_id", "title", "change_id")
+
+
 def s_words(x: str) -> str:
     return f"list_distinct(list_filter(string_split(lower({s_fold(x)}), ' '), lambda w: length(w) > 1))"
 
@@ -1050,6 +1055,65 @@ def item_separators(spark, sf_dir):
     return ingest.separators(V.view(spark, sf_dir, _PDF_ITEMS)).select("page", "item", "separator")
 
 
+_STATUS = "CASE event_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 400 WHEN 2 THEN 413 WHEN 3 THEN 415 WHEN 4 THEN 429 WHEN 5 THEN 401 ELSE 503 END"
+
+
+@query(f"""SELECT event_id, CASE s WHEN 404 THEN 'NOT_FOUND' WHEN 400 THEN 'BAD_REQUEST' WHEN 413 THEN 'FILE_TOO_LARGE' WHEN 415 THEN 'UNSUPPORTED_TYPE' WHEN 429 THEN 'RATE_LIMITED' ELSE 'INTERNAL' END AS code,
+  CASE WHEN s IN (429, 413) THEN 'LLM_RATE_LIMITED' WHEN s NOT IN (401, 403) AND event_type = 'view' THEN 'LLM_TIMEOUT' ELSE 'LLM_UNAVAILABLE' END AS model_code FROM (SELECT event_id, event_type, {_STATUS} AS s FROM events)""")
+def error_codes(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_type") == "view").alias("late"), F.expr(_STATUS).alias("s"))
+    return rows.select("event_id", ingest.code_for_status(F.col("s")).alias("code"), ingest.model_code(F.col("s"), F.coalesce("late", F.lit(False))).alias("model_code"))
+
+
+@query(f"SELECT file_id, reason, CAST(CASE reason WHEN 'EMPTY_FILE' THEN 400 WHEN 'ENCRYPTED_DOCX' THEN 400 ELSE 415 END AS INT) AS http_status FROM (SELECT file_id, {_VERDICT} FROM (SELECT page_id AS file_id FROM pages)) WHERE reason IS NOT NULL")
+def rejection_status(spark, sf_dir):
+    rows = _files(spark, sf_dir).select("file_id", ingest.sniff(F.col("content"))["reason"].alias("reason")).where("reason is not null")
+    return rows.select("file_id", "reason", ingest.rejection_status(F.col("reason")).alias("http_status"))
+
+
+@query("""SELECT l_orderkey AS page, count(*) AS n_items, count(*) FILTER (l_linenumber % 3 <> 0 AND l_partkey % 5 <> 0) AS n_valid FROM lineitem GROUP BY l_orderkey""")
+def valid_items(spark, sf_dir):
+    number = lambda c: F.col(c).cast("double")
+    seven = [F.when(F.col("l_partkey") % 5 != 0, number("l_quantity")), *map(number, ("l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey"))]
+    item = F.when(F.col("l_linenumber") % 3 != 0, F.array(*seven)).otherwise(F.array(*seven[1:]))
+    pages = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.collect_list(item).alias("items"))
+    return long(pages.select("page", F.size("items").alias("n_items"), F.size(ingest.valid_items(F.col("items"))).alias("n_valid")), "n_items", "n_valid")
+
+
+@query("SELECT l_orderkey, l_partkey, floor(l_extendedprice / 7 * 100 + 0.5) / 100 AS x FROM lineitem")
+def item_geometry(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", ingest.cents(F.col("l_extendedprice") / 7).alias("x"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber - 1 >= 1 AND n >= 0 AND n < 10 AS valid FROM (SELECT *, CAST(l_quantity AS INT) % 14 - 2 AS n FROM lineitem)")
+def page_guard(spark, sf_dir):
+    first = F.col("l_linenumber") - 1
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", ranges.valid_window(first, first + F.col("l_quantity").cast("int") % 14 - 2).alias("valid"))
+
+
+@query("SELECT doc_id, doc_id * 3 IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL) AS found FROM labels")
+def doc_exists(spark, sf_dir):
+    asked = table(spark, sf_dir, "labels").select((F.col("doc_id") * 3).alias("doc_id"))
+    return ingest.known(asked, table(spark, sf_dir, "documents")).select((F.col("doc_id") / 3).cast("bigint").alias("doc_id"), "found")
+
+
+@query("""WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS base_sha, sha256(coalesce(lang, '')) AS revised_sha FROM documents), s AS (SELECT base_sha, revised_sha, max(quality) AS high, max(toxic) AS low FROM a JOIN labels USING (doc_id) GROUP BY base_sha, revised_sha)
+SELECT doc_id, CASE WHEN s.base_sha IS NULL THEN 'PENDING' ELSE 'READY' END AS status, coalesce(high, 0) AS high, coalesce(low, 0) AS low FROM a LEFT JOIN s ON a.base_sha = s.base_sha AND a.revised_sha = s.revised_sha""")
+def comparison_cache(spark, sf_dir):
+    sha = lambda c: F.sha2(F.coalesce(c, F.lit("")), 256)
+    asked = table(spark, sf_dir, "documents").select("doc_id", sha("text").alias("base_sha"), sha("lang").alias("revised_sha"))
+    on = ["base_sha", "revised_sha"]
+    stored = asked.join(table(spark, sf_dir, "labels"), "doc_id").groupBy(*on).agg(F.max("quality").alias("high"), F.max("toxic").alias("low"))
+    return compare.read_back(asked, stored, on, ["high", "low"]).select("doc_id", "status", "high", "low")
+
+
+@query("""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY first_at, quote) AS n, quote FROM (SELECT conv_id, quote, min(turn * 5 + pos) AS first_at FROM (
+  SELECT conv_id, turn, unnest(qs) AS quote, unnest(range(0, len(qs))) AS pos FROM (SELECT conv_id, turn, list_filter(string_split(text, '. '), lambda q: trim(q) <> '')[1:5] AS qs FROM conversations WHERE text IS NOT NULL)) GROUP BY conv_id, quote)""")
+def map_quotes(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", F.col("turn").alias("batch"), F.split("text", "[.] ").alias("quotes"))
+    return long(retrieve.map_quotes(rows, key="conv_id"), "n")
+
+
 @query()
 def html_blocks(spark, sf_dir):
     return ingest.html_blocks(table(spark, sf_dir, "pages"))

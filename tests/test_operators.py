@@ -360,3 +360,17 @@ def test_chunks_cut_at_the_later_sentence_mark_and_know_boilerplate(spark):
     rows = structure.chunks(docs, ["doc_id"], target=60, boilerplate_ranges=ranges).orderBy("chunk").collect()
     assert [r["is_boilerplate"] for r in rows][0] and not any(r["is_boilerplate"] for r in rows[1:])
     assert list(structure.chunk_segments("a" * 40 + "b" * 40, [(0, 40, None, None), (40, 80, "2", "B")]))[0][2:4] == (None, None)
+
+
+def test_lookups_and_guards_of_null_and_odd_rows(spark):
+    from clausemill.operators import compare, ingest, ranges, retrieve
+
+    rows = spark.createDataFrame([(1, 404, [[1.0] * 7, [1.0] * 6, [None] + [1.0] * 6, None]), (2, None, None), (3, 599, [])], "id int, s int, items array<array<double>>")
+    got = rows.select("id", ingest.code_for_status(F.col("s")).alias("c"), F.size(ingest.valid_items(F.col("items"))).alias("n"), ranges.valid_window(F.col("id"), F.col("s")).alias("v"), ranges.valid_window(F.col("id"), F.col("id") + 9).alias("w"))
+    assert sorted(map(tuple, got.collect())) == [(1, "NOT_FOUND", 1, False, True), (2, "INTERNAL", 0, False, True), (3, "INTERNAL", 0, False, True)]
+
+    quotes = spark.createDataFrame([(1, 2, ["b", " ", "a"]), (1, 1, ["a", "c", "d", "e", "f", "g"]), (2, 1, None)], "query_id int, batch int, quotes array<string>")
+    assert sorted(map(tuple, retrieve.map_quotes(quotes).collect())) == [(1, 1, "a"), (1, 2, "c"), (1, 3, "d"), (1, 4, "e"), (1, 5, "f"), (1, 6, "b")]
+
+    asked, stored = spark.createDataFrame([(1, "a"), (2, None)], "doc_id int, sha string"), spark.createDataFrame([("a", 4)], "sha string, high int")
+    assert sorted((r["doc_id"], r["status"], r["high"]) for r in compare.read_back(asked, stored, ["sha"], ["high"]).collect()) == [(1, "READY", 4), (2, "PENDING", 0)]
