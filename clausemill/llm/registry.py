@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.llm import language, licenses, media, mixing, packing, pii, secrets, simhash, token_count, vectors
+from clausemill.llm import language, licenses, media, mixing, packing, periodic, permutation, phrases, pii, secrets, simhash, token_count, vectors
 from clausemill.session import table
 
 
@@ -53,8 +53,35 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def _planted(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``; in the tenth of documents that the hash of the id picks, the words from one place on repeat a few words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    base = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when((F.col("h") % 10 == 0) & F.col("text").isNotNull(), words))
+    base = base.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+    base = base.withColumn("a", F.col("g") % F.when(F.col("n") > 0, F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.expr("concat(slice(w, 1, int(a)), slice(flatten(array_repeat(slice(w, int(a) + 1, int(p)), int((n - a) div p) + 1)), 1, int(n - a)))")
+    return base.select("doc_id", F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = periodic.periodic_runs(_planted(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    best = runs.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), longest.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return best.select("doc_id", "n_runs", F.col("b.s").alias("start"), (-F.col("b.l")).alias("length"), F.col("b.p").alias("period"), F.expr("(-1000 * b.l) div b.p").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash, op2_secrets, op3_mixing, op4_licenses, op5_token_counts, op6_packing, op7_pii, op8_media, op9_top_k, op10_language)
+    every = (op1_simhash, op2_secrets, op3_mixing, op4_licenses, op5_token_counts, op6_packing, op7_pii, op8_media, op9_top_k, op10_language, op11_neighbours, op12_periodic, op13_phrases)
     return {f.__name__: f for f in every}
 
 
@@ -109,5 +136,23 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id) WHERE rank <= 20"""
 
 
+#: Phrases of two and three words by list slices; HUGEINT holds the products exactly.
+_PHRASES_SQL = f"""
+WITH pieces AS MATERIALIZED (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+cut AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM cut, (VALUES (1), (2), (3)) AS sizes_of(k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+long AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT p.lang, p.phrase, p.k, p.a, p.w, c.place, array_to_string(p.w[1:c.place], ' ') AS lp, array_to_string(p.w[c.place + 1:], ' ') AS rp FROM long p JOIN (VALUES (1), (2)) AS c(place) ON c.place < p.k),
+scored AS (SELECT c.lang, c.phrase, c.k, c.a, c.place, fl.a AS l, fr.a AS r, ((1000000::HUGEINT * c.a * c.a) // (fl.a::HUGEINT * fr.a))::BIGINT AS score FROM cuts c
+  JOIN f fl ON fl.lang = c.lang AND fl.k = c.place AND fl.phrase = c.lp JOIN f fr ON fr.lang = c.lang AND fr.k = c.k - c.place AND fr.phrase = c.rp),
+chosen AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, place) = 1),
+within AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM long WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM long WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT c.* FROM chosen c LEFT JOIN within i ON c.k = 2 AND i.lang = c.lang AND i.phrase = c.phrase WHERE i.most IS NULL OR 100 * i.most < {phrases.PART} * c.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT k.*, n, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept k JOIN sizes USING (lang)) WHERE rank <= {phrases.TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _mixing_sql(), "op9_top_k": _TOP_K_SQL}
+    return {"op3_mixing": _mixing_sql(), "op9_top_k": _TOP_K_SQL, "op13_phrases": _PHRASES_SQL}
