@@ -242,7 +242,8 @@ def phrase_counts(docs: DataFrame, group_col: str = "lang", text_col: str = "tex
     runs = settle(source.mapInArrow(_runs, "run string, grp string, n bigint, n_codes bigint, codes binary, words array<string>, counts array<bigint>"), "runs")
     sizes = settle(runs.groupBy("grp").agg(F.sum("n").alias("n")).where("n > 0"), "sizes")
     words = runs.select("grp", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("grp", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
-    dictionary = _numbered(settle(words.where(F.col("f") >= least), "frequent"))
+    frequent = settle(words.where(F.col("f") >= least), "frequent")
+    dictionary = _numbered(frequent)
 
     spark = docs.sparkSession
     number, volume = runs.agg(F.count("*"), F.sum("n_codes")).first()
@@ -260,7 +261,7 @@ def phrase_counts(docs: DataFrame, group_col: str = "lang", text_col: str = "tex
     bounds = sorted({bytes(r["key"]) for r in firsts})[1:]
     parts = coded(runs, tasks).mapInArrow(_dealt(bounds), "range int, n bigint, keys binary, times binary")
     grams = settle(parts.repartition(len(bounds) + 1, "range").sortWithinPartitions("range").mapInArrow(_totals(least), "w1 bigint, w2 bigint, w3 bigint, a bigint"), "grams")
-    discard(runs, sample)
+    discard(runs, sample, frequent)
     return sizes, dictionary, grams
 
 
@@ -279,7 +280,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, part: int
     two = grams.where("w3 = 0").drop("w3")
     three = grams.where("w3 > 0")
     three = three.join(two.select("w1", "w2", F.col("a").alias("f12")), ["w1", "w2"]).join(two.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("a").alias("f23")), ["w2", "w3"])
-    three = settle(three, "three")
+    three = longer = settle(three, "three")
     within = three.select("w1", "w2", "a").unionAll(three.select("w2", "w3", "a")).groupBy("w1", "w2").agg(F.max("a").alias("most"))
     two = two.join(within, ["w1", "w2"], "left").where(F.coalesce(F.col("most") * 100 < F.col("a") * part, F.lit(True)))
     group = dictionary.select(F.col("id").alias("w1"), F.col("grp").alias("lang"))
@@ -302,5 +303,5 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, part: int
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(*best))).where(F.col("rank") <= top)
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= top)
     out = settle(ranked.join(sizes, F.col("lang") == F.col("grp")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "phrases")
-    discard(sizes, dictionary, grams)
+    discard(sizes, dictionary, grams, longer)
     return out
