@@ -78,6 +78,15 @@ STOP_WORDS = (
     "when where why its their they you your our per under such other each both been being said agreement contract document clause section"
 ).split()
 
+# --- Fixed values: the usual stop words of English full-text search.
+ENGLISH_STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their "
+    "theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and "
+    "but if or because as until while of at by for with about against between into through during before after above below to from up down in out on "
+    "off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so "
+    "than too very s t can will just don should now"
+).split()
+
 # --- Fixed values: topics that make a clause critical, and what the change detectors look for.
 CRITICAL_TOPICS = ("liability", "indemn", "payment", "fee", "penalty", "penalties", "termination", "confidential", "governing law", "jurisdiction")
 MONEY = r"(?i)(?:<<(?:AED|USD|EUR|GBP|Dhs|Dirhams)|(?<=[A-Za-z0-9_])\$)WS*[0-9,]+(?:\.[0-9]+)?>>"

@@ -1,4 +1,4 @@
-"""Keyword retrieval over chunks, token budgets, and honest coverage."""
+"""Token budgets over retrieved chunks, whole-document scans, and honest coverage."""
 
 from __future__ import annotations
 
@@ -11,75 +11,9 @@ from pyspark.sql import functions as F
 from clausemill.functions import text as T
 from clausemill.operators.structure import page_ranges
 
-LIMIT, WEAK, HEADING_BOOST, DEFINITION_BOOST = 40, 3, 1.5, 1.2
 RESERVE, FEWEST = 1600, 500
 
 
-def lexemes(c: Column) -> Column:
-    """Lower-cased words of letters and digits, in order."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def stem(word: str) -> str:
-    """A light English stem: plural, -eed, -ed, -ing and a final e or y."""
-    for suffix, repl in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(suffix):
-            word = word[: len(word) - len(suffix)] + repl
-            break
-    if word.endswith("eed"):
-        return word[:-2] if re.search("[aeiouy][^aeiouy]", word[:-3]) else word
-    for suffix in ("ing", "ed"):
-        base = word[: -len(suffix)]
-        if word.endswith(suffix) and re.search("[aeiouy]", base) and len(base) > 2:
-            word = base[:-1] if len(base) > 2 and base[-1] == base[-2] and base[-1] not in "lsz" else base
-            break
-    if len(word) > 3 and word[-1] == "e":
-        word = word[:-1]
-    return word[:-1] + "i" if len(word) > 2 and word[-1] == "y" else word
-
-
-def stemmed(words: Column) -> Column:
-    """Words of an array column, each by its stem."""
-
-    @F.pandas_udf("array<string>")
-    def stems(rows: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return rows.map(lambda ws: [known.setdefault(w, stem(w)) for w in ws])
-
-    return stems(words)
-
-
-def postings(chunks: DataFrame, text_col: str = "text") -> DataFrame:
-    """Inverted index ``(doc_id, chunk, lexeme, positions)`` of chunks."""
-    rows = chunks.select("doc_id", "chunk", F.posexplode(lexemes(F.col(text_col))).alias("pos", "lexeme"))
-    return rows.groupBy("doc_id", "chunk", "lexeme").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
-def match_terms(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, chunk, n_terms, n_hits)``: distinct terms of ``queries (query_id, doc_id, terms)`` found per chunk of their document."""
-    asked = queries.select("query_id", "doc_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("lexeme"))
-    return asked.join(index, ["doc_id", "lexeme"]).groupBy("query_id", "doc_id", "chunk", "n_terms").agg(F.count("*").alias("n_hits"), F.sum(F.size("positions")).alias("n_places"))
-
-
-def search(chunks: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``(query_id, doc_id, chunk, score, mode)``: chunks with all terms; queries with under three of those also get chunks with any term.
-
-    ``chunks (doc_id, chunk, heading, text)``.  score is the share of terms found plus a small part for their density,
-    times 1.5 if the heading has all terms found and 1.2 if it names definitions.  Both passes come from one join.
-    """
-    hits = match_terms(postings(chunks), queries)
-    heads = chunks.select("doc_id", "chunk", F.coalesce("heading", F.lit("")).alias("head"), F.greatest(F.length("text"), F.lit(1)).alias("size"))
-    terms = queries.select("query_id", "terms")
-    rows = hits.join(heads, ["doc_id", "chunk"]).join(terms, "query_id")
-    in_head = F.size(F.array_intersect(lexemes(F.col("head")), "terms")) > 0
-    score = (F.col("n_hits") / F.col("n_terms") + F.least(F.lit(0.1), F.col("n_places") / F.col("size"))) * F.when(in_head, HEADING_BOOST).otherwise(1.0) * F.when(F.lower("head").contains("definition"), DEFINITION_BOOST).otherwise(1.0)
-    rows = rows.withColumn("score", score).withColumn("strict", F.col("n_hits") == F.col("n_terms"))
-    rows = rows.withColumn("n_strict", F.sum(F.col("strict").cast("int")).over(Window.partitionBy("query_id", "doc_id")))
-    rows = rows.where(F.col("strict") | (F.col("n_strict") < WEAK))
-    rank = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "chunk"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "doc_id", "chunk", "score", F.when(F.col("strict"), "strict").otherwise("any").alias("mode"))
-
-
 def budget(rows: DataFrame, most: Column, *texts: str) -> DataFrame:
     """``rows`` with ``excerpt_tokens`` and ``exhausted``: what is left of the input limit after fixed texts and the reserve."""
     left = most - sum((T.tokens(F.col(t)) for t in texts), F.lit(0)) - RESERVE

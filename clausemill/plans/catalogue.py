@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from clausemill.functions import patterns as P
 from clausemill.functions import text as T
 from clausemill.functions.patterns import re2
-from clausemill.operators import chat, compare, events, ingest, ranges, redline, retrieve, structure, verify
+from clausemill.operators import chat, compare, events, fulltext, ingest, ranges, redline, retrieve, structure, verify
 from clausemill.plans import views as V
 from clausemill.session import table
+from clausemill.storage import discard, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -594,28 +595,107 @@ def or_query(spark, sf_dir):
 
 
 _CHUNKS = f"SELECT doc_id, CAST(ordinal AS INT) AS chunk, title AS heading, body AS text, CAST(40 + (doc_id * 13 + ordinal * 29) % 90 AS INT) AS tokens, CAST((doc_id * 7 + ordinal * 3) % 10 AS DOUBLE) AS score, (doc_id + ordinal) % 6 = 0 AS is_boilerplate FROM ({V.CLAUSES}) WHERE version = 'base'"
-_FTS_QUERIES = "SELECT conv_id AS query_id, conv_id AS doc_id, CASE conv_id % 3 WHEN 0 THEN 'payment of fee and interest' WHEN 1 THEN 'laws of the DIFC' ELSE 'notices within days' END AS question FROM (SELECT DISTINCT conv_id FROM {conversations}) q"
+_ASKED = ("payments of fees and interests", '"laws of the DIFC" supplier', "notices within days -ADGM", 'governed -"laws of Dubai"', '"per cent. of the fee" paying', 'confidentiality or "entire agreement"', "-adgm", "suppliers terminated early")
+#: A question of every turn of every conversation, about the contract of that number.
+_FTS_QUERIES = "SELECT conv_id * 1000 + turn AS query_id, conv_id AS doc_id, CASE (conv_id + turn) % 8 " + " ".join(f"WHEN {i} THEN {_q(x)}" for i, x in enumerate(_ASKED)) + " END AS question FROM {conversations}"
 
 
 def _chunk_view(spark, sf_dir):
     return V.view(spark, sf_dir, _CHUNKS)
 
 
-def _fts_queries(spark, sf_dir):
-    return V.view(spark, sf_dir, _FTS_QUERIES).withColumn("terms", T.search_terms(F.col("question")))
-
-
-@query(f"""WITH ch AS ({_CHUNKS}), q AS (SELECT query_id, doc_id, {_TERMS} AS terms FROM ({_FTS_QUERIES})),
-m AS (SELECT query_id, q.doc_id, chunk, len(terms) AS n_terms, len(list_filter(list_distinct(terms), lambda t: list_contains(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), t))) AS n_hits FROM q JOIN ch ON q.doc_id = ch.doc_id)
-SELECT query_id, doc_id, CAST(chunk AS BIGINT) AS chunk, n_hits FROM m WHERE n_hits > 0""")
+def s_stems(words: str) -> str:
+    """Common table expressions that end in ``stems (word, lexeme)`` for the query ``words (word)``: Porter2 by pattern, stop words left out."""
+    stops = ", ".join(_q(w) for w in P.ENGLISH_STOP_WORDS)
+    plain = " ".join(f"WHEN {_q(w)} THEN {_q(x)}" for w, x in ({w: w for w in "sky news howe atlas cosmos bias andes".split()} | {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}).items())
+    region = "^.*?[aeiouy][^aeiouy]"
+    after = lambda x: f"CASE WHEN regexp_matches({x}, '{region}') THEN length(regexp_extract({x}, '{region}')) ELSE length({x}) END"
+    short = "([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+
+    def swap(rules: dict[str, str], at: str, more: dict[str, str]) -> str:
+        """The longest suffix decides; its rule holds from place ``at`` on and under its own condition."""
+        cases = []
+        for suffix, new in sorted(rules.items(), key=lambda r: -len(r[0])):
+            ok = f"length(w) - {len(suffix)} >= {at}" + (f" AND {more[suffix]}" if suffix in more else "")
+            cases.append(f"WHEN w LIKE '%{suffix}' THEN CASE WHEN {ok} THEN substr(w, 1, length(w) - {len(suffix)}) || '{new}' ELSE w END")
+        return f"CASE {' '.join(cases)} ELSE w END"
+
+    two = dict(x.split(":") for x in "tional:tion enci:ence anci:ance abli:able entli:ent izer:ize ization:ize ational:ate ation:ate ator:ate alism:al aliti:al alli:al fulness:ful ousli:ous ousness:ous iveness:ive iviti:ive biliti:ble bli:ble ogi:og fulli:ful lessli:less li:".split())
+    three = dict(x.split(":") for x in "tional:tion ational:ate alize:al icate:ic iciti:ic ical:ic ful: ness: ative:".split())
+    four = dict.fromkeys("al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split(), "")
+    bare = "regexp_replace(w, '(eedly|eed|ingly|edly|ing|ed)$', '')"
+    return f"""st0 AS (SELECT DISTINCT word FROM ({words}) WHERE word NOT IN ({stops})),
+st1 AS (SELECT word, CASE word {plain} END AS fixed, regexp_replace(regexp_replace(word, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM st0),
+st2 AS (SELECT word, fixed, w, CASE WHEN regexp_matches(w, '^(gener|commun|arsen)') THEN length(regexp_extract(w, '^(gener|commun|arsen)')) ELSE {after('w')} END AS r1 FROM st1),
+st3 AS (SELECT word, fixed, r1, r1 + {after('substr(w, r1 + 1)')} AS r2, CASE WHEN w LIKE '%sses' THEN substr(w, 1, length(w) - 2) WHEN regexp_matches(w, 'ie[ds]$') THEN substr(w, 1, length(w) - CASE WHEN length(w) > 4 THEN 2 ELSE 1 END)
+  WHEN regexp_matches(w, '(us|ss)$') THEN w WHEN regexp_matches(w, '[aeiouy].+s$') THEN substr(w, 1, length(w) - 1) ELSE w END AS w FROM st2),
+st4 AS (SELECT word, coalesce(fixed, CASE WHEN w IN ('inning', 'outing', 'canning', 'herring', 'earring', 'proceed', 'exceed', 'succeed') THEN w END) AS fixed, r1, r2, w, {bare} AS b FROM st3),
+st5 AS (SELECT word, fixed, r1, r2, CASE WHEN regexp_matches(w, 'eed(ly)?$') THEN CASE WHEN length(b) >= r1 THEN b || 'ee' ELSE w END WHEN b = w OR NOT regexp_matches(b, '[aeiouy]') THEN w
+  WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e' WHEN regexp_matches(b, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN substr(b, 1, length(b) - 1) WHEN r1 >= length(b) AND regexp_matches(b, '{short}') THEN b || 'e' ELSE b END AS w FROM st4),
+st6 AS (SELECT word, fixed, r1, r2, regexp_replace(w, '^(.+[^aeiouy])[yY]$', '\\1i') AS w FROM st5),
+st7 AS (SELECT word, fixed, r1, r2, {swap(two, 'r1', {'ogi': "w LIKE '%logi'", 'li': "regexp_matches(w, '[cdeghkmnrt]li$')"})} AS w FROM st6),
+st8 AS (SELECT word, fixed, r1, r2, {swap(three, 'r1', {'ative': "length(w) - 5 >= r2"})} AS w FROM st7),
+st9 AS (SELECT word, fixed, r1, r2, {swap(four, 'r2', {'ion': "regexp_matches(w, '[st]ion$')"})} AS w FROM st8),
+st10 AS (SELECT word, fixed, CASE WHEN w LIKE '%e' AND (length(w) - 1 >= r2 OR (length(w) - 1 >= r1 AND NOT regexp_matches(substr(w, 1, length(w) - 1), '{short}'))) THEN substr(w, 1, length(w) - 1)
+  WHEN w LIKE '%ll' AND length(w) - 1 >= r2 THEN substr(w, 1, length(w) - 1) ELSE w END AS w FROM st9),
+stems AS MATERIALIZED (SELECT word, CASE WHEN length(word) < 3 THEN word ELSE coalesce(fixed, replace(w, 'Y', 'y')) END AS lexeme FROM st10)"""
+
+
+def _s_words(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+_TOKENS = """regexp_extract_all(question, '-?"[^"]*"?|[^\\s"]+')"""
+#: Both searches as rows: where every word of a unit stands at its distance, where all units of a group do, and the entries of a chunk.
+_FTS_SQL = f"""ch AS MATERIALIZED (SELECT * FROM ({_CHUNKS}) WHERE NOT is_boilerplate), q AS MATERIALIZED (SELECT * FROM ({_FTS_QUERIES})),
+fields AS (SELECT doc_id, chunk, 'text' AS field, text AS t FROM ch UNION ALL SELECT doc_id, chunk, 'heading', heading FROM ch),
+cw AS MATERIALIZED (SELECT doc_id, chunk, field, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT *, {_s_words('t')} AS w FROM fields)),
+tokens AS (SELECT query_id, doc_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS unit, ts FROM (SELECT *, {_TOKENS} AS ts FROM q)),
+qu AS (SELECT 'strict' AS mode, query_id, doc_id, unit, len(list_filter(ts[1:unit], lambda t: lower(t) = 'or')) AS grp, token LIKE '-%' AS negated, {_s_words('token')} AS w FROM tokens WHERE lower(token) <> 'or'
+  UNION ALL SELECT 'any', query_id, doc_id, list_position(terms, term), list_position(terms, term), false, [term] FROM (SELECT query_id, doc_id, terms, unnest(list_distinct(terms)) AS term FROM (SELECT query_id, doc_id, {_TERMS} AS terms FROM q))),
+qw AS MATERIALIZED (SELECT mode, query_id, doc_id, grp, unit, negated, unnest(w) AS word, generate_subscripts(w, 1) AS off FROM qu),
+{s_stems('SELECT word FROM cw UNION ALL SELECT word FROM qw')},
+cl AS MATERIALIZED (SELECT doc_id, chunk, field, pos, lexeme FROM cw JOIN stems USING (word)),
+ql AS MATERIALIZED (SELECT mode, query_id, doc_id, grp, unit, negated, off - min(off) OVER own AS off, lexeme, count(*) OVER own AS n_words, max(off) OVER own - min(off) OVER own AS width FROM qw JOIN stems USING (word) WINDOW own AS (PARTITION BY mode, query_id, grp, unit)),
+hit AS MATERIALIZED (SELECT mode, query_id, doc_id, chunk, field, grp, unit, negated, n_words, width, off, pos, ql.lexeme FROM ql JOIN cl USING (doc_id, lexeme)),
+occ AS MATERIALIZED (SELECT mode, query_id, doc_id, chunk, field, grp, unit, negated, pos - off AS s, pos - off + width AS e, n_words FROM hit GROUP BY mode, query_id, doc_id, chunk, field, grp, unit, negated, pos - off, pos - off + width, n_words HAVING count(DISTINCT off) = n_words),
+wanted AS (SELECT mode, query_id, doc_id, grp, count(DISTINCT unit) FILTER (NOT negated) AS wanted FROM ql GROUP BY ALL),
+spots AS (SELECT w.*, f.chunk, f.field FROM wanted w JOIN fields f USING (doc_id)),
+held AS MATERIALIZED (SELECT s.mode, s.query_id, s.doc_id, s.chunk, s.field, s.grp, s.wanted FROM spots s LEFT JOIN occ o ON o.mode = s.mode AND o.query_id = s.query_id AND o.grp = s.grp AND o.chunk = s.chunk AND o.field = s.field
+  GROUP BY s.mode, s.query_id, s.doc_id, s.chunk, s.field, s.grp, s.wanted HAVING count(DISTINCT o.unit) FILTER (NOT o.negated) = s.wanted AND count(o.unit) FILTER (o.negated) = 0),
+entries AS MATERIALIZED (SELECT DISTINCT mode, query_id, doc_id, chunk, field, pos FROM hit),
+counts AS (SELECT mode, query_id, chunk, field, count(DISTINCT lexeme) AS n_hits FROM hit GROUP BY ALL)"""
+
+
+@query(f"""WITH {_FTS_SQL}
+SELECT DISTINCT h.query_id, h.doc_id, CAST(h.chunk AS BIGINT) AS chunk, h.field, h.mode, coalesce(n_hits, 0) AS n_hits FROM held h LEFT JOIN counts c ON c.mode = h.mode AND c.query_id = h.query_id AND c.chunk = h.chunk AND c.field = h.field""")
 def fts_match(spark, sf_dir):
-    found = retrieve.match_terms(retrieve.postings(_chunk_view(spark, sf_dir)), _fts_queries(spark, sf_dir))
-    return long(found.select("query_id", "doc_id", "chunk", "n_hits"), "chunk")
-
-
-@query()
+    chunks, asked = settle(_chunk_view(spark, sf_dir).where("not is_boilerplate"), "chunks"), V.view(spark, sf_dir, _FTS_QUERIES)
+    both = {"strict": settle(fulltext.units(asked), "units"), "any": settle(fulltext.any_units(asked), "units")}
+    index = settle(fulltext.postings(chunks, both["strict"].select("doc_id", "lexeme").unionByName(both["any"].select("doc_id", "lexeme"))), "postings")
+    found = [fulltext.matches(units, index, chunks).withColumn("mode", F.lit(mode)) for mode, units in both.items()]
+    discard(chunks, index, *both.values())
+    return long(found[0].unionByName(found[1]).select("query_id", "doc_id", "chunk", "field", "mode", "n_hits"), "chunk")
+
+
+@query(f"""WITH {_FTS_SQL},
+start_of AS (SELECT e.mode, e.query_id, e.chunk, e.field, e.pos, h.grp, o.unit, max(o.s) AS s FROM entries e JOIN held h ON h.mode = e.mode AND h.query_id = e.query_id AND h.chunk = e.chunk AND h.field = e.field AND h.wanted > 0
+  JOIN occ o ON o.mode = e.mode AND o.query_id = e.query_id AND o.chunk = e.chunk AND o.field = e.field AND o.grp = h.grp AND NOT o.negated AND o.e <= e.pos GROUP BY ALL),
+latest AS (SELECT mode, query_id, chunk, field, pos, max(p) AS p FROM (SELECT s.mode, s.query_id, s.chunk, s.field, s.pos, s.grp, w.wanted, min(s.s) AS p FROM start_of s JOIN wanted w ON w.mode = s.mode AND w.query_id = s.query_id AND w.grp = s.grp GROUP BY s.mode, s.query_id, s.chunk, s.field, s.pos, s.grp, w.wanted HAVING count(*) = w.wanted) GROUP BY ALL),
+covers AS (SELECT mode, query_id, chunk, field, p, min(pos) AS q FROM latest GROUP BY ALL),
+noise AS (SELECT c.mode, c.query_id, c.chunk, c.field, c.p, c.q, count(*) AS inside FROM covers c JOIN entries e ON e.mode = c.mode AND e.query_id = c.query_id AND e.chunk = c.chunk AND e.field = c.field AND e.pos BETWEEN c.p AND c.q GROUP BY ALL),
+density AS (SELECT mode, query_id, chunk, field, sum(0.1::DOUBLE / (q - p - inside + 2)) AS score FROM noise GROUP BY ALL),
+whole AS (SELECT DISTINCT mode, query_id, doc_id, chunk, field FROM held),
+scored AS (SELECT w.mode, w.query_id, w.doc_id, w.chunk, coalesce(d.score, 0.0) * CASE WHEN h.chunk IS NULL THEN 1.0::DOUBLE ELSE 1.5::DOUBLE END * CASE WHEN contains(lower(coalesce(ch.heading, '')), 'definition') THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END AS score
+  FROM whole w JOIN ch USING (doc_id, chunk) LEFT JOIN density d ON d.mode = w.mode AND d.query_id = w.query_id AND d.chunk = w.chunk AND d.field = 'text' LEFT JOIN whole h ON h.mode = w.mode AND h.query_id = w.query_id AND h.chunk = w.chunk AND h.field = 'heading' WHERE w.field = 'text'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY round(score, 9) DESC, chunk) AS place FROM scored QUALIFY place <= 40),
+strict AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM placed WHERE mode = 'strict'), loose AS (SELECT * FROM placed WHERE mode = 'any' AND query_id NOT IN (SELECT query_id FROM strict WHERE n >= 3)),
+merged AS (SELECT coalesce(s.query_id, l.query_id) AS query_id, coalesce(s.doc_id, l.doc_id) AS doc_id, coalesce(s.chunk, l.chunk) AS chunk, coalesce(s.score, l.score) AS score, CASE WHEN s.chunk IS NULL THEN 'any' ELSE 'strict' END AS mode, coalesce(l.place, 40 + s.place) AS place
+  FROM strict s FULL JOIN loose l ON l.query_id = s.query_id AND l.chunk = s.chunk)
+SELECT query_id, doc_id, CAST(chunk AS BIGINT) AS chunk, round(score, 6) AS score, mode, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, place) AS rank FROM merged QUALIFY rank <= 40""")
 def fts_search(spark, sf_dir):
-    return retrieve.search(_chunk_view(spark, sf_dir).where("not is_boilerplate"), _fts_queries(spark, sf_dir))
+    found = fulltext.search(_chunk_view(spark, sf_dir).where("not is_boilerplate"), V.view(spark, sf_dir, _FTS_QUERIES))
+    return long(found.select("query_id", "doc_id", "chunk", F.round("score", 6).alias("score"), "mode", "rank"), "chunk")
 
 
 @query(f"""WITH RECURSIVE ch AS (SELECT doc_id, chunk, tokens, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk) AS r FROM ({_CHUNKS})),
