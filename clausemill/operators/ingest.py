@@ -151,7 +151,7 @@ class _Cleaner(html.parser.HTMLParser):
             if tag in BLOCK_TAGS:
                 if self.open and not (tag == "li" and self.lists and self.lists[-1]):
                     self.open[-1][2] = False
-                block = [tag, [], True]
+                block = [tag, [], True, len(self.out) - 1]
                 self.open.append(block)
                 self.blocks.append(block)
             elif tag == "br" and self.open:
@@ -180,7 +180,21 @@ def clean_html(source: str) -> tuple[str, list[tuple[str, str]]]:
     p = _Cleaner()
     p.feed(source or "")
     p.close()
-    return "".join(p.out), [(tag, " ".join("".join(parts).split())) for tag, parts, leaf in p.blocks if leaf]
+    return "".join(p.out), [(tag, " ".join("".join(parts).split())) for tag, parts, leaf, _ in p.blocks if leaf]
+
+
+def annotated(source: str) -> tuple[str, str]:
+    """Sanitised HTML whose leaf blocks carry ``data-start`` and ``data-end``, and the text that these count in: block texts joined by line feeds."""
+    p = _Cleaner()
+    p.feed(source or "")
+    p.close()
+    at, texts = 0, []
+    for _, parts, leaf, place in p.blocks:
+        if leaf:
+            texts.append(" ".join("".join(parts).split()))
+            p.out[place] = f'{p.out[place][:-1]} data-start="{at}" data-end="{at + len(texts[-1])}">'
+            at += len(texts[-1]) + 1
+    return "".join(p.out), "\n".join(texts)
 
 
 def sanitized(source: Column) -> Column:
@@ -224,9 +238,6 @@ def cascade_delete(doomed: DataFrame, children: dict[str, DataFrame], loosened:
     return out
 
 
-TOO_LONG = {"FILE_TOO_LARGE", "EMPTY_FILE"}
-
-
 def next_status(kind: Column, text_chars: Column, fully_scanned: Column) -> tuple[Column, Column]:
     """Final status and error code of a processed document; unreadable outcomes never become READY."""
     code = F.when(fully_scanned, "SCANNED_DOCUMENT").when((kind == "DOCX") & (text_chars == 0), "EXTRACTION_FAILED")

@@ -18,6 +18,7 @@ from clausemill.functions.patterns import re2
 from clausemill.operators import chat, compare, events, fulltext, ingest, ranges, redline, retrieve, structure, verify
 from clausemill.plans import views as V
 from clausemill.session import table
+from clausemill.sources import docx, tracked
 from clausemill.storage import discard, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1011,6 +1012,33 @@ def accept_reject(spark, sf_dir):
     return redline.simulate(diffed).select("doc_id", "paragraph", "if_rejected", "if_accepted")
 
 
+def _redlined(spark, sf_dir):
+    """Contracts as DOCX packages of three formats and a link, with their applicable edits written in; originals, results, and the texts to expect."""
+    edits, pars = V.view(spark, sf_dir, _EDITS), V.view(spark, sf_dir, _PARS)
+    path, place = F.col("doc_id").cast("string").alias("path"), (F.col("paragraph") - 1).alias("paragraph")
+    cuts = ((1, 14, ""), (15, 12, "b"), (27, 25, "iu"), (52, 30, "l"), (82, 1_000_000, ""))
+    runs = F.filter(F.array(*(F.struct(F.substring("text", a, n).alias("text"), F.lit(m).alias("marks")) for a, n, m in cuts)), lambda r: r["text"] != "")
+    original = settle(docx.build_files(pars.select(path, place, runs.alias("runs"))), "packages")
+    located = redline.locate(edits, pars)
+    live = located.where("status = 'APPLICABLE'").join(edits, ["doc_id", "edit_id"]).join(pars, ["doc_id", "paragraph"])
+    find = F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("find")
+    written = tracked.track_files(original, live.select(path, place, F.col("start").cast("int").alias("start"), find, "replace"))
+    return original, written, redline.accepted_texts(pars, located, edits).select(path, place, F.col("accepted").alias("text"))
+
+
+@query(f"SELECT doc_id, CAST(paragraph AS BIGINT) AS paragraph, text AS if_rejected, accepted AS if_accepted FROM ({_ACCEPTED})")
+def redline_written(spark, sf_dir):
+    original, written, _ = _redlined(spark, sf_dir)
+    rows = tracked.check_files(original, written)
+    return rows.select(F.col("path").cast("bigint").alias("doc_id"), (F.col("paragraph") + 1).cast("bigint").alias("paragraph"), F.col("rejected").alias("if_rejected"), F.col("accepted").alias("if_accepted"))
+
+
+@query(f"SELECT DISTINCT doc_id, true AS ok, CAST(NULL AS VARCHAR) AS reason FROM ({_PARS})")
+def redline_validate(spark, sf_dir):
+    original, written, expected = _redlined(spark, sf_dir)
+    return tracked.validate(tracked.check_files(original, written), expected).select(F.col("path").cast("bigint").alias("doc_id"), "ok", "reason")
+
+
 _INSTRUCTIONS = "SELECT conv_id * 100 + turn AS instruction_id, CASE turn % 5 WHEN 0 THEN 'Add a new clause on audit' WHEN 1 THEN 'Make the title bold' WHEN 2 THEN 'Change 30 days to 60 days' WHEN 3 THEN 'Increase the cap' ELSE '  Format the table' END AS instruction FROM {conversations}"
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.operators import ingest
+from clausemill.sources import tracked
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -71,33 +72,12 @@ def docx_paragraphs(files: DataFrame) -> DataFrame:
 
 def write_tracked(content: bytes, edits: dict[int, list[tuple[str, str]]], author: str, date: str) -> bytes:
     """The package with the given paragraphs as tracked changes: word operations ``(equal|delete|insert, text)`` by paragraph number."""
-    source = zipfile.ZipFile(io.BytesIO(content))
-    ET.register_namespace("w", W[1:-1])
-    root = ET.fromstring(source.read("word/document.xml"))
-    next_id = 1 + max([0, *(int(v) for e in root.iter() if (v := e.get(f"{W}id", "")).isdigit())])
-    for n, p in enumerate(root.iter(f"{W}p")):
-        if n not in edits:
-            continue
-        first = p.find(f"{W}r")
-        props = first.find(f"{W}rPr") if first is not None else None
-        for child in list(p):
-            if child.tag != f"{W}pPr":
-                p.remove(child)
-        for op, text in edits[n]:
-            holder = p
-            if op != "equal":
-                holder = ET.SubElement(p, f"{W}{'ins' if op == 'insert' else 'del'}", {f"{W}id": str(next_id), f"{W}author": author, f"{W}date": date})
-                next_id += 1
-            run = ET.SubElement(holder, f"{W}r")
-            if props is not None:
-                run.append(props)
-            t = ET.SubElement(run, f"{W}{'delText' if op == 'delete' else 't'}", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"})
-            t.text = text
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for item in source.infolist():
-            z.writestr(item, ET.tostring(root, encoding="utf-8", xml_declaration=True) if item.filename == "word/document.xml" else source.read(item.filename))
-    return out.getvalue()
+    dom = tracked.parse(tracked.read_part(content))
+    paragraphs, ids = dom.getElementsByTagName("w:p"), tracked.next_ids(dom)
+    for n, ops in edits.items():
+        for at, removed, added in reversed(tracked.changes(ops)):
+            tracked.change(paragraphs[n], at, removed, added, ids, author, date)
+    return tracked.with_body(content, dom)
 
 
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)

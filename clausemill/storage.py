@@ -26,6 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[app]}"
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt by key to as many partitions as a shuffle has, for work whose cost is not in its bytes, so that adaptive execution does not join them."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: same rows, no lineage."""
     spark = df.sparkSession
