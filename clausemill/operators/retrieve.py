@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
+from clausemill.operators import verify
 from clausemill.operators.structure import page_ranges
 
 RESERVE, FEWEST = 1600, 500
@@ -83,22 +84,77 @@ def coverage_line() -> Column:
     )
 
 
+FAILURES, KEPT = 3, 5
+
+
 def thorough_scan(chunks: DataFrame, questions: DataFrame, limit: int, map_fn=None) -> DataFrame:
-    """Whole-document scan: every batch of chunks is mapped to ``(query_id, doc_id, batch, relevant, findings, quotes)``.
+    """Whole-document scan: ``(query_id, doc_id, batch, n_chunks, start, end, outcome, relevant, findings, quotes)`` per batch of chunks.
 
-    ``map_fn(question, texts) -> (relevant, findings, quotes)`` stands for the model; by default it keeps up to five
-    sentences that hold a term of the question.  ``questions (query_id, doc_id, question)``.
+    ``map_fn(question, texts) -> (relevant, findings, quotes)`` stands for the model; by default it keeps sentences that
+    hold a term of the question.  A document's batches are read in order.  One that raises is FAILED and the scan goes
+    on; after FAILURES failures in a row the rest are not asked and come back NOT_READ.  Others are READ, also if they had
+    nothing to say.  The first KEPT quotes that are not blank count.  ``questions (query_id, doc_id, question)``,
+    ``chunks (doc_id, chunk, tokens, text)``; ``start`` and ``end`` are the first and last chunk of a batch.
     """
     map_fn = map_fn or keyword_findings
     batches = batch_chunks(chunks, "doc_id", limit).join(chunks.select("doc_id", "chunk", "text"), ["doc_id", "chunk"])
-    texts = batches.groupBy("doc_id", "batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda c: c["text"]).alias("texts"))
-    rows = texts.join(questions, "doc_id")
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", "text")))
+    texts = batches.groupBy("doc_id", "batch").agg(ordered.alias("cs")).select("doc_id", "batch", F.col("cs.text").alias("texts"), F.col("cs.chunk").alias("ids"))
+    rows = texts.join(questions, "doc_id").select("query_id", "doc_id", "question", "batch", "texts", "ids")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def read(part: pd.DataFrame) -> pd.DataFrame:
+        out, failed = [], 0
+        for r in part.sort_values("batch").itertuples():
+            outcome, relevant, findings, quotes = "NOT_READ", False, "", []
+            if failed < FAILURES:
+                try:
+                    relevant, findings, quotes = map_fn(r.question, list(r.texts))
+                    outcome, failed = "READ", 0
+                except Exception:  # noqa: BLE001 - whatever the model's client raises, the batch was not read
+                    outcome, failed = "FAILED", failed + 1
+            quotes = [q for q in quotes if q and q.strip()][:KEPT]
+            out.append((r.query_id, r.doc_id, r.batch, len(r.texts), r.ids[0], r.ids[-1], outcome, bool(relevant), findings or "", quotes))
+        return pd.DataFrame(out, columns=["query_id", "doc_id", "batch", "n_chunks", "start", "end", "outcome", "relevant", "findings", "quotes"])
+
+    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, batch int, n_chunks int, start bigint, end bigint, outcome string, relevant boolean, findings string, quotes array<string>"
+    return rows.groupBy("query_id", "doc_id").applyInPandas(read, schema)
+
+
+def scan_coverage(results: DataFrame, total: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, batches_read, chunks_read, chunks_total, stopped_reason, complete, usable)``: what a scan's own outcomes say that it has read.
+
+    ``total (doc_id, n)`` counts the chunks of a document.  A scan that read less than all of them says why; one that read
+    nothing supports no answer.
+    """
+    read = F.col("outcome") == "READ"
+    sums = results.groupBy("query_id", "doc_id").agg(F.count_if(read).alias("batches_read"), F.sum(F.when(read, F.col("n_chunks")).otherwise(0)).alias("chunks_read"))
+    rows = sums.join(total.select("doc_id", F.col("n").alias("chunks_total")), "doc_id")
+    short = F.col("chunks_read") < F.col("chunks_total")
+    return rows.select("query_id", "doc_id", "batches_read", "chunks_read", "chunks_total", F.when(short, "the AI service was unavailable").alias("stopped_reason"), (~short & (F.col("chunks_total") > 0)).alias("complete"), (F.col("chunks_read") > 0).alias("usable"))
 
-    @F.pandas_udf("relevant boolean, findings string, quotes array<string>")
-    def mapped(question: pd.Series, text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([map_fn(q, list(t)) for q, t in zip(question, text)], columns=["relevant", "findings", "quotes"])
 
-    return rows.select("query_id", "doc_id", "batch", mapped("question", "texts").alias("m")).select("query_id", "doc_id", "batch", "m.*")
+def scan_answers(results: DataFrame, docs: DataFrame, coverage_rows: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, findings, quotes, n_quotes, error)``: what is left to answer from.
+
+    Findings of relevant batches stand in the order of the document under the sections that they come from.  Quotes are
+    those that the text ``docs (doc_id, text)`` really holds, each once, in first-seen order.  A scan that read nothing
+    has the error LLM_UNAVAILABLE and nothing else.
+    """
+    # A quotation is known by its question, its batch and its place there.
+    cited = results.select("query_id", "doc_id", "batch", F.posexplode("quotes").alias("pos", "text"))
+    cited = cited.withColumn("quote_id", F.struct("query_id", "batch", "pos"))
+    true = verify.verify(cited.select("quote_id", "doc_id", "text"), docs).where("status = 'VERIFIED'").select("quote_id", "doc_id")
+    kept = cited.join(true, ["quote_id", "doc_id"], "left_semi").groupBy("query_id", "doc_id", "text").agg(F.min(F.struct("batch", "pos")).alias("at"))
+    quotes = kept.groupBy("query_id", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("quotes"))
+    told = results.where("relevant").where(F.trim("findings") != "")
+    label = F.when(F.col("start") == F.col("end"), F.concat(F.lit("Part "), (F.col("start") + 1).cast("string"))).otherwise(F.concat(F.lit("Parts "), (F.col("start") + 1).cast("string"), F.lit("–"), (F.col("end") + 1).cast("string")))
+    part = F.concat(F.lit("### "), label, F.lit("\n"), F.trim("findings"))
+    findings = told.groupBy("query_id", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", part.alias("x")))), lambda p: p["x"]), "\n\n").alias("findings"))
+    rows = coverage_rows.join(findings, ["query_id", "doc_id"], "left").join(quotes, ["query_id", "doc_id"], "left")
+    ok = F.col("usable")
+    listed = F.when(ok, F.coalesce("quotes", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    return rows.select("query_id", "doc_id", F.when(ok, F.coalesce("findings", F.lit(""))).otherwise("").alias("findings"), listed.alias("quotes"), F.size(listed).cast("bigint").alias("n_quotes"), F.when(~ok, "LLM_UNAVAILABLE").alias("error"))
 
 
 def map_quotes(results: DataFrame, most: int = 5, key: str = "query_id") -> DataFrame:

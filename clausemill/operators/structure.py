@@ -25,27 +25,43 @@ def lines(docs: DataFrame, keys: list[str], text_col: str = "text", keep_empty:
     return out if keep_empty else out.where("line_end > line_start")
 
 
+_HEADING = "struct<ref:string,heading:string,depth:int>"
+#: What a heading begins with, or that a line has no small letter; all heading rules imply it, and it fails early on prose.
+_MAYBE = r"^(?:[0-9(]|ARTICLE|Article|SECTION|Section|[^a-z]+$)"
+
+
+def with_clauses(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """``(keys, full, clauses)`` of every text that is not blank; clauses is an array of ``(ref, heading, depth, start, end, clause)``.
+
+    All of it is computed inside the row from the array of its lines, so rows that share keys are told apart and nothing
+    is shuffled.  A clause is the lines from its heading to the next one, without trailing white space.
+    """
+    rows = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("full")).where(T.trim(F.col("full")) != "")
+    rows = rows.withColumn("ls", F.split("full", "\n", -1))
+    rows = rows.withColumn("at", T.offsets(F.transform("ls", lambda x: F.length(x)), 1))
+    lines_ = F.transform("ls", lambda x, i: F.struct(i.alias("i"), T.trim(x).alias("t")))
+    rows = rows.withColumn("maybe", F.filter(lines_, lambda x: F.length(x["t"]).between(1, 120) & x["t"].rlike(_MAYBE)))
+    rows = rows.withColumn("hs", F.filter(F.transform("maybe", lambda x: F.struct(x["i"].alias("i"), T.heading(x["t"]).alias("h"))), lambda x: x["h"].isNotNull()))
+    first = F.coalesce(F.get(F.col("hs.i"), F.lit(0)), F.size("ls"))
+    lead = F.exists(F.slice("ls", F.lit(1), first), lambda x: T.trim(x) != "")
+    none = F.array().cast(f"array<struct<i:int,h:{_HEADING}>>")
+    rows = rows.withColumn("hs", F.concat(F.when(lead, F.array(F.struct(F.lit(0).alias("i"), F.lit(None).cast(_HEADING).alias("h")))).otherwise(none), "hs"))
+    stops = F.concat(F.slice(F.col("hs.i"), F.lit(2), F.size("hs")), F.array(F.size("ls")))
+    body = lambda x, z: F.regexp_replace(F.array_join(F.slice("ls", x["i"] + 1, z - x["i"]), "\n"), f"{WS}+$", "")
+    cut = F.zip_with("hs", stops, lambda x, z: F.struct(x["h"].alias("h"), F.get("at", x["i"]).alias("start"), body(x, z).alias("clause")))
+    rows = rows.select(*keys, "full", cut.alias("cs"))
+    whole = lambda c: F.struct(c["h"]["ref"].alias("ref"), c["h"]["heading"].alias("heading"), F.coalesce(c["h"]["depth"], F.lit(1)).alias("depth"), c["start"].alias("start"), (c["start"] + F.length(c["clause"])).alias("end"), c["clause"].alias("clause"))
+    return rows.select(*keys, "full", F.transform("cs", whole).alias("clauses"))
+
+
 def segment_clauses(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """``(keys, ordinal, ref, heading, depth, start, end, body)``: one row per clause.
 
     Text before the first heading is a clause of its own if it is not blank; a text without headings is one clause; a
     blank text has none.  Trailing white space does not count.
     """
-    rows = lines(docs, keys, text_col, keep_empty=False).withColumn("h", T.heading(F.col("line_text"))).where("h is not null")
-    texts = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("full"))
-    starts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("line_start").alias("s"), F.col("h").alias("h")))).alias("hs"))
-    none = F.lit(None).cast("struct<ref:string,heading:string,depth:int>")
-    joined = texts.join(starts, keys, "left").where(T.trim(F.col("full")) != "")
-    first = F.coalesce(F.element_at(F.col("hs.s"), 1), F.length("full"))
-    lead = F.when((first > 0) & (T.trim(F.substr("full", F.lit(1), first)) != ""), F.array(F.struct(F.lit(0).alias("s"), none.alias("h")))).otherwise(F.array().cast("array<struct<s:int,h:struct<ref:string,heading:string,depth:int>>>"))
-    spans = joined.select(*keys, "full", F.concat(lead, F.coalesce("hs", F.array().cast("array<struct<s:int,h:struct<ref:string,heading:string,depth:int>>>"))).alias("b"))
-    spans = spans.select(*keys, "full", F.posexplode(F.arrays_zip(F.col("b").alias("b"), F.concat(F.slice(F.col("b.s"), F.lit(2), F.size("b")), F.array(F.length("full"))).alias("e"))).alias("ordinal", "x"))
-    cut = F.substr("full", F.col("x.b.s") + 1, F.col("x.e") - F.col("x.b.s"))
-    cut = spans.select(*keys, "ordinal", F.col("x.b.s").alias("start"), F.col("x.b.h").alias("h"), F.regexp_replace(cut, f"{WS}+$", "").alias("clause"))
-    return cut.select(
-        *keys, "ordinal", F.col("h.ref").alias("ref"), F.col("h.heading").alias("heading"), F.coalesce("h.depth", F.lit(1)).alias("depth"),
-        "start", (F.col("start") + F.length("clause")).alias("end"), T.clause_body(F.col("clause"), F.col("h.ref")).alias("body"),
-    )
+    rows = with_clauses(docs, keys, text_col).select(*keys, F.posexplode("clauses").alias("ordinal", "c"))
+    return rows.select(*keys, "ordinal", "c.ref", "c.heading", "c.depth", "c.start", "c.end", T.clause_body(F.col("c.clause"), F.col("c.ref")).alias("body"))
 
 
 EDGE, SHARE, FEWEST, LONGEST = 3, 0.5, 4, 120
@@ -68,6 +84,13 @@ def boilerplate(page_lines: DataFrame) -> DataFrame:
     return keyed.join(common.select("doc_id", "kind", "key"), ["doc_id", "kind", "key"], "left_semi").groupBy("doc_id", "page", "line").agg(F.min("kind").alias("kind"))
 
 
+def boilerplate_ranges(docs: DataFrame, page_chars: int, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(key, start, end)``: lines of a text that repeat at the edges of its pages of about ``page_chars`` characters; a line is on the page where it starts."""
+    rows = lines(docs, [key], text_col).withColumn("page", F.floor(F.col("line_start") / page_chars).cast("int"))
+    found = boilerplate(rows.select(F.col(key).alias("doc_id"), "page", "line", "line_text")).select(F.col("doc_id").alias(key), "line")
+    return rows.join(found, [key, "line"]).select(key, F.col("line_start").alias("start"), F.col("line_end").alias("end"))
+
+
 def scan_verdict(pages: DataFrame) -> DataFrame:
     """``(doc_id, n_pages, n_scanned, average_chars, fully_scanned)`` of ``pages (doc_id, page, text_chars)``.
 
@@ -154,6 +177,39 @@ def chunk_segments(text: str, segments: list[tuple], target: int = TARGET, most:
         yield (*held, tokens(held[1] - held[0]))
 
 
+def split_texts(docs: DataFrame, keys: list[str], text_col: str = "text", target: int = TARGET, overlap: float = OVERLAP) -> DataFrame:
+    """``(keys, n, start, end)``: the ranges of about ``target`` tokens that each whole text is cut into; a null or empty text has none."""
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": a, "end": b} for a, b in split_range(t, 0, len(t), target, overlap)])
+
+    rows = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("full"))
+    return rows.select(*keys, F.posexplode(cut("full")).alias("n", "c")).select(*keys, "n", "c.*")
+
+
+def merge_segments(segments: DataFrame, keys: list[str], target: int = TARGET, most: int = MOST, least: int = LEAST) -> DataFrame:
+    """``(keys, chunk, start, end, tokens)`` of ``segments (keys, ordinal, start, end)``: short neighbours joined up to ``target`` tokens, by a fold over the segments of a key.
+
+    Segments over ``most`` tokens must be split before.
+    """
+    tokens = lambda n: F.ceil(n * 2 / 7)
+    piece = "struct<start:bigint,end:bigint>"
+    zero = F.struct(F.array().cast(f"array<{piece}>").alias("done"), F.lit(None).cast(piece).alias("held"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.struct(x["start"].cast("bigint").alias("start"), x["end"].cast("bigint").alias("end"))
+        held = acc["held"]
+        short = F.least(tokens(held["end"] - held["start"]), tokens(x["end"] - x["start"])) < least
+        joins = held.isNotNull() & (tokens(x["end"] - held["start"]) <= target) & short
+        grown = F.struct(held["start"].alias("start"), new["end"].alias("end"))
+        return F.when(joins, F.struct(acc["done"].alias("done"), grown.alias("held"))).otherwise(F.struct(F.when(held.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(held))).alias("done"), new.alias("held")))
+
+    rows = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ordinal", "start", "end"))).alias("ss"))
+    rows = rows.select(*keys, F.aggregate("ss", zero, step, lambda acc: F.concat(acc["done"], F.array(acc["held"]))).alias("cs"))
+    return rows.select(*keys, F.posexplode("cs").alias("chunk", "c")).select(*keys, "chunk", "c.start", "c.end", tokens(F.col("c.end") - F.col("c.start")).alias("tokens"))
+
+
 def covered(start: int, end: int, ranges: list[tuple[int, int]]) -> float:
     """The share of ``start..end`` that sorted ``ranges``, which may overlap, cover."""
     total, at = 0, start
@@ -168,11 +224,9 @@ def chunks(docs: DataFrame, keys: list[str], text_col: str = "text", target: int
     """``(keys, chunk, start, end, ref, heading, tokens, is_boilerplate)``: token-budgeted chunks along clause borders.
 
     A chunk is boilerplate if ``boilerplate_ranges (keys, start, end)`` cover the share BOILERPLATE of it.  Works on each
-    document's own clauses, inside a task, Arrow batch by Arrow batch.
+    row's own clauses, Arrow batch by Arrow batch, without a shuffle but for the ranges.
     """
-    clause = F.struct("ordinal", F.col("start").alias("s"), F.col("end").alias("e"), "ref", "heading")
-    found = segment_clauses(docs, keys, text_col).groupBy(*keys).agg(F.array_sort(F.collect_list(clause)).alias("clauses"))
-    rows = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("full")).join(found, keys)
+    rows = with_clauses(docs, keys, text_col)
     none = F.array().cast("array<struct<s:int,e:int>>")
     if boilerplate_ranges is None:
         rows = rows.withColumn("ranges", none)
@@ -185,7 +239,7 @@ def chunks(docs: DataFrame, keys: list[str], text_col: str = "text", target: int
         names, out = ("start", "end", "ref", "heading", "tokens"), []
         for text, clauses, ranges in zip(texts, clause_lists, range_lists):
             ranges = [(r["s"], r["e"]) for r in ranges]
-            every = chunk_segments(text, [(x["s"], x["e"], x["ref"], x["heading"]) for x in clauses], target)
+            every = chunk_segments(text, [(x["start"], x["end"], x["ref"], x["heading"]) for x in clauses], target)
             out.append([dict(zip(names, c)) | {"is_boilerplate": covered(c[0], c[1], ranges) >= BOILERPLATE} for c in every])
         return pd.Series(out)
 

@@ -314,7 +314,26 @@ def block_offsets(spark, sf_dir):
 
 @query()
 def chunks(spark, sf_dir):
-    return structure.chunks(table(spark, sf_dir, "documents"), ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    return structure.chunks(docs, ["doc_id"], boilerplate_ranges=structure.boilerplate_ranges(docs, 2500))
+
+
+@query()
+def split_oversize(spark, sf_dir):
+    return long(structure.split_texts(table(spark, sf_dir, "documents"), ["doc_id"]), "n", "start", "end")
+
+
+_TOKENS_OF = "CAST(ceil(({b} - {a}) * 2 / 7.0) AS BIGINT)"
+
+
+@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, version, ordinal, start, "end" AS stop FROM ({SQL['segment_clauses']})),
+f AS (SELECT doc_id, version, ordinal, start, stop, 0 AS chunk FROM s WHERE ordinal = 0
+  UNION ALL SELECT s.doc_id, s.version, s.ordinal, CASE WHEN j THEN hs ELSE s.start END, s.stop, CASE WHEN j THEN chunk ELSE chunk + 1 END FROM (
+    SELECT s.*, f.start AS hs, f.chunk, {_TOKENS_OF.format(a='f.start', b='s.stop')} <= 120 AND least({_TOKENS_OF.format(a='f.start', b='f.stop')}, {_TOKENS_OF.format(a='s.start', b='s.stop')}) < 60 AS j FROM f JOIN s ON s.doc_id = f.doc_id AND s.version = f.version AND s.ordinal = f.ordinal + 1) s)
+SELECT doc_id, version, CAST(chunk AS BIGINT) AS chunk, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS "end", {_TOKENS_OF.format(a='min(start)', b='max(stop)')} AS tokens FROM f GROUP BY doc_id, version, chunk""")
+def chunk_merge(spark, sf_dir):
+    segments = structure.segment_clauses(V.contract_docs(spark, sf_dir), ["doc_id", "version"], "full_text")
+    return long(structure.merge_segments(segments, ["doc_id", "version"], 120, 200, 60), "chunk", "start", "end", "tokens")
 
 
 @query(f"SELECT DISTINCT doc_id, ordinal, {s_trim('body')} AS body FROM ({V.CLAUSES}) WHERE version = 'base'")
@@ -541,6 +560,24 @@ def align_clauses(spark, sf_dir):
     return compare.align(V.clauses(spark, sf_dir))
 
 
+# Clauses without a word in common; in documents of three or more, the one at a place that goes by the document stands last in the other version.
+_HASHED = "md5(CAST(doc_id * 1000 + n AS STRING))"
+_WORDS_OF = " || ' ' || ".join(f"substr({_HASHED}, {i}, 4)" for i in (1, 5, 9, 13, 17, 21, 25, 29))
+_SHUFFLED = f"""SELECT doc_id, 'base' AS version, n AS ordinal, CASE WHEN n % 3 = 0 THEN '9.' || CAST(n AS STRING) END AS ref, substr({_HASHED}, 1, 9) AS title, {_WORDS_OF} AS body FROM (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS INT) AS n, count(*) OVER (PARTITION BY l_orderkey) AS size FROM {{lineitem}}) x
+UNION ALL SELECT doc_id, 'revised', CAST(CASE WHEN size < 3 OR n < m THEN n WHEN n = m THEN size ELSE n - 1 END AS INT), CASE WHEN n % 3 = 0 THEN '9.' || CAST(n AS STRING) END, substr({_HASHED}, 1, 9), {_WORDS_OF} FROM (SELECT *, 1 + doc_id % greatest(size - 1, 1) AS m FROM (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS INT) AS n, count(*) OVER (PARTITION BY l_orderkey) AS size FROM {{lineitem}}) x) y"""
+
+
+# With one clause moved to the end and at least one standing after it, the others align and it is gone here and new there;
+# if only one stands after it, the two have changed places and either may count as moved: the later one stays, as it comes first in a traceback.
+@query(f"""WITH c AS ({_SHUFFLED}), k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS p FROM c WHERE version = 'base'),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS p FROM c WHERE version = 'revised')
+SELECT k.doc_id, CASE WHEN size >= 3 AND {{moved}} THEN 'MOVED' ELSE 'UNCHANGED' END AS type, CAST(k.ordinal AS BIGINT) AS base_ordinal, CAST(r.ordinal AS BIGINT) AS revised_ordinal, coalesce(k.ref, CASE WHEN k.p > 1 THEN CAST(k.p - 1 AS VARCHAR) END) AS base_ref, coalesce(r.ref, CASE WHEN r.p > 1 THEN CAST(r.p - 1 AS VARCHAR) END) AS revised_ref
+FROM k JOIN r ON r.doc_id = k.doc_id AND r.body = k.body""".replace("{moved}", "CASE WHEN k.doc_id % greatest(size - 1, 1) = size - 2 THEN k.ordinal = {swap} ELSE k.ordinal = 1 + k.doc_id % greatest(size - 1, 1) END").replace("{swap}", "size"))
+def clause_moves(spark, sf_dir):
+    pairs = compare.align(V.view(spark, sf_dir, _SHUFFLED))
+    return long(pairs.select("doc_id", "type", "base_ordinal", "revised_ordinal", "base_ref", "revised_ref"), "base_ordinal", "revised_ordinal")
+
+
 @query(f"""WITH c AS MATERIALIZED ({_SIDE}), t AS (SELECT doc_id, count(*) FILTER (type IN ('ADDED', 'REMOVED')) AS lost FROM ({_TYPED}) GROUP BY doc_id),
 s AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, version, count(*) AS n FROM c GROUP BY doc_id, version) GROUP BY doc_id)
 SELECT doc_id, round(lost / most, 9) AS unmatched_ratio, lost / most > 0.7 AS different FROM t JOIN s USING (doc_id)""")
@@ -785,9 +822,53 @@ def coverage_line(spark, sf_dir):
     return rows.select("doc_id", retrieve.coverage_line().alias("line"))
 
 
+def _unless_dubai(question: str, texts: list[str]):
+    """The default reader on a service that fails for sections about Dubai."""
+    if any("laws of Dubai" in t for t in texts):
+        raise TimeoutError("the service gave no answer")
+    return retrieve.keyword_findings(question, texts)
+
+
+def _scanned(spark, sf_dir, map_fn=None):
+    chunks = settle(_chunk_view(spark, sf_dir).where("not is_boilerplate"), "chunks")
+    return chunks, retrieve.thorough_scan(chunks, V.view(spark, sf_dir, _FTS_QUERIES), 90, map_fn)
+
+
 @query()
 def thorough_scan(spark, sf_dir):
-    return retrieve.thorough_scan(_chunk_view(spark, sf_dir).where("not is_boilerplate"), V.view(spark, sf_dir, _FTS_QUERIES), 200).select("query_id", "doc_id", "batch", "relevant", "findings", F.array_join("quotes", " | ").alias("quotes"))
+    _, results = _scanned(spark, sf_dir)
+    return results.select("query_id", "doc_id", "batch", "relevant", "findings", F.array_join("quotes", " | ").alias("quotes"))
+
+
+# Batches of up to 90 tokens, their outcomes, and where the third failure in a row ends the scan.
+_SCAN_SQL = f"""RECURSIVE ch AS MATERIALIZED (SELECT doc_id, chunk, tokens, text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk) AS r FROM ({_CHUNKS}) WHERE NOT is_boilerplate),
+f AS (SELECT doc_id, r, tokens AS used, 0 AS batch FROM ch WHERE r = 1
+  UNION ALL SELECT ch.doc_id, ch.r, CASE WHEN f.used + ch.tokens > 90 THEN ch.tokens ELSE f.used + ch.tokens END, f.batch + CASE WHEN f.used + ch.tokens > 90 THEN 1 ELSE 0 END FROM f JOIN ch ON ch.doc_id = f.doc_id AND ch.r = f.r + 1),
+b AS MATERIALIZED (SELECT doc_id, batch, count(*) AS n_chunks, bool_or(contains(text, 'laws of Dubai')) AS fails FROM f JOIN ch USING (doc_id, r) GROUP BY doc_id, batch),
+streaks AS (SELECT *, fails AND lag(fails, 1, false) OVER w AND lag(fails, 2, false) OVER w AS third FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY batch)),
+o AS MATERIALIZED (SELECT doc_id, batch, n_chunks, CASE WHEN coalesce(bool_or(third) OVER (PARTITION BY doc_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'NOT_READ' WHEN fails THEN 'FAILED' ELSE 'READ' END AS outcome FROM streaks)"""
+
+
+@query(f"""WITH {_SCAN_SQL} SELECT query_id, q.doc_id, CAST(count(*) FILTER (outcome = 'READ') AS BIGINT) AS batches_read, CAST(coalesce(sum(n_chunks) FILTER (outcome = 'READ'), 0) AS BIGINT) AS chunks_read, CAST(sum(n_chunks) AS BIGINT) AS chunks_total,
+  CASE WHEN coalesce(sum(n_chunks) FILTER (outcome = 'READ'), 0) < sum(n_chunks) THEN 'the AI service was unavailable' END AS stopped_reason, coalesce(sum(n_chunks) FILTER (outcome = 'READ'), 0) = sum(n_chunks) AS complete, count(*) FILTER (outcome = 'READ') > 0 AS usable
+FROM ({_FTS_QUERIES}) q JOIN o ON o.doc_id = q.doc_id GROUP BY query_id, q.doc_id""")
+def thorough_coverage(spark, sf_dir):
+    chunks, results = _scanned(spark, sf_dir, _unless_dubai)
+    return retrieve.scan_coverage(results, chunks.groupBy("doc_id").agg(F.count("*").alias("n")))
+
+
+@query(f"WITH {_SCAN_SQL} SELECT query_id, q.doc_id, CAST(batch AS BIGINT) AS batch, outcome FROM ({_FTS_QUERIES}) q JOIN o ON o.doc_id = q.doc_id")
+def thorough_outcomes(spark, sf_dir):
+    return long(_scanned(spark, sf_dir, _unless_dubai)[1].select("query_id", "doc_id", "batch", "outcome"), "batch")
+
+
+@query()
+def thorough_answers(spark, sf_dir):
+    chunks, results = _scanned(spark, sf_dir, _unless_dubai)
+    results = settle(results, "results")
+    found = retrieve.scan_coverage(results, chunks.groupBy("doc_id").agg(F.count("*").alias("n")))
+    docs = V.contract_docs(spark, sf_dir).where("version = 'base'").select("doc_id", F.col("full_text").alias("text"))
+    return retrieve.scan_answers(results, docs, found).withColumn("quotes", F.array_join("quotes", " | "))
 
 
 # --- chat

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.session import table
+from clausemill.storage import spread
 
 _TOPICS = ("PAYMENT", "TERM", "LIMITATION OF LIABILITY", "CONFIDENTIALITY", "TERMINATION", "NOTICES", "GOVERNING LAW", "ENTIRE AGREEMENT")
 _LAWS = ("DIFC", "ADGM", "Dubai", "Abu Dhabi", "England and Wales")
@@ -101,4 +102,4 @@ def contract_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, version, full_text)``; a contract has few clauses, so its ordered list is small."""
     lines = clauses(spark, sf_dir).select("doc_id", "version", F.struct("ordinal", F.expr(LINE).alias("x")).alias("c"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["x"]), "\n\n")
-    return lines.groupBy("doc_id", "version").agg(joined.alias("full_text"))
+    return spread(lines, "doc_id", "version").groupBy("doc_id", "version").agg(joined.alias("full_text"))
