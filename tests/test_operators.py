@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
 from clausemill.functions.format import format_bytes
-from clausemill.operators import chat, compare, events, ingest, ranges, redline, retrieve, structure, verify
+from clausemill.operators import chat, compare, events, fulltext, ingest, ranges, redline, retrieve, structure, verify
 from clausemill.sources import files
 from clausemill.streaming import answers
 
@@ -233,10 +233,9 @@ def test_budget_selection_skips_what_does_not_fit(spark):
 
 def test_search_falls_back_to_any_term(spark):
     chunks = spark.createDataFrame([(1, i, h, t) for i, (h, t) in enumerate([("Fees", "fee and interest due"), (None, "interest only"), ("Definitions", "fee means"), (None, "nothing")])], "doc_id int, chunk int, heading string, text string")
-    queries = spark.createDataFrame([(1, 1, ["fee", "interest"])], "query_id int, doc_id int, terms array<string>")
-    rows = retrieve.search(chunks, queries).orderBy(F.desc("score")).collect()
-    assert rows[0]["chunk"] == 0 and rows[0]["mode"] == "strict" and {r["chunk"] for r in rows} == {0, 1, 2}
-    assert [retrieve.stem(w) for w in ("parties", "running", "agreed", "fees", "class")] == ["parti", "run", "agre", "fee", "class"]
+    rows = fulltext.search(chunks, spark.createDataFrame([(1, 1, "fee interest")], "query_id int, doc_id int, question string")).orderBy("rank").collect()
+    assert [(r["chunk"], r["mode"], round(r["score"], 9)) for r in rows] == [(2, "any", 0.12), (1, "any", 0.1), (0, "strict", 0.05)]
+    assert [fulltext.stem(w) for w in ("parties", "running", "agreed", "fees", "class")] == ["parti", "run", "agre", "fee", "class"]
 
 
 def test_sniffing(spark):
