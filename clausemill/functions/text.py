@@ -44,17 +44,21 @@ _MAY_CHANGE = r"[\u00A0-\u00BF\u0132-\uFFFF\x{10000}-\x{10FFFF}]"
 
 
 def nfkc(c: Column) -> Column:
-    """Every character by its NFKC form; sequences are not composed.  Text of plain Latin letters passes through untouched."""
+    """Every character by its NFKC form; sequences are not composed.  Text of plain Latin letters passes through untouched.
+
+    Characters that become several are looked for once and replaced kind by kind, so one of them costs no look at all others.
+    """
     one, many = compatibility()
-    common = c
+    single = c
     for x in _COMMON:
-        common = F.replace(common, F.lit(x), F.lit(many[x]))
-    single = F.when(common.rlike(_MAY_CHANGE), F.translate(common, "".join(one), "".join(one.values()))).otherwise(common)
+        single = F.replace(single, F.lit(x), F.lit(many[x]))
+    single = F.translate(single, "".join(one), "".join(one.values()))
     forms = F.map_from_arrays(F.lit(list(many)), F.lit(list(many.values())))
-    every = F.lit("".join(many))
-    several = F.array_join(F.transform(F.split(single, ""), lambda x: F.when(F.contains(every, x) & (x != ""), F.element_at(forms, x)).otherwise(x)), "")
     ranges = "".join(a if a == b else f"{a}-{b}" for a, b in _ranges(many))
-    return F.when(c.rlike(_MAY_CHANGE), F.when(single.rlike(f"[{ranges}]"), several).otherwise(single)).otherwise(c)
+    rare = F.lit(rf"(?![\x00-\u00A0])[{ranges}]")
+    # As the one element of an array the text is computed once, however often the lambda names it.
+    several = F.transform(F.array(single), lambda t: F.aggregate(F.array_distinct(F.regexp_extract_all(t, rare, F.lit(0))), t, lambda out, x: F.replace(out, x, F.element_at(forms, x))))
+    return F.when(c.rlike(_MAY_CHANGE), several[0]).otherwise(c)
 
 
 def _ranges(characters: dict[str, str]) -> list[list[str]]:
@@ -179,6 +183,12 @@ def search_terms(c: Column) -> Column:
     return F.array_distinct(F.slice(kept, 1, 24))
 
 
+def answer_mode(requested: Column, n_documents: Column, question: Column) -> Column:
+    """RETRIEVAL or THOROUGH: always RETRIEVAL over several documents, else what was asked for, else THOROUGH if the question needs the whole document."""
+    whole = F.when(classify_question(question)["whole_document"], "THOROUGH").otherwise("RETRIEVAL")
+    return F.when(n_documents > 1, "RETRIEVAL").otherwise(F.coalesce(requested, whole))
+
+
 def any_match(c: Column, rules: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (c.rlike(java(p)) for p in rules))
 

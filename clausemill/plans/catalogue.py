@@ -611,6 +611,14 @@ def classify_questions(spark, sf_dir):
     return V.view(spark, sf_dir, V.QUESTIONS).select("conv_id", "turn", T.classify_question(F.col("question")).alias("c")).select("conv_id", "turn", "c.*")
 
 
+_MODES = f"SELECT *, CASE turn % 7 WHEN 0 THEN 'RETRIEVAL' WHEN 1 THEN 'THOROUGH' END AS requested, count(*) OVER (PARTITION BY conv_id) % 3 AS n_documents FROM ({V.QUESTIONS}) m"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN n_documents > 1 THEN 'RETRIEVAL' WHEN requested IS NOT NULL THEN requested WHEN starts_with({s_classify('t')}, 'SPECIFIC') THEN 'RETRIEVAL' ELSE 'THOROUGH' END AS mode FROM (SELECT *, {s_trim('question')} AS t FROM ({_MODES}))")
+def answer_mode(spark, sf_dir):
+    return V.view(spark, sf_dir, _MODES).select("conv_id", "turn", T.answer_mode(F.col("requested"), F.col("n_documents"), F.col("question")).alias("mode"))
+
+
 _PREVIOUS = "last_value(CASE WHEN role = 'user' THEN {x} END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
