@@ -10,6 +10,7 @@ each moved by its distance from the first, meet.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -101,11 +102,12 @@ def _stemmed(rows: DataFrame) -> DataFrame:
     """``rows (word, ...)`` without stop words and with ``lexeme``; each distinct word is stemmed once."""
     rows = rows.where(~F.col("word").isin(list(ENGLISH_STOP_WORDS)))
 
-    @F.pandas_udf("string")
-    def stems(words: pd.Series) -> pd.Series:
-        return words.map(stem)
+    def stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            yield part.assign(lexeme=part["word"].map(stem))
 
-    known = rows.select("word").distinct().withColumn("lexeme", stems("word"))
+    # As a function of the table, not of a column, it can't be moved below the grouping, where it would see every word.
+    known = rows.select("word").distinct().mapInPandas(stems, "word string, lexeme string")
     return rows.join(known, "word").drop("word")
 
 
