@@ -31,7 +31,7 @@ PIVOTS, FIT = 256, 4096
 #: Rows of a block, and queries that visit a block together.
 BLOCK, TOGETHER = 8192, 1024
 #: Part of each block that is measured exactly, and the least number of its rows.
-SHARE, FLOOR = 0.06, 128
+SHARE, FLOOR = 0.10, 128
 
 
 def usable_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

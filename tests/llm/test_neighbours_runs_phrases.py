@@ -60,9 +60,12 @@ def test_neighbours_of_odd_rows_when_all_are_measured(spark, monkeypatch):
     assert len(few[20]) == 2
 
 
-@pytest.mark.parametrize("sf", ["sf0.01", "check_h"])
-def test_neighbours_recall(spark, sf):
-    df = table(spark, f"/root/testdata/{sf}", "embeddings")
+@pytest.mark.parametrize("hot", [False, True])
+def test_neighbours_recall(spark, hot):
+    df = table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding")
+    if hot:  # a third of all rows lie close to one vector
+        near = F.expr("transform(embedding, (x, i) -> CAST(sin(i) + x / 20 AS FLOAT))")
+        df = df.unionByName(df.where("vec_id % 2 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), near.alias("embedding")))
     got = as_lists(permutation.nearest(df))
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     want = plain_nearest(rows, 10, 100)
