@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_OPEN: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,11 +38,20 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: same rows, no lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    written = spark.read.schema(df.schema).parquet(path)
+    return settle_all([df], label)
+
+
+def settle_all(parts: Iterable[DataFrame], label: str) -> DataFrame:
+    """Like :func:`settle` for tables of one schema, written one after the other into one; at least one is needed."""
+    written = path = None
+    for df in parts:
+        path = path or f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+        written = written or df
+    written = written.sparkSession.read.schema(written.schema).parquet(path)
     written._settled_at = path
+    if _OPEN.get():
+        _OPEN.get()[-1].append(written)
     return written
 
 
@@ -47,3 +60,18 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled_at)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Delete at the end all tables settled inside, but for those put in the list that this gives; an outer scratch then owns these."""
+    made, kept = [], []
+    token = _OPEN.set((*_OPEN.get(), made))
+    try:
+        yield kept
+    finally:
+        _OPEN.reset(token)
+        paths = {df._settled_at for df in kept}
+        discard(*(df for df in made if df._settled_at not in paths))
+        if _OPEN.get():
+            _OPEN.get()[-1].extend(kept)
