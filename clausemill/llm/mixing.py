@@ -3,10 +3,9 @@
 Tokens are summed into cells (source, language, topic).  Each sweep scales the
 cell weights to the target marginal of one dimension after the other.  A
 document's sampling probability is its cell's weight per token, scaled so that
-the most wanted cell keeps everything (as in the SQL of the query) or so that a
-stated share of all tokens stays, where wanted cells saturate at 1; a hash of
-the id decides, so a rerun draws the same documents.  All of it is built-in functions; cells are joined to
-documents, whatever their number.
+the most wanted cell keeps everything or so that a stated share of all tokens
+stays, where wanted cells saturate at 1; a hash of the id decides, so a rerun
+draws the same documents.  All of it is built-in functions.
 """
 
 from __future__ import annotations
@@ -16,7 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from clausemill.storage import discard, settle
+from clausemill.llm.keep import place, placed, sift
+from clausemill.storage import discard, scratch, settle
 
 #: Most sweeps, and the largest relative miss of a marginal inside a sweep at which the sweeps end.
 SWEEPS, TOLERANCE = 10, 1e-6
@@ -166,11 +166,17 @@ def mix(
 
 def keep_sampled(
     docs: DataFrame, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] | None = None, sweeps: int = SWEEPS, seed: str = "mix",
-    tolerance: float = TOLERANCE, topic_of: Callable[[Column], Column] = topic,
+    tolerance: float = TOLERANCE, topic_of: Callable[[Column], Column] = topic, stored: bool = False,
 ) -> DataFrame:
-    """The sampled rows of ``docs``, about the share ``keep`` of all tokens; all columns stay, whatever their names.
+    """The sampled rows of ``docs``, about the share ``keep`` of all tokens, written to the shared folder; all columns stay, whatever their names.
 
-    Null, repeated and empty cases as in :func:`mix`: rows without a word go, an empty table gives no rows.
+    Null, repeated and empty cases as in :func:`mix`: rows without a word go, an empty table gives no rows.  Places of
+    rows are joined with their cells, texts are not.  ``stored`` says that ``docs`` is a plain read of Parquet files, see
+    :func:`placed`.
     """
-    drawn = _drawn(weighed(docs, None, topic_of), targets, powers, sweeps, tolerance, seed, keep)
-    return drawn.where("sampled").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+    with scratch() as kept:
+        docs = placed(docs, stored)
+        rows = settle(weighed(docs.withColumns({"__place": place(docs)}), ["doc_id", "__place"], topic_of), "weighed")
+        gone = _drawn(rows, targets, powers, sweeps, tolerance, seed, keep).where("not sampled").select("doc.__place.file", "doc.__place.row")
+        kept.append(sift(docs, settle(gone, "gone"), "left_anti"))
+    return kept[0]

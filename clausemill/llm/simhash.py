@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.llm.components import components, slice_of
-from clausemill.llm.keep import keep_one, keyed
+from clausemill.llm.keep import keep_one, keyed, placed
 from clausemill.llm.rows import per_text
-from clausemill.storage import discard, settle
+from clausemill.storage import discard, scratch, settle
 
 #: Rows of a candidate block that are compared in one unit.
 BLOCK = 2048
@@ -237,15 +237,17 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: in
     return marks.join(classes, F.col("fp") == F.col("of"), "left").select("doc_id", hexed, "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first row of ``docs`` (smallest doc_id, nulls last) of every component of fingerprints; all columns stay, whatever their names.
+def keep_first(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
+    """The first row of ``docs`` (smallest doc_id, nulls last) of every component of fingerprints, written to the shared folder; all columns stay, whatever their names.
 
-    Rows that share an id are judged each by its own text; of rows equal in id and text one stays.  An empty table gives no rows.
+    Rows that share an id are judged each by its own text; of rows equal in id and text one stays.  An empty table gives
+    no rows.  ``stored`` says that ``docs`` is a plain read of Parquet files, see :func:`placed`.
     """
-    marks = settle(fingerprints(keyed(docs, id_col, text_col), "key", "text", shingle, seed).select(F.col("doc_id").alias("key"), F.col("fp").alias("same")), "fingerprints")
-    distinct = settle(marks.select("same").distinct(), "distinct")
-    roots = components(links(distinct.select(F.col("same").alias("rep"), F.col("same").alias("fp")), radius))
-    classes = distinct.join(roots, F.col("same") == F.col("node"), "left").select(F.col("same").alias("of"), F.coalesce("root", "same").alias("root"))
-    kept = keep_one(docs, marks, classes, id_col, text_col)
-    discard(marks, distinct)
-    return kept
+    with scratch() as kept:
+        docs = placed(docs, stored)
+        marks = settle(fingerprints(keyed(docs, id_col, text_col), "key", "text", shingle, seed).select(F.col("doc_id").alias("key"), F.col("fp").alias("same")), "fingerprints")
+        distinct = settle(marks.select("same").distinct(), "distinct")
+        roots = components(links(distinct.select(F.col("same").alias("rep"), F.col("same").alias("fp")), radius))
+        classes = distinct.join(roots, F.col("same") == F.col("node"), "left").select(F.col("same").alias("of"), F.coalesce("root", "same").alias("root"))
+        kept.append(keep_one(docs, marks, classes))
+    return kept[0]

@@ -592,7 +592,7 @@ def test_a_large_component_in_slices_has_one_id_and_one_first_row(spark, monkeyp
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(marks).collect()}
     assert got == {i: 0 if i < 300 else i for i, _ in codes}
 
-    docs = spark.createDataFrame([(i, f"text {i}") for i, _ in codes] + [(7, "text 7")], "doc_id bigint, text string")
+    docs = keep.placed(spark.createDataFrame([(i, f"text {i}") for i, _ in codes] + [(7, "text 7")], "doc_id bigint, text string"))
     same = keep.keyed(docs, "doc_id", "text").select("key", F.col("key.id").alias("same"))
     classes = spark.range(300).select(F.col("id").alias("of"), F.lit(0).cast("bigint").alias("root")).unionAll(spark.createDataFrame([(1000, 1000), (1001, 1001)], "of bigint, root bigint"))
-    assert sorted(r["doc_id"] for r in keep.keep_one(docs, same, classes, "doc_id", "text").collect()) == [0, 1000, 1001]
+    assert sorted(r["doc_id"] for r in keep.keep_one(docs, same, classes).collect()) == [0, 1000, 1001]

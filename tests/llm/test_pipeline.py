@@ -126,3 +126,52 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
         kept = keep(df)
         assert kept.columns == df.columns
         assert sorted((r["__first"] for r in kept.collect())) == [1, 3, 5, 6]
+
+
+def test_blocks_of_files_give_the_same_rows_and_no_text_is_shuffled(spark, data, tmp_path, monkeypatch):
+    """Lists of places over many files, cut between and inside files; with thresholds at 0 nothing but a broadcast meets the texts."""
+    from pyspark.sql import functions as F
+
+    from clausemill.llm import keep
+
+    base = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), "id").alias("text"), F.lit("x").alias("file"), F.lit(1).alias("_metadata"))
+    base.repartition(7).write.parquet(f"{tmp_path}/many")
+    base.coalesce(1).where("doc_id >= 3000").write.mode("append").parquet(f"{tmp_path}/many")
+    docs = keep.placed(spark.read.parquet(f"{tmp_path}/many"), stored=True)
+    places = keep.keyed(docs, "doc_id", "text").where("key.id % 3 = 0").select("key.file", "key.row")
+    odd = sorted(r[0] for r in docs.where("doc_id % 3 = 0").select("doc_id").collect())
+    rest = sorted(r[0] for r in docs.where("doc_id % 3 <> 0").select("doc_id").collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, blocks in ((10**6, 1), (200, 8), (50, 20)):
+            monkeypatch.setattr(keep, "LISTED", most)
+            parts = list(keep.sifted(docs, places, "left_anti"))
+            assert len(parts) >= blocks and (most == 10**6) == (len(parts) == 1)
+            for part in parts:
+                plan = part._jdf.queryExecution().executedPlan().toString()
+                assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+                assert not [x for x in plan.splitlines() if "Exchange" in x and "BroadcastExchange" not in x]
+            assert sorted(r[0] for p in parts for r in p.select("doc_id").collect()) == rest
+            got = keep.sift(docs, places, "left_semi")
+            assert got.columns == docs.columns and sorted(r[0] for r in got.select("doc_id").collect()) == odd
+            assert keep.sift(docs, places.limit(0), "left_anti").count() == docs.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_run_leaves_one_table(spark, data, tmp_path, monkeypatch):
+    import os
+
+    from clausemill import storage
+
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert corpus_pipeline.run(spark, data).count() and len(os.listdir(tmp_path)) == 1
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs, data):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd_docs, data)
+        assert got.columns == odd_docs.columns and got.count() <= odd_docs.count(), name
+        got = stage(spark, no_docs, data)
+        assert got.columns == odd_docs.columns and got.count() == 0, name
+    assert corpus_pipeline.pack(spark, no_docs, data).count() == 0
