@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import patterns as P
 from clausemill.functions import text as T
 from clausemill.functions.patterns import re2
-from clausemill.operators import chat, compare, events, fulltext, ingest, ranges, redline, retrieve, structure, verify
+from clausemill.operators import chat, compare, events, fulltext, ingest, ranges, redline, reply, retrieve, structure, verify
 from clausemill.plans import views as V
 from clausemill.session import table
 from clausemill.sources import docx, tracked
@@ -1006,6 +1006,46 @@ def quote_payload(spark, sf_dir):
     return rows.select("message_id", F.inline(chat.parse_quotes(F.col("raw"))))
 
 
+# Replies of a scan, made of whole turns: sound ones, and ones with a wrong, missing or null field, a wrong list, a fault inside a quote, or cut off.
+# The signs < > stand for braces, which views do not take.
+_CLEAN = "coalesce(replace(replace(replace(replace(replace(text, chr(92), ' '), chr(34), ' '), chr(10), ' '), chr(13), ' '), chr(9), ' '), '')"
+_REPLIES = f"""SELECT conv_id * 100 + turn AS message_id, CASE (conv_id * 3 + turn) % 9
+  WHEN 0 THEN '<"relevant": true, "findings": "' || t || '", "quotes": [<"n": 1, "text": "' || t || '">]>'
+  WHEN 1 THEN '<"relevant": false>' WHEN 2 THEN '<"relevant": "yes", "findings": "' || t || '">' WHEN 3 THEN '<"findings": "' || t || '", "quotes": []>'
+  WHEN 4 THEN '<"relevant": null, "findings": 7>' WHEN 5 THEN '<"relevant": true, "quotes": "' || t || '">' WHEN 6 THEN '<"relevant": true, "findings": "' || t
+  WHEN 7 THEN '<"relevant": true, "quotes": [<"n": 1, "text": "' || t || '">, <"n": "2", "text": "b">, <"n": 3>]>' ELSE '["' || t || '"]' END AS raw,
+  CASE WHEN turn % 2 = 0 THEN '<"relevant": true, "findings": "' || t || '">' ELSE t END AS again
+  FROM (SELECT conv_id, turn, replace(replace({_CLEAN}, '<', ' '), '>', ' ') AS t FROM {{conversations}}) AS c"""
+_REPLY_SHAPE = {"relevant": "boolean", "findings?": "string", "quotes?": [{"n": "number", "text": "string"}]}
+
+
+def _s_fault(value: str, path: str, wanted: str) -> str:
+    kind = f"CASE coalesce(json_type({value}), 'MISSING') WHEN 'MISSING' THEN 'undefined' WHEN 'NULL' THEN 'null' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END"
+    return f"CASE WHEN {kind} <> '{wanted}' THEN {path} || ': Invalid input: expected {wanted}, received ' || {kind} END"
+
+
+def _s_reply_error(raw: str) -> str:
+    j = f"TRY_CAST({raw} AS JSON)"
+    at = lambda name: f"json_extract({j}, '$.{name}')"
+    may = lambda name, of: f"CASE WHEN {at(name)} IS NOT NULL THEN {of} END"
+    quote = lambda name, kind: _s_fault(f"json_extract(q.x, '$.{name}')", f"'quotes.' || (q.i - 1) || '.{name}'", kind)
+    inner = f"""(SELECT string_agg(concat_ws('; ', {quote("n", "number")}, {quote("text", "string")}), '; ' ORDER BY q.i) FROM (SELECT unnest(TRY_CAST({at("quotes")} AS JSON[])) AS x, generate_subscripts(TRY_CAST({at("quotes")} AS JSON[]), 1) AS i) AS q
+      WHERE {quote("n", "number")} IS NOT NULL OR {quote("text", "string")} IS NOT NULL)"""
+    fields = f"""concat_ws('; ', {_s_fault(at("relevant"), "'relevant'", "boolean")}, {may("findings", _s_fault(at("findings"), "'findings'", "string"))},
+      {may("quotes", _s_fault(at("quotes"), "'quotes'", "array"))}, CASE WHEN json_type({at("quotes")}) = 'ARRAY' THEN {inner} END)"""
+    return f"CASE WHEN {j} IS NULL THEN '{reply.NOT_JSON}' WHEN json_type({j}) <> 'OBJECT' THEN {_s_fault(j, chr(39) * 2, 'object')} ELSE nullif({fields}, '') END"
+
+
+@query(f"""WITH v AS (SELECT message_id, translate(raw, '<>', chr(123) || chr(125)) AS raw, translate(again, '<>', chr(123) || chr(125)) AS again FROM ({_REPLIES}) AS r),
+  e AS (SELECT *, {_s_reply_error("raw")} AS error FROM v), f AS (SELECT *, CASE WHEN error IS NOT NULL THEN {_s_reply_error("again")} END AS error2 FROM e)
+  SELECT message_id, CASE WHEN error IS NULL THEN raw WHEN error2 IS NULL THEN again END AS reply, CASE WHEN error IS NULL THEN 1 ELSE 2 END AS attempts, error,
+  CASE WHEN error IS NOT NULL AND error2 IS NOT NULL THEN '{reply.INVALID}' END AS code FROM f""")
+def structured_reply(spark, sf_dir):
+    rows = V.view(spark, sf_dir, _REPLIES).select("message_id", F.translate("raw", "<>", "{}").alias("raw"), F.translate("again", "<>", "{}").alias("again"))
+    second = lambda asked: asked.select("message_id").join(rows.select("message_id", F.col("again").alias("raw")), "message_id")
+    return long(reply.structured(rows.select("message_id", "raw"), _REPLY_SHAPE, second), "attempts")
+
+
 @query("SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 THEN 'REPLACED' ELSE text END AS text FROM conversations")
 def message_upsert(spark, sf_dir):
     old = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")

@@ -314,3 +314,32 @@ def test_block_offsets_are_text_slices(spark):
 def test_entities_are_refused(xml):
     with pytest.raises(tracked.DamagedPackage):
         tracked.parse(xml)
+
+
+def test_structured_replies_list_every_fault_and_are_repaired_once(spark):
+    from pyspark.sql import functions as F
+
+    from clausemill.operators import reply
+
+    shape = {"ok": "boolean", "items?": [{"n": "number", "tags?": ["string"]}]}
+    raws = {
+        1: '{"ok": true, "more": {}}', 2: '{"ok": 1, "items": [{"n": 1}, {"n": null, "tags": ["a", 2]}, 5]}', 3: "not json", 4: None, 5: "", 6: "[]", 7: '{"ok": false, "items": {}}',
+        8: '{"ok": true, "items": [{"n": 1.5, "tags": []}]}', 9: "null", 10: '{"ok": true} tail', 11: '{"ok": true}] tail',
+    }
+    df = spark.createDataFrame(list(raws.items()), "message_id int, raw string")
+    got = {r["message_id"]: r for r in reply.structured(df, shape).collect()}
+    wrong = "Invalid input: expected {}, received {}".format
+    assert [k for k in raws if got[k]["code"] is None] == [1, 8] and got[8]["reply"] == raws[8]
+    assert got[2]["error"] == f"ok: {wrong('boolean', 'number')}; items.1.n: {wrong('number', 'null')}; items.1.tags.1: {wrong('string', 'number')}; items.2: {wrong('object', 'number')}"
+    assert all(got[k]["error"] == reply.NOT_JSON for k in (3, 4, 5, 10, 11)) and got[6]["error"] == f": {wrong('object', 'array')}"
+    assert got[7]["error"] == f"items: {wrong('array', 'object')}" and got[9]["error"] == f": {wrong('object', 'null')}"
+    seen = []
+
+    def ask(asked):
+        seen.extend(r["prompt"] for r in asked.collect())
+        return asked.where("message_id <> 4").select("message_id", F.when(F.col("message_id") == 3, "still not").otherwise('{"ok": true}').alias("raw"))
+
+    got = {r["message_id"]: (r["reply"], r["attempts"], r["code"]) for r in reply.structured(df, shape, ask).collect()}
+    assert len(seen) == 9 and all("required shape" in p for p in seen)
+    assert got[1] == (raws[1], 1, None) and got[2] == ('{"ok": true}', 2, None) and got[3] == got[4] == (None, 2, reply.INVALID)
+    assert reply.structured(df.limit(0), shape, ask).count() == 0
