@@ -8,10 +8,14 @@
 from __future__ import annotations
 
 WS = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: The characters of ``WS``.
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def java(pattern: str) -> str:
-    return pattern.replace("<<", "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])").replace(">>", "(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])").replace("WS", WS)
+    """Without flags, Java's ``\\w`` is the ASCII word character.  A word and the space after it are never given back: no match could end inside them."""
+    pattern = pattern.replace(r"\w+(?:WS)+", r"\w++(?:WS)++").replace("(?<=[A-Za-z0-9_])", r"(?<=\w)")
+    return pattern.replace("<<", r"(?<!\w)(?=\w)").replace(">>", r"(?<=\w)(?!\w)").replace("WS", WS)
 
 
 def re2(pattern: str) -> str:
@@ -103,6 +107,8 @@ HEADINGS = (
     ("numbered", r"^([0-9]+(?:\.[0-9]+)*)\.?(?:WS)+([^\t-\r \x{A0}].*)$"),
     ("lettered", r"^\(([a-z]{1,3}|[ivxlcdm]{1,5})\)(?:WS)+([^\t-\r \x{A0}].*)$"),
 )
+#: The characters that a heading of each shape begins with.
+HEADING_STARTS = {"article": "A", "section": "S", "numbered": "0123456789", "lettered": "("}
 
 # --- Fixed values: instructions that ask for more than wording.
 SCOPE_START, SCOPE_WORDS = ("add a new", "insert a new"), ("new clause", "new section", "new paragraph")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,13 +15,28 @@ from clausemill.functions.patterns import WS, java
 
 
 def trim(c: Column) -> Column:
-    """Without white space, in the wide sense, at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """Without white space, in the wide sense, at both ends; looks at the ends only."""
+    return F.btrim(c, F.lit(P.SPACES))
+
+
+def rtrim(c: Column) -> Column:
+    """Without white space, in the wide sense, at the end."""
+    return F.rtrim(c, F.lit(P.SPACES))
 
 
 def fold(c: Column) -> Column:
-    """Trimmed, with every run of white space as one space."""
-    return F.regexp_replace(trim(c), f"{WS}+", " ")
+    """Trimmed, with every run of white space as one space; single plain spaces are passed by."""
+    return F.regexp_replace(trim(c), f"(?![!-~]| [!-~])(?:{WS}{{2,}}|(?! ){WS})", " ")
+
+
+def rows_of(c: Column) -> Column:
+    """An array column to explode.  Of a bare column Spark infers a filter on its size, which it moves below and there computes the array anew, twice."""
+    return F.flatten(F.array(c))
+
+
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 QUOTES, DASHES = ("‘’‚‛′", "“”„‟″"), "‐‑‒–—―−"
@@ -130,30 +146,34 @@ def page_marker(c: Column) -> Column:
 
 def heading(c: Column) -> Column:
     """``struct(ref, heading, depth)`` of a heading line, else null; the first rule that fits wins."""
-    line = trim(c)
+    return once(trim(c), _heading)
+
+
+def _heading(line: Column) -> Column:
+    """:func:`heading` of a trimmed line; a rule is tried only where its first character allows it."""
     none = F.lit(None).cast("string")
-    part = lambda p, i: F.regexp_extract(line, java(p), i)
-    blank = lambda x: F.when(trim(x) != "", trim(x))
+    blank = lambda x: once(trim(x), lambda t: F.when(t != "", t))
     depth = lambda ref: (F.length(ref) - F.length(F.replace(ref, F.lit("."), F.lit(""))) + 1).cast("int")
-    rules = dict(P.HEADINGS)
+    rules = {k: java(p) for k, p in P.HEADINGS}
+    part = lambda k, i: F.regexp_extract(line, rules[k], i)
+    fits = lambda k: F.substring(line, 1, 1).isin(*P.HEADING_STARTS[k]) & line.rlike(rules[k])
     row = lambda ref, head, d: F.struct(ref.alias("ref"), head.alias("heading"), d.alias("depth"))
-    a, s, n, t = (rules[k] for k in ("article", "section", "numbered", "lettered"))
-    letters = F.regexp_replace(line, "[^A-Za-z]", "")
-    caps = (F.length(letters) >= 4) & (letters == F.upper(letters)) & (F.length(line) <= 80) & ~line.endswith(".")
+    caps = ~line.rlike("[a-z]") & line.rlike("^(?:[^A-Z]*+[A-Z]){4}") & (F.length(line) <= 80) & ~line.endswith(".")
     return F.when(
-        (F.length(line) > 0) & (F.length(line) <= 120),
-        F.when(line.rlike(java(a)), row(F.concat_ws(" ", part(a, 1), part(a, 2)), blank(part(a, 3)), F.lit(1)))
-        .when(line.rlike(java(s)), row(F.concat_ws(" ", part(s, 1), part(s, 2)), blank(part(s, 3)), depth(part(s, 2))))
-        .when(line.rlike(java(n)), row(part(n, 1), blank(part(n, 2)), depth(part(n, 1))))
-        .when(line.rlike(java(t)), row(part(t, 1), blank(part(t, 2)), F.lit(3)))
+        F.length(line).between(1, 120),
+        F.when(fits("article"), row(F.concat_ws(" ", part("article", 1), part("article", 2)), blank(part("article", 3)), F.lit(1)))
+        .when(fits("section"), once(part("section", 2), lambda n: row(F.concat_ws(" ", part("section", 1), n), blank(part("section", 3)), depth(n))))
+        .when(fits("numbered"), once(part("numbered", 1), lambda n: row(n, blank(part("numbered", 2)), depth(n))))
+        .when(fits("lettered"), row(part("lettered", 1), blank(part("lettered", 2)), F.lit(3)))
         .when(caps, row(none, line, F.lit(1))),
     )
 
 
 def clause_body(text: Column, ref: Column) -> Column:
     """Clause text without its leading reference."""
-    lead = F.concat(F.lit(r"^\(?\Q"), ref, F.lit(rf"\E\)?\.?{WS}*[.:–—-]?{WS}*"))
-    return trim(F.when(ref.isNull(), text).otherwise(F.regexp_replace(F.regexp_replace(text, f"^{WS}+", ""), lead, "")))
+    t = F.ltrim(text, F.lit(P.SPACES))
+    rest = F.when(F.startswith(t, F.concat(F.lit("("), ref)), F.substr(t, F.length(ref) + 2)).when(F.startswith(t, ref), F.substr(t, F.length(ref) + 1))
+    return trim(F.when(ref.isNull(), text).otherwise(F.coalesce(F.regexp_replace(rest, rf"^\)?\.?{WS}*[.:–—-]?{WS}*", ""), t)))
 
 
 def classify_question(c: Column) -> Column:
@@ -230,15 +250,13 @@ def answer_status(message_status: Column, answer: Column, n_verified: Column) ->
 
 def is_critical(title: Column, body: Column) -> Column:
     """Whether title and first 300 characters name a critical topic (as a substring)."""
-    seen = F.lower(F.concat(title, F.lit(" "), F.substring(body, 1, 300)))
-    return reduce(lambda a, b: a | b, (seen.contains(t) for t in P.CRITICAL_TOPICS))
+    return once(F.lower(F.concat(title, F.lit(" "), F.substring(body, 1, 300))), lambda seen: reduce(lambda a, b: a | b, (seen.contains(t) for t in P.CRITICAL_TOPICS)))
 
 
 def distinct_matches(c: Column, pattern: str) -> Column:
-    """Trimmed matches in order, without repeats that differ in case only."""
+    """Trimmed matches in order, without repeats that differ in case only; the text is searched once."""
     found = F.transform(F.regexp_extract_all(c, F.lit(java(pattern)), F.lit(0)), trim)
-    lowered = F.transform(found, F.lower)
-    return F.filter(F.transform(found, lambda x, i: F.when(F.array_position(lowered, F.lower(x)) == i + 1, x)), lambda x: x.isNotNull())
+    return once(found, lambda every: F.filter(every, lambda x, i: F.array_position(F.transform(every, F.lower), F.lower(x)) == i + 1))
 
 
 def section_label(ref: Column, title: Column, ordinal: Column) -> Column:
@@ -260,8 +278,14 @@ def out_of_scope(c: Column) -> Column:
     return F.when(new, P.OUT_OF_SCOPE_NEW).when(layout, P.OUT_OF_SCOPE_FORMAT)
 
 
+_FEW = 12
+
+
 def offsets(lengths: Column, gap: int = 0, run: int = 256) -> Column:
-    """Offsets of the pieces of a text from their lengths, ``gap`` characters between neighbours; gathered in runs, since adding to an array copies it."""
+    """Offsets of the pieces of a text from their lengths, ``gap`` characters between neighbours.
+
+    A few are summed anew for each piece; more are gathered in runs, since adding to an array copies it.
+    """
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("run"), F.array().cast("array<array<int>>").alias("done"))
 
     def step(acc: Column, n: Column) -> Column:
@@ -272,7 +296,9 @@ def offsets(lengths: Column, gap: int = 0, run: int = 256) -> Column:
             F.when(full, F.concat(acc["done"], F.array(acc["run"]))).otherwise(acc["done"]).alias("done"),
         )
 
-    return F.aggregate(lengths, zero, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["run"]))
+    few = lambda ns: F.transform(ns, lambda _, i: F.aggregate(F.slice(ns, F.lit(1), i), i * gap, lambda at, n: at + n))
+    many = lambda ns: F.aggregate(ns, zero, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["run"]))
+    return once(lengths, lambda ns: F.when(F.size(ns) <= _FEW, few(ns)).otherwise(many(ns)))
 
 
 def _cut_before(hay: Column, needle: Column) -> Column:

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
-from clausemill.functions.patterns import WS
 
 
 def lines(docs: DataFrame, keys: list[str], text_col: str = "text", keep_empty: bool = True) -> DataFrame:
@@ -38,7 +37,6 @@ def with_clauses(docs: DataFrame, keys: list[str], text_col: str = "text") -> Da
     """
     rows = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("full")).where(T.trim(F.col("full")) != "")
     rows = rows.withColumn("ls", F.split("full", "\n", -1))
-    rows = rows.withColumn("at", T.offsets(F.transform("ls", lambda x: F.length(x)), 1))
     lines_ = F.transform("ls", lambda x, i: F.struct(i.alias("i"), T.trim(x).alias("t")))
     rows = rows.withColumn("maybe", F.filter(lines_, lambda x: F.length(x["t"]).between(1, 120) & x["t"].rlike(_MAYBE)))
     rows = rows.withColumn("hs", F.filter(F.transform("maybe", lambda x: F.struct(x["i"].alias("i"), T.heading(x["t"]).alias("h"))), lambda x: x["h"].isNotNull()))
@@ -47,8 +45,12 @@ def with_clauses(docs: DataFrame, keys: list[str], text_col: str = "text") -> Da
     none = F.array().cast(f"array<struct<i:int,h:{_HEADING}>>")
     rows = rows.withColumn("hs", F.concat(F.when(lead, F.array(F.struct(F.lit(0).alias("i"), F.lit(None).cast(_HEADING).alias("h")))).otherwise(none), "hs"))
     stops = F.concat(F.slice(F.col("hs.i"), F.lit(2), F.size("hs")), F.array(F.size("ls")))
-    body = lambda x, z: F.regexp_replace(F.array_join(F.slice("ls", x["i"] + 1, z - x["i"]), "\n"), f"{WS}+$", "")
-    cut = F.zip_with("hs", stops, lambda x, z: F.struct(x["h"].alias("h"), F.get("at", x["i"]).alias("start"), body(x, z).alias("clause")))
+    piece = lambda x, z: F.struct(x["h"].alias("h"), F.array_join(F.slice("ls", x["i"] + 1, z - x["i"]), "\n").alias("t"))
+    blank = F.length(F.array_join(F.slice("ls", F.lit(1), F.coalesce(F.get(F.col("hs.i"), F.lit(0)), F.lit(0))), "\n"))  # lines before the first clause
+    skipped = F.when(F.get(F.col("hs.i"), F.lit(0)) > 0, blank).otherwise(-1)
+    rows = rows.select(*keys, "full", skipped.alias("skipped"), F.zip_with("hs", stops, piece).alias("ps"))
+    at = T.offsets(F.concat(F.array("skipped"), F.transform("ps", lambda p: F.length(p["t"]))), 1)
+    cut = T.once(at, lambda at: F.transform("ps", lambda p, i: F.struct(p["h"].alias("h"), F.get(at, i + 1).alias("start"), T.rtrim(p["t"]).alias("clause"))))
     rows = rows.select(*keys, "full", cut.alias("cs"))
     whole = lambda c: F.struct(c["h"]["ref"].alias("ref"), c["h"]["heading"].alias("heading"), F.coalesce(c["h"]["depth"], F.lit(1)).alias("depth"), c["start"].alias("start"), (c["start"] + F.length(c["clause"])).alias("end"), c["clause"].alias("clause"))
     return rows.select(*keys, "full", F.transform("cs", whole).alias("clauses"))
@@ -60,7 +62,7 @@ def segment_clauses(docs: DataFrame, keys: list[str], text_col: str = "text") ->
     Text before the first heading is a clause of its own if it is not blank; a text without headings is one clause; a
     blank text has none.  Trailing white space does not count.
     """
-    rows = with_clauses(docs, keys, text_col).select(*keys, F.posexplode("clauses").alias("ordinal", "c"))
+    rows = with_clauses(docs, keys, text_col).select(*keys, F.posexplode(T.rows_of(F.col("clauses"))).alias("ordinal", "c"))
     return rows.select(*keys, "ordinal", "c.ref", "c.heading", "c.depth", "c.start", "c.end", T.clause_body(F.col("c.clause"), F.col("c.ref")).alias("body"))
 
 
@@ -207,7 +209,7 @@ def merge_segments(segments: DataFrame, keys: list[str], target: int = TARGET, m
 
     rows = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ordinal", "start", "end"))).alias("ss"))
     rows = rows.select(*keys, F.aggregate("ss", zero, step, lambda acc: F.concat(acc["done"], F.array(acc["held"]))).alias("cs"))
-    return rows.select(*keys, F.posexplode("cs").alias("chunk", "c")).select(*keys, "chunk", "c.start", "c.end", tokens(F.col("c.end") - F.col("c.start")).alias("tokens"))
+    return rows.select(*keys, F.posexplode(T.rows_of(F.col("cs"))).alias("chunk", "c")).select(*keys, "chunk", "c.start", "c.end", tokens(F.col("c.end") - F.col("c.start")).alias("tokens"))
 
 
 def covered(start: int, end: int, ranges: list[tuple[int, int]]) -> float:
