@@ -77,8 +77,8 @@ def boilerplate(page_lines: DataFrame) -> DataFrame:
     """
     pages = page_lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= FEWEST)
     rows = page_lines.where(T.trim(F.col("line_text")) != "")
-    up, down = Window.partitionBy("doc_id", "page").orderBy("line"), Window.partitionBy("doc_id", "page").orderBy(F.desc("line"))
-    edges = rows.withColumn("a", F.row_number().over(up)).withColumn("z", F.row_number().over(down)).where((F.col("a") <= EDGE) | (F.col("z") <= EDGE))
+    page = Window.partitionBy("doc_id", "page")
+    edges = rows.withColumn("a", F.row_number().over(page.orderBy("line"))).withColumn("z", F.count("*").over(page) - F.col("a") + 1).where((F.col("a") <= EDGE) | (F.col("z") <= EDGE))
     exact, marker = F.lower(T.fold(F.col("line_text"))), T.page_marker(F.col("line_text"))
     keyed = edges.where(F.length(T.trim(F.col("line_text"))) <= LONGEST).select("doc_id", "page", "line", F.explode(F.array(F.struct(F.lit("exact").alias("kind"), exact.alias("key")), F.struct(F.lit("marker").alias("kind"), marker.alias("key")))).alias("k"))
     keyed = keyed.select("doc_id", "page", "line", "k.kind", "k.key").where("key is not null")
@@ -103,14 +103,15 @@ def scan_verdict(pages: DataFrame) -> DataFrame:
     return rows.withColumn("fully_scanned", (F.col("average_chars") < 25) | (F.col("n_scanned") / F.col("n_pages") >= 0.8))
 
 
-def page_ranges(pages: DataFrame, out: str = "ranges") -> DataFrame:
-    """``(doc_id, ranges)`` of ``pages (doc_id, page)``: "3–5, 41"."""
+def page_ranges(pages: DataFrame, out: str = "ranges", counted: str | None = None) -> DataFrame:
+    """``(doc_id, ranges)`` of ``pages (doc_id, page)``: "3–5, 41"; with ``counted`` also the number of pages, under that name."""
     rows = pages.select("doc_id", "page").distinct()
     rows = rows.withColumn("island", F.col("page") - F.row_number().over(Window.partitionBy("doc_id").orderBy("page")))
     runs = rows.groupBy("doc_id", "island").agg(F.min("page").alias("a"), F.max("page").alias("z"))
     label = F.when(F.col("a") == F.col("z"), F.col("a").cast("string")).otherwise(F.concat_ws("–", F.col("a").cast("string"), F.col("z").cast("string")))
     parts = F.array_sort(F.collect_list(F.struct("a", label.alias("x"))))
-    return runs.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["x"]), ", ").alias(out))
+    number = [] if counted is None else [F.sum(F.col("z") - F.col("a") + 1).alias(counted)]
+    return runs.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["x"]), ", ").alias(out), *number)
 
 
 def block_text(c: Column) -> Column:
