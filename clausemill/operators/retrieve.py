@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import text as T
 from clausemill.operators import verify
 from clausemill.operators.structure import page_ranges
+from clausemill.storage import spread
 
 RESERVE, FEWEST = 1600, 500
 
@@ -100,25 +101,29 @@ def thorough_scan(chunks: DataFrame, questions: DataFrame, limit: int, map_fn=No
     batches = batch_chunks(chunks, "doc_id", limit).join(chunks.select("doc_id", "chunk", "text"), ["doc_id", "chunk"])
     ordered = F.array_sort(F.collect_list(F.struct("chunk", "text")))
     texts = batches.groupBy("doc_id", "batch").agg(ordered.alias("cs")).select("doc_id", "batch", F.col("cs.text").alias("texts"), F.col("cs.chunk").alias("ids"))
-    rows = texts.join(questions, "doc_id").select("query_id", "doc_id", "question", "batch", "texts", "ids")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def read(part: pd.DataFrame) -> pd.DataFrame:
-        out, failed = [], 0
-        for r in part.sort_values("batch").itertuples():
-            outcome, relevant, findings, quotes = "NOT_READ", False, "", []
-            if failed < FAILURES:
-                try:
-                    relevant, findings, quotes = map_fn(r.question, list(r.texts))
-                    outcome, failed = "READ", 0
-                except Exception:  # noqa: BLE001 - whatever the model's client raises, the batch was not read
-                    outcome, failed = "FAILED", failed + 1
-            quotes = [q for q in quotes if q and q.strip()][:KEPT]
-            out.append((r.query_id, r.doc_id, r.batch, len(r.texts), r.ids[0], r.ids[-1], outcome, bool(relevant), findings or "", quotes))
-        return pd.DataFrame(out, columns=["query_id", "doc_id", "batch", "n_chunks", "start", "end", "outcome", "relevant", "findings", "quotes"])
-
-    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, batch int, n_chunks int, start bigint, end bigint, outcome string, relevant boolean, findings string, quotes array<string>"
-    return rows.groupBy("query_id", "doc_id").applyInPandas(read, schema)
+    scans = texts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("batch", "texts", "ids"))).alias("batches"))
+
+    @F.pandas_udf("array<struct<batch:int,n_chunks:int,start:bigint,end:bigint,outcome:string,relevant:boolean,findings:string,quotes:array<string>>>")
+    def read(questions: pd.Series, scans: pd.Series) -> pd.Series:
+        out = []
+        for question, batches in zip(questions, scans):
+            rows, failed = [], 0
+            for b in batches:
+                outcome, relevant, findings, quotes = "NOT_READ", False, "", []
+                if failed < FAILURES:
+                    try:
+                        relevant, findings, quotes = map_fn(question, list(b["texts"]))
+                        outcome, failed = "READ", 0
+                    except Exception:  # noqa: BLE001 - whatever the model's client raises, the batch was not read
+                        outcome, failed = "FAILED", failed + 1
+                quotes = [q for q in quotes if q and q.strip()][:KEPT]
+                rows.append({"batch": b["batch"], "n_chunks": len(b["texts"]), "start": b["ids"][0], "end": b["ids"][-1], "outcome": outcome, "relevant": bool(relevant), "findings": findings or "", "quotes": quotes})
+            out.append(rows)
+        return pd.Series(out)
+
+    # One row a scan: a document's batches are put in order once, not for each question, and no table is made in Python for each scan.
+    rows = spread(questions.join(scans, "doc_id"), "query_id")
+    return rows.select("query_id", "doc_id", F.inline(read("question", "batches")))
 
 
 def scan_coverage(results: DataFrame, total: DataFrame) -> DataFrame:

@@ -288,6 +288,15 @@ def test_files_with_edits_and_without_and_damaged_ones(spark):
     assert verdict == {"a": None, "b": "ACCEPT_DIFFERS", "c": "PARAGRAPH_COUNT", "d": "PARAGRAPH_COUNT", "e": "PARAGRAPH_COUNT"}
 
 
+def test_a_scan_orders_the_batches_of_a_document_once_and_makes_no_table_for_each(spark):
+    chunks = spark.createDataFrame([(1, c, 10, f"Fee {c}.") for c in range(12)] + [(2, 0, 10, "Rent.")], "doc_id long, chunk int, tokens int, text string")
+    asked = spark.createDataFrame([(5, 1, "fee"), (6, 1, None), (7, 3, "fee")], "query_id long, doc_id long, question string")
+    rows = retrieve.thorough_scan(chunks, asked, 10)
+    assert "FlatMapGroupsInPandas" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = rows.orderBy("query_id", "batch").select("query_id", "batch", "start", "end", "n_chunks", "outcome").collect()
+    assert [tuple(r) for r in got] == [(q, c, c, c, 1, "READ") for q in (5, 6) for c in range(12)]
+
+
 # --- DOCX as HTML
 
 
