@@ -37,10 +37,9 @@ def _body(**changes: str) -> str:
 
 
 #: Clauses of both versions.  Edits of the revised one go by (doc_id + ordinal) % 12: amount, modal, law, days, percentage, punctuation, deletion, insertion.
-CLAUSES = f"""WITH facts AS ({_FACTS}), keyed AS (SELECT *, (doc_id + ordinal) % 12 AS edit FROM facts)
-SELECT doc_id, 'base' AS version, ordinal, CAST(ordinal AS STRING) AS ref, {_TITLE} AS title, {_body()} AS body FROM keyed
-UNION ALL
-SELECT doc_id, 'revised' AS version, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, extra) AS INT) AS ordinal, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, extra) AS STRING) AS ref, title, body FROM (
+_KEYED = f"WITH facts AS ({_FACTS}), keyed AS (SELECT *, (doc_id + ordinal) % 12 AS edit FROM facts)\n"
+_BASE = f"""SELECT doc_id, 'base' AS version, ordinal, CAST(ordinal AS STRING) AS ref, {_TITLE} AS title, {_body()} AS body FROM keyed"""
+_REVISED = f"""SELECT doc_id, 'revised' AS version, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, extra) AS INT) AS ordinal, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, extra) AS STRING) AS ref, title, body FROM (
   SELECT doc_id, ordinal, 0 AS extra, {_TITLE} AS title, CASE edit
     WHEN 0 THEN {_body(amount='amount + 1000')} WHEN 1 THEN {_body(modal="CASE modal WHEN 'may' THEN 'shall' ELSE 'may' END")}
     WHEN 2 THEN {_body(law="CASE law WHEN 'DIFC' THEN 'ADGM' ELSE 'DIFC' END")} WHEN 3 THEN {_body(days='days + 15')}
@@ -48,6 +47,9 @@ SELECT doc_id, 'revised' AS version, CAST(row_number() OVER (PARTITION BY doc_id
   FROM keyed WHERE edit <> 6
   UNION ALL SELECT doc_id, ordinal, 1, 'SCHEDULE ' || chr(64 + ordinal), 'Each party may inspect the records upon ' || CAST(days AS STRING) || ' days notice.' FROM keyed WHERE edit = 7
 ) x"""
+CLAUSES = f"{_KEYED}{_BASE}\nUNION ALL\n{_REVISED}"
+#: The same, one version alone: a filter on the version stays above the windows, so the other one would be made and dropped.
+VERSIONS = {"base": _KEYED + _BASE, "revised": _KEYED + _REVISED}
 
 #: One text per document and version: heading line, body line, blank line.
 LINE = "ref || '. ' || title || chr(10) || body"
@@ -82,6 +84,8 @@ FROM (SELECT conv_id, turn, {_pick('(conv_id * 5 + turn)', _SUBJECTS)} AS subjec
 
 def view(spark: SparkSession, sf_dir: str, sql: str, **more: DataFrame) -> DataFrame:
     """The rows of a view text over the tables of a data folder."""
+    for version, text in VERSIONS.items():
+        sql = sql.replace(f"({CLAUSES}) WHERE version = '{version}'", f"({text}) WHERE version = '{version}'")
     names = [n for n in ("lineitem", "orders", "customer", "conversations", "documents", "events", "pages", "benchmark", "labels", "nation", "supplier", "part") if f"{{{n}}}" in sql]
     return spark.sql(sql, **({n: table(spark, sf_dir, n) for n in names} | more))
 
@@ -94,8 +98,7 @@ def plain(sql: str) -> str:
 
 
 def clauses(spark: SparkSession, sf_dir: str, version: str | None = None) -> DataFrame:
-    out = view(spark, sf_dir, CLAUSES)
-    return out if version is None else out.where(F.col("version") == version)
+    return view(spark, sf_dir, CLAUSES if version is None else VERSIONS[version])
 
 
 def contract_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
