@@ -117,8 +117,11 @@ def _stemmed(rows: DataFrame) -> DataFrame:
 def postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """``(doc_id, chunk, field, lexeme, positions)`` of ``chunks (doc_id, chunk, heading, text)``; field is ``text`` or ``heading``.
 
-    Positions count all words from 1, stop words too, and rise.  ``asked (doc_id, lexeme)`` leaves out what no search asks for.
+    Positions count all words from 1, stop words too, and rise.  ``asked (doc_id, lexeme)`` leaves out what no search asks for;
+    chunks of other documents go before they are cut into words.
     """
+    if asked is not None:
+        chunks = chunks.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
     fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("text", "heading")))).alias("x")
     rows = chunks.select("doc_id", "chunk", fields).select("doc_id", "chunk", "x.field", F.posexplode(words_of(F.col("x.text"))).alias("pos", "word"))
     rows = _stemmed(rows.withColumn("pos", F.col("pos") + 1))
@@ -127,6 +130,11 @@ def postings(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     return rows.groupBy(*KEY, "lexeme").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def chunks_asked(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """``chunks`` of the documents that ``questions`` ask about; no other can be in a result."""
+    return chunks.join(questions.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast("int").alias("bucket")
 
@@ -254,7 +262,8 @@ def search(chunks: DataFrame, questions: DataFrame, limit: int = LIMIT, index: D
     ``questions (query_id, doc_id, question)``, one row per query_id and doc_id; ``chunks (doc_id, chunk, heading, text)``
     without boilerplate.  ``index`` is what :func:`open_index` gives, otherwise postings are made for what is asked.
     """
-    chunks, questions = settle(chunks.select("doc_id", "chunk", "heading", "text"), "chunks"), settle(questions.select("query_id", "doc_id", "question"), "questions")
+    questions = settle(questions.select("query_id", "doc_id", "question"), "questions")
+    chunks = settle(chunks_asked(chunks.select("doc_id", "chunk", "heading", "text"), questions), "chunks")
     strict_units, loose_units = settle(units(questions), "units"), settle(any_units(questions), "units")
     own = index is None
     if own:
