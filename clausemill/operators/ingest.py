@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html.parser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,13 +197,11 @@ def annotated(source: str) -> tuple[str, str]:
 
 
 def sanitized(source: Column) -> Column:
-    """The allow-listed form of HTML."""
+    """The allow-listed form of HTML.
 
-    @F.pandas_udf("string")
-    def clean(hs: pd.Series) -> pd.Series:
-        return hs.map(lambda h: clean_html(h)[0])
-
-    return clean(source)
+    Row by row, so that a worker holds a hundred pages at once; an Arrow batch holds 10,000, whatever their length.
+    """
+    return F.udf(lambda h: clean_html(h)[0], "string", useArrow=False)(source)
 
 
 def _blocks_of(source: str) -> list[dict]:
@@ -216,11 +213,7 @@ def _blocks_of(source: str) -> list[dict]:
 
 
 def block_list(source: Column) -> Column:
-    @F.pandas_udf("array<struct<tag:string,start:int,end:int,text:string>>")
-    def listed(hs: pd.Series) -> pd.Series:
-        return hs.map(_blocks_of)
-
-    return listed(source)
+    return F.udf(_blocks_of, "array<struct<tag:string,start:int,end:int,text:string>>", useArrow=False)(source)
 
 
 def html_blocks(pages: DataFrame, key: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -61,3 +61,13 @@ def test_only_chunks_of_asked_documents_are_cut_into_words(spark):
     assert "LeftSemi" in plan(fulltext.postings(chunks, asked).where("true")).split("Generate")[-1]
     want = sorted(map(str, fulltext.postings(chunks).where("doc_id = 2 and lexeme in ('fee', 'head')").collect()))
     assert sorted(map(str, fulltext.postings(chunks, asked).collect())) == want
+
+
+def test_pages_are_cleaned_row_by_row(spark, data):
+    """An Arrow batch held 10,000 pages in a worker at once."""
+    from clausemill.operators import ingest
+
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    rows = pages.select("html", ingest.sanitized(F.col("html")).alias("got"))
+    assert "BatchEvalPython" in plan(rows) and "ArrowEvalPython" not in plan(rows)
+    assert all(r["got"] == ingest.clean_html(r["html"])[0] for r in rows.collect())
