@@ -1,4 +1,8 @@
-"""Near-duplicates by shared word shingles: every group of texts linked by a Jaccard similarity of at least 0.8.
+"""Near-duplicates by SimHash and by shared word shingles.
+
+:func:`keep_first` links texts by a Jaccard similarity of at least 0.8.  With ``radius``, candidates are first the
+components of operator 1 (SimHash fingerprints, compared bit-sliced), each a block, and an exact check of shingles follows;
+bands of minima add the candidates that the radius misses.
 
 Plan
 ----
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 from clausemill.llm.components import components
 from clausemill.llm.keep import first_row, keep_one, keyed, placed, sifted
 from clausemill.llm.rows import per_text
-from clausemill.llm.simhash import _hook
+from clausemill.llm.simhash import _hook, fingerprint, links
 from clausemill.storage import scratch, settle, settle_all
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
@@ -81,6 +85,10 @@ def _marks(texts: list[str]) -> dict:
     return {"same": np.array([_digest(s) for s in every], np.uint64).view(np.int64), "size": [len(s) for s in every], "keys": keys}
 
 
+def _marks_with_fingerprints(texts: list[str]) -> dict:
+    return _marks(texts) | {"fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
+
+
 def _sets(texts: list[str]) -> dict:
     every = [shingles(t) for t in texts]
     return {"same": np.array([_digest(s) for s in every], np.uint64).view(np.int64), "found": [s.view(np.int64) for s in every]}
@@ -155,25 +163,44 @@ def _blocks(distinct: DataFrame) -> DataFrame:
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
+def _fingerprint_edges(marks: DataFrame, radius: int) -> DataFrame:
+    """Edges ``(a, b)`` between sets of shingles whose texts have equal fingerprints, or ones within ``radius`` bits."""
+    pairs = settle(marks.select("fp", "same").distinct(), "fingerprints")
+    distinct = settle(pairs.groupBy("fp").agg(F.min("same").alias("rep")), "distinct")
+    equal = pairs.join(distinct, "fp").where("same <> rep").select(F.col("same").alias("a"), F.col("rep").alias("b"))
+    return equal.unionAll(links(distinct.select("rep", "fp"), radius))
+
+
+def _with_components(distinct: DataFrame, marks: DataFrame, radius: int) -> DataFrame:
+    """``distinct`` with one more key in ``keys`` where operator 1 links a set with others: its component."""
+    roots = components(_fingerprint_edges(marks, radius))
+    keys = F.when(F.col("root").isNull(), F.col("keys")).otherwise(F.concat("keys", F.array(F.xxhash64("root", F.lit("fp")))))
+    return distinct.join(roots, F.col("same") == F.col("node"), "left").select("same", "first", "size", keys.alias("keys"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stored: bool = False, radius: int | None = None) -> DataFrame:
     """The first row of ``docs`` of every group, written to the shared folder; all columns stay, whatever their names.
 
     A group holds what is linked, directly or through others, by a Jaccard similarity of LEAST or more over SHINGLE-word
     shingles.  Its first row is the one with the smallest doc_id, nulls last.  Texts without a word, null ones among
     them, are one group.  Rows that share an id are judged each by its own text; of rows equal in id and text one stays.
     An empty table gives no rows.  ``stored`` says that ``docs`` is a plain read of Parquet files, see :func:`placed`.
-    Texts are read up to three times and never shuffled.
+    ``radius`` adds the components of fingerprints within that many bits to what is compared.  Texts are read up to three times and never shuffled.
     """
     with scratch() as kept:
         docs = placed(docs, stored)
-        marks = settle(per_text(keyed(docs, id_col, text_col), _marks, "same bigint,size int,keys array<bigint>", "key", "text").withColumnRenamed("doc_id", "key"), "marks")
+        mark, more = (_marks, "") if radius is None else (_marks_with_fingerprints, ",fp bigint")
+        marks = settle(per_text(keyed(docs, id_col, text_col), mark, "same bigint,size int,keys array<bigint>" + more, "key", "text").withColumnRenamed("doc_id", "key"), "marks")
         distinct = settle(marks.groupBy("same").agg(first_row().alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct")
+        if radius is not None:
+            distinct = settle(_with_components(distinct, marks, radius), "distinct")
         blocks = settle(_blocks(distinct), "blocks")
         asked = settle(distinct.join(blocks.select("same").distinct(), "same", "left_semi").select("first.file", "first.row"), "asked")
         none = docs.sparkSession.createDataFrame([], _SETS)
         sets = settle_all((df for parts in ((_sets_of(part, text_col) for part in sifted(docs, asked, "left_semi")), [none]) for df in parts), "sets")
         linked = blocks.join(sets, "same").select("same", "unit", "side", "found")
-        roots = components(linked.repartition("unit").sortWithinPartitions("unit", "side", "same").mapInArrow(_edges, "a bigint, b bigint"))
+        edges = linked.repartition("unit").sortWithinPartitions("unit", "side", "same").mapInArrow(_edges, "a bigint, b bigint")
+        roots = components(edges)
         classes = distinct.select("same").join(roots, F.col("same") == F.col("node"), "left").select(F.col("same").alias("of"), F.coalesce("root", "same").alias("root"))
         kept.append(keep_one(docs, marks.select("key", "same"), classes))
     return kept[0]

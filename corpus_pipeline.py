@@ -21,8 +21,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of every group of texts whose five-word shingles overlap by 0.8 or more."""
-    return overlap.keep_first(docs, stored=True)
+    """Keep the first document of every group of near copies: candidates are operator 1's components (SimHash, 4 bits) and bands of minima, and an exact check asks for five-word shingles that overlap by 0.8 or more."""
+    return overlap.keep_first(docs, stored=True, radius=4)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,3 +175,24 @@ def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs, data):
         got = stage(spark, no_docs, data)
         assert got.columns == odd_docs.columns and got.count() == 0, name
     assert corpus_pipeline.pack(spark, no_docs, data).count() == 0
+
+
+def test_near_dedup_compares_operator_1s_components(spark, data, monkeypatch):
+    """The stage made no fingerprints.  Without any band, texts that operator 1 links are still compared."""
+    from pyspark.sql import functions as F
+
+    from clausemill.llm import overlap, simhash
+
+    words = [f"word{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "changed"]), "nothing in common with the others", "of its own"]
+    every = [(i, overlap._digest(overlap.shingles(t)), simhash.fingerprint(t)) for i, t in enumerate(texts)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    marks = spark.createDataFrame([(signed(s), signed(f)) for _, s, f in every], "same bigint, fp bigint")
+    distinct = spark.createDataFrame([(signed(s), i, 1) for i, s, _ in every], "same bigint, first int, size int").withColumn("keys", F.array().cast("array<bigint>"))
+    assert overlap._blocks(distinct).count() == 0
+    blocks = overlap._blocks(overlap._with_components(distinct, marks, 4))
+    assert {r["same"] for r in blocks.collect()} == {signed(s) for _, s, _ in every[:2]} and blocks.select("unit").distinct().count() == 1
+    asked = []
+    monkeypatch.setattr(overlap, "links", lambda rows, radius: asked.append(radius) or simhash.links(rows, radius))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r[0] for r in corpus_pipeline.near_dedup(spark, df, data).select("doc_id").collect()) == [0, 2, 3] and asked == [4]
