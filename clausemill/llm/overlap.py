@@ -196,7 +196,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             distinct = settle(_with_components(distinct, marks, radius), "distinct")
         blocks = settle(_blocks(distinct), "blocks")
         asked = settle(distinct.join(blocks.select("same").distinct(), "same", "left_semi").select("first.file", "first.row"), "asked")
-        none = docs.sparkSession.createDataFrame([], _SETS)
+        none = docs.sparkSession.range(0).select(F.lit(None).cast("bigint").alias("same"), F.lit(None).cast("array<bigint>").alias("found"))  # an empty list would start Python workers of another kind beside the others
         sets = settle_all((df for parts in ((_sets_of(part, text_col) for part in sifted(docs, asked, "left_semi")), [none]) for df in parts), "sets")
         linked = blocks.join(sets, "same").select("same", "unit", "side", "found")
         edges = linked.repartition("unit").sortWithinPartitions("unit", "side", "same").mapInArrow(_edges, "a bigint, b bigint")

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clausemill.llm import language, mixing, overlap, packing, secrets
 from clausemill.session import table
-from clausemill.storage import scratch, settle
+from clausemill.storage import scratch, settle, settled
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language can be told; a missing label is filled in."""
-    return language.keep_identified(docs)
+    """Keep documents whose language can be told; a missing label is filled in.  Written to the shared folder, as that takes short Arrow batches."""
+    return settle(language.keep_identified(docs), "identified")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     with scratch() as kept:
         for name, stage in STAGES[:-1]:
-            docs = settle(stage(spark, docs, sf_dir), name)
+            docs = settled(stage(spark, docs, sf_dir), name)
         kept.append(settle(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0]))
     return kept[0]

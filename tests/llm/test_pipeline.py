@@ -196,3 +196,34 @@ def test_near_dedup_compares_operator_1s_components(spark, data, monkeypatch):
     monkeypatch.setattr(overlap, "links", lambda rows, radius: asked.append(radius) or simhash.links(rows, radius))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted(r[0] for r in corpus_pipeline.near_dedup(spark, df, data).select("doc_id").collect()) == [0, 2, 3] and asked == [4]
+
+
+def test_stages_take_short_arrow_batches(spark, data):
+    """A task and its Python worker held up to 10,000 texts at once; the session's own setting must come back."""
+    from clausemill import storage
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(setting)
+    found = storage.settle(spark.range(0, 2_000, 1, 1).mapInArrow(sizes, "n bigint"), "sizes")
+    assert sorted(r[0] for r in found.collect()) == [storage.ARROW_ROWS] * (2_000 // storage.ARROW_ROWS) and spark.conf.get(setting) == own
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert storage.settled(kept := corpus_pipeline.language_id(spark, docs, data), "again") is kept
+    spark.conf.set(setting, "7")  # a user's own bound, if it is lower, holds
+    try:
+        found = storage.settle(spark.range(0, 14, 1, 1).mapInArrow(sizes, "n bigint"), "sizes")
+        assert [r[0] for r in found.collect()] == [7, 7] and spark.conf.get(setting) == "7"
+    finally:
+        spark.conf.set(setting, own)
+
+
+def test_near_dedup_starts_no_second_kind_of_python_workers(spark, data, monkeypatch):
+    """An empty list as a table ran through RDD workers, which stay beside those of Arrow for a minute."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: 1 / 0)
+    assert 0 < corpus_pipeline.near_dedup(spark, docs, data).count() < docs.count()
