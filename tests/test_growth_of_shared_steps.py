@@ -1,10 +1,15 @@
 """Steps that many queries share: what they must not do twice, and what they give on odd texts."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from clausemill import storage
 from clausemill.functions import text as T
 from clausemill.operators import fulltext, redline
+from clausemill.plans import catalogue
 from clausemill.plans import views as V
+from clausemill.sources import docx, tracked
 
 
 def plan(df):
@@ -71,3 +76,25 @@ def test_pages_are_cleaned_row_by_row(spark, data):
     rows = pages.select("html", ingest.sanitized(F.col("html")).alias("got"))
     assert "BatchEvalPython" in plan(rows) and "ArrowEvalPython" not in plan(rows)
     assert all(r["got"] == ingest.clean_html(r["html"])[0] for r in rows.collect())
+
+
+def dealings(df):
+    return re.findall(r"Exchange (?:hash|range|round)\w*\(([^)]*)", plan(df))
+
+
+def test_packages_are_checked_in_their_own_row(spark, data, monkeypatch):
+    """Packages were stored, then dealt three times with all texts; the contract's line items were dealt nine times."""
+    monkeypatch.setattr(storage, "settle_all", None)
+    for query in (catalogue.redline_written, catalogue.redline_validate):
+        assert all("content" not in x for x in dealings(query(spark, data))) and len(dealings(query(spark, data))) <= 4
+
+
+def test_checked_edits_are_those_of_written_files(spark):
+    runs = {"a": [[("Pay AED 5", "b"), (" now", "")], [("Then <rest> & more", "l")]], "b": [[("No edit", "")]], "c": [[("Other text", "")]], "d": []}
+    ops = {"a": [(0, 4, "AED 5", "USD 1"), (1, 5, "<rest>", "&stop")], "b": None, "c": [(0, 0, "Pay", "x")], "d": None}
+    kinds = "path string, runs array<array<struct<text:string,marks:string>>>, ops array<struct<paragraph:int,start:int,find:string,replace:string>>"
+    docs = spark.createDataFrame([(k, runs[k], ops[k]) for k in runs], kinds).coalesce(1)
+    got = {r["path"]: [tuple(s) for s in r["states"]] for r in docx.check_edits(docs).collect()}
+    files = {k: docx.build(runs[k]) for k in runs}
+    want = {k: [(i, *s) for i, s in enumerate(tracked.states(files[k], tracked.track(files[k], ops[k] or [])))] for k in "abd"} | {"c": [(-1, None, None, None)]}
+    assert got == want and want["a"][0][1:] == ("Pay AED 5 now", "Pay AED 5 now", "Pay USD 1 now")
