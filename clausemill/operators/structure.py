@@ -75,15 +75,17 @@ def boilerplate(page_lines: DataFrame) -> DataFrame:
     The first and last three non-empty lines of a page count.  A line is boilerplate if its folded text, or its page
     marker with digits masked, is on over half of at least four pages.
     """
-    pages = page_lines.groupBy("doc_id").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= FEWEST)
-    rows = page_lines.where(T.trim(F.col("line_text")) != "")
-    page = Window.partitionBy("doc_id", "page")
+    document, page, key = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "page"), Window.partitionBy("doc_id", "kind", "key")
+    # Windows only, the document's first: lines are dealt by document once, or not at all if they lie so, and never joined with what is counted of them.
+    first = lambda w: F.col("page").isNotNull() & F.coalesce(F.lag("page").over(w) != F.col("page"), F.lit(True))
+    rows = page_lines.select("doc_id", "page", "line", "line_text").where("doc_id is not null").withColumn("new", first(document.orderBy("page", "line")))
+    rows = rows.withColumn("pages", F.count_if("new").over(document)).where((F.col("pages") >= FEWEST) & (T.trim(F.col("line_text")) != ""))
     edges = rows.withColumn("a", F.row_number().over(page.orderBy("line"))).withColumn("z", F.count("*").over(page) - F.col("a") + 1).where((F.col("a") <= EDGE) | (F.col("z") <= EDGE))
     exact, marker = F.lower(T.fold(F.col("line_text"))), T.page_marker(F.col("line_text"))
-    keyed = edges.where(F.length(T.trim(F.col("line_text"))) <= LONGEST).select("doc_id", "page", "line", F.explode(F.array(F.struct(F.lit("exact").alias("kind"), exact.alias("key")), F.struct(F.lit("marker").alias("kind"), marker.alias("key")))).alias("k"))
-    keyed = keyed.select("doc_id", "page", "line", "k.kind", "k.key").where("key is not null")
-    common = keyed.groupBy("doc_id", "kind", "key").agg(F.count_distinct("page").alias("on")).join(pages, "doc_id").where(F.col("on") > SHARE * F.col("pages"))
-    return keyed.join(common.select("doc_id", "kind", "key"), ["doc_id", "kind", "key"], "left_semi").groupBy("doc_id", "page", "line").agg(F.min("kind").alias("kind"))
+    keyed = edges.where(F.length(T.trim(F.col("line_text"))) <= LONGEST).select("doc_id", "pages", "page", "line", F.explode(F.array(F.struct(F.lit("exact").alias("kind"), exact.alias("key")), F.struct(F.lit("marker").alias("kind"), marker.alias("key")))).alias("k"))
+    keyed = keyed.select("doc_id", "pages", "page", "line", "k.kind", "k.key").where("key is not null").withColumn("new", first(key.orderBy("page", "line")))
+    common = keyed.withColumn("on", F.count_if("new").over(key)).where(F.col("on") > SHARE * F.col("pages"))
+    return common.groupBy("doc_id", "page", "line").agg(F.min("kind").alias("kind"))
 
 
 def boilerplate_ranges(docs: DataFrame, page_chars: int, key: str = "doc_id", text_col: str = "text") -> DataFrame:
