@@ -98,6 +98,7 @@ def thorough_scan(chunks: DataFrame, questions: DataFrame, limit: int, map_fn=No
     ``chunks (doc_id, chunk, tokens, text)``; ``start`` and ``end`` are the first and last chunk of a batch.
     """
     map_fn = map_fn or keyword_findings
+    chunks = chunks.join(questions.select("doc_id").distinct(), "doc_id", "left_semi")  # a document that no question asks about is not read
     batches = batch_chunks(chunks, "doc_id", limit).join(chunks.select("doc_id", "chunk", "text"), ["doc_id", "chunk"])
     ordered = F.array_sort(F.collect_list(F.struct("chunk", "text")))
     texts = batches.groupBy("doc_id", "batch").agg(ordered.alias("cs")).select("doc_id", "batch", F.col("cs.text").alias("texts"), F.col("cs.chunk").alias("ids"))
@@ -149,6 +150,7 @@ def scan_answers(results: DataFrame, docs: DataFrame, coverage_rows: DataFrame)
     # A quotation is known by its question, its batch and its place there.
     cited = results.select("query_id", "doc_id", "batch", F.posexplode("quotes").alias("pos", "text"))
     cited = cited.withColumn("quote_id", F.struct("query_id", "batch", "pos"))
+    docs = docs.join(cited.select("doc_id").distinct(), "doc_id", "left_semi")  # before anything is made of their texts
     true = verify.verify(cited.select("quote_id", "doc_id", "text"), docs).where("status = 'VERIFIED'").select("quote_id", "doc_id")
     kept = cited.join(true, ["quote_id", "doc_id"], "left_semi").groupBy("query_id", "doc_id", "text").agg(F.min(F.struct("batch", "pos")).alias("at"))
     quotes = kept.groupBy("query_id", "doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]).alias("quotes"))
